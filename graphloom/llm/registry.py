@@ -5,14 +5,18 @@ from __future__ import annotations
 from graphloom.llm.decontaminate import op1_decontamination
 from graphloom.llm.mixing import op2_mixing
 from graphloom.llm.quality import op6_quality
+from graphloom.llm.secrets import op4_secrets
 from graphloom.llm.sharding import op8_sharding
 from graphloom.llm.simhash import op9_simhash
+from graphloom.llm.tokencounts import op7_token_counts
 from graphloom.llm.tokenfiles import op10_token_files
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
+    "op4_secrets": op4_secrets,
     "op6_quality": op6_quality,
+    "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
     "op10_token_files": op10_token_files,
