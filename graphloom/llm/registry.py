@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from graphloom.llm.decontaminate import op1_decontamination
+from graphloom.llm.htmltext import op5_html_text
 from graphloom.llm.mixing import op2_mixing
 from graphloom.llm.quality import op6_quality
 from graphloom.llm.secrets import op4_secrets
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
     "op4_secrets": op4_secrets,
+    "op5_html_text": op5_html_text,
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
