@@ -26,7 +26,7 @@ from graphloom.llm.base import annotate, as_rows, table
 
 #: Labelled pages to train on, and the size of the ensemble.
 PAGES = 400
-TREES, DEPTH, SEED = 20, 4, 42
+TREES, DEPTH, SEED = 16, 5, 42
 
 # Fixed values of HTML: elements without content, elements whose content is no
 # text of the page, elements that start a block, and what closes an open <p>.
@@ -53,7 +53,7 @@ BAD = {
 }
 KINDS = ("article main section nav header footer aside div form p h1 h2 ul ol li table td blockquote pre figure body".split())
 NAMES = [f"is_{k}" for k in KINDS] + ["good"] + [f"bad_{k}" for k in BAD] + ["up_good"] + [f"up_{k}" for k in BAD]
-NAMES += "length words links per_node stops depth nth nth_back siblings share parent_share rank heading paragraphs up_nav up_article".split()
+NAMES += "length words links per_node stops depth nth nth_back siblings share parent_share rank heading paragraphs up_nav up_article bad up_bad main main_in".split()
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -173,11 +173,13 @@ def page_features(page: Page) -> np.ndarray:
             row[good] = len(tokens & GOOD)
             for j, some in enumerate(BAD.values()):
                 row[bad + j] = len(tokens & some)
+            row[place["bad"]] = row[bad : bad + len(BAD)].any()
         if parent >= 0:
             depth[k] = depth[parent] + 1
             row[up : up + 1 + len(BAD)] = np.maximum(x[parent, up : up + 1 + len(BAD)], x[parent, good : good + 1 + len(BAD)])
             outer = page.tag[parent]
             row[place["up_nav"]] = max(x[parent, place["up_nav"]], outer in ("nav", "header", "footer", "aside", "form"))
+            row[place["up_bad"]] = max(x[parent, place["up_bad"]], x[parent, place["bad"]])
             row[place["up_article"]] = max(x[parent, place["up_article"]], outer in ("article", "main"))
         row[place["heading"]] = tag[0] == "h" and tag[1:].isdigit()
         for nth, child in enumerate(reversed(children[k])):
@@ -192,6 +194,15 @@ def page_features(page: Page) -> np.ndarray:
     x[:, place["share"]] = sums[:, 0] / total
     x[:, place["rank"]] = np.arange(n) / n
     x[:, place["paragraphs"]] = np.log1p(sums[:, 5])
+    # the block container with most text of its own paragraphs, and what is in it
+    prose = np.zeros(n)
+    for k in range(1, n):
+        if page.tag[k] in ("p", "blockquote", "pre") and not x[k, place["up_bad"]]:
+            prose[page.parent[k]] += sums[k, 0] - sums[k, 2]
+    main = int(prose.argmax())
+    x[main, place["main"]] = 1
+    for k in range(main + 1, n):
+        x[k, place["main_in"]] = page.parent[k] == main or x[page.parent[k], place["main_in"]]
     return x
 
 
@@ -354,7 +365,7 @@ def labelled_nodes(spark: SparkSession, pages: int = PAGES) -> DataFrame:
 def train(spark: SparkSession, nodes: DataFrame | None = None, seed: int = SEED) -> Trees:
     """Boosted trees on labelled nodes (by default those of PAGES made pages)."""
     rows = (nodes or labelled_nodes(spark)).select(array_to_vector("x").alias("features"), "label").cache()
-    booster = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=seed, maxMemoryInMB=64, cacheNodeIds=False)
+    booster = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=seed, maxMemoryInMB=64, cacheNodeIds=False)
     found = unpacked(booster.fit(rows))
     rows.unpersist()
     return found

@@ -9,12 +9,14 @@ from graphloom.llm.quality import op6_quality
 from graphloom.llm.secrets import op4_secrets
 from graphloom.llm.sharding import op8_sharding
 from graphloom.llm.simhash import op9_simhash
+from graphloom.llm.suffixdedup import op3_suffix_dedup
 from graphloom.llm.tokencounts import op7_token_counts
 from graphloom.llm.tokenfiles import op10_token_files
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_secrets": op4_secrets,
     "op5_html_text": op5_html_text,
     "op6_quality": op6_quality,
