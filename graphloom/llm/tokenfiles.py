@@ -24,8 +24,8 @@ END = 1
 #: Rows between two entries of the row index, and the stripe size in bytes.
 STRIDE = 1000
 STRIPE = 16 << 20
-#: Distinct words whose ids a task remembers before it starts anew.
-REMEMBERED = 500_000
+#: Distinct words whose ids a task remembers.
+REMEMBERED = 400_000
 #: Bytes of text that a file should hold.
 FILE_BYTES = 32 << 20
 
@@ -39,46 +39,79 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """Ids of whole texts. The tokenizer drops white space and never joins across
     it, so the ids of a text are those of its words (runs without ASCII white
-    space) one after the other; each distinct word is encoded once."""
+    space) one after the other, and each distinct word is encoded once.
+
+    New words are encoded many at a time, with a separator word of one id between
+    them; words that hold the separator go alone. Words are remembered in two
+    generations of REMEMBERED / 2: when the younger is full it becomes the older,
+    from which words in use come back."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, text: str | None) -> bytes:
-        """Little-endian 32-bit ids, without the end id."""
-        words = (text or "").encode().split()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known, self.older = {}, {}
+        ids = {c: self.encode([c])[0] for c in "~^`|@"}
+        self.mark = next(c for c, x in ids.items() if len(x) == 1).encode()
+        self.mark_id = int(ids[self.mark.decode()][0])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[bytes]) -> None:
+        known, older = self.known, self.older
+        if len(known) > REMEMBERED // 2:
+            self.older, self.known = older, known = known, {}
+        missing = [w for w in words if w not in known]
+        fresh = []
+        for w in missing:
+            if w in older:
+                known[w] = older[w]
+            else:
+                fresh.append(w)
+        alone = [w for w in fresh if self.mark in w]
+        fresh = [w for w in fresh if self.mark not in w]
+        groups = [fresh[k : k + 400] for k in range(0, len(fresh), 400)]
+        between = b" %s " % self.mark
+        for k in range(0, len(groups), 20):
+            for group, ids in zip(groups[k : k + 20], self.encode([between.join(g).decode() for g in groups[k : k + 20]])):
+                stops = np.flatnonzero(ids == self.mark_id).tolist()
+                if len(stops) != len(group) - 1:
+                    alone += group
+                    continue
+                raw = ids.tobytes()
+                known.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(group, [0, *(x + 1 for x in stops)], [*stops, len(ids)]))
+        for k in range(0, len(alone), 1000):
+            known.update((w, x.tobytes()) for w, x in zip(alone[k : k + 1000], self.encode([w.decode() for w in alone[k : k + 1000]])))
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text, without the end id."""
+        split = [t.split() for t in texts]
+        self.learn(set().union(*split))
         known = self.known
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > REMEMBERED and known:
-            known.clear()
-            new = list(set(words))
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            found = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<i4").tobytes()) for w, e in zip(part, found))
-        return b"".join([known[w] for w in words])
+        return [b"".join([known[w] for w in words]) for words in split]
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
     """Write (doc_id, ids) of all rows to ORC files in ascending doc_id order (a
-    null doc_id first; rows of equal doc_id in the order of their texts). Each
+    null doc_id first; rows of equal doc_id by a hash of their texts). Each
     row's ids end with the end id; a null or empty text has this id alone.
     Other columns are not written. An empty table gives files without rows."""
     where = vocabulary or tokenizer_path()
-    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    slim = docs.select("doc_id", text.cast("binary").alias("text"), F.xxhash64(text).alias("h"))
     total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = int(max(1, -(-total // FILE_BYTES)))
-    dealt = slim.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "text")
-    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # ranges are sampled by doc_id and a hash, never by texts
+    dealt = slim.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h")
+    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder(where), np.array([END], "<i4").tobytes()
         for batch in batches:
-            for k in range(0, len(batch), 1000):
-                part = batch.slice(k, 1000)
-                ids = [encoder(t) + end for t in part.column(1).to_pylist()]
+            for k in range(0, len(batch), 200):
+                part = batch.slice(k, 200)
+                ids = [x + end for x in encoder(part.column(1).to_pylist())]
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 lists = pa.ListArray.from_arrays(pa.array(offsets), values)
@@ -114,7 +147,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     # a file's name begins with the number of its range, in ascending order
     rows = read_tokens(spark, path).select(
         "doc_id",
-        F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"),
+        F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("nth"),
         F.size("ids").cast("long").alias("n_tokens"),
