@@ -84,15 +84,15 @@ def stars(group: np.ndarray, bits: int = BITS) -> tuple[list[int], list[int]]:
         a, b = int(group[0]), int(group[1])
         return ([a], [b]) if ((a ^ b) & (1 << 64) - 1).bit_count() <= bits else ([], [])
     ends: tuple[list[int], list[int]] = [], []
-    rest = group
+    rest = group.view(np.uint64)  # of a negative number, bitwise_count counts another's bits
     while len(rest) > 1:
-        seed, front, rest = int(rest[0]), rest[:1], rest[1:]
+        seed, front, rest = int(rest[:1].view(np.int64)[0]), rest[:1], rest[1:]
         while len(front) and len(rest):
             some, front = front[:64], front[64:]
             hit = (np.bitwise_count(rest[None, :] ^ some[:, None]) <= bits).any(axis=0)
             new, rest = rest[hit], rest[~hit]
             front = np.concatenate([front, new])
-            ends[0].extend(new.tolist())
+            ends[0].extend(new.view(np.int64).tolist())
             ends[1].extend([seed] * len(new))
     return ends
 
