@@ -607,7 +607,7 @@ def _(spark, d):
 @query(
     "rpt2_digest",
     f"WITH c AS (SELECT * FROM nodes WHERE updated_at >= {AS_OF - 30 * DAY_MS} AND updated_at <= {AS_OF}), t AS (SELECT * FROM c ORDER BY updated_at DESC, id LIMIT 8), "
-    "f AS (SELECT * FROM t ORDER BY updated_at DESC, substr(label, 1, 60) DESC, id DESC LIMIT 5), l AS (SELECT string_agg(substr(label, 1, 60), ', ' ORDER BY updated_at DESC, substr(label, 1, 60) DESC, id DESC) AS labels FROM f) "
+    "f AS (SELECT * FROM t ORDER BY updated_at DESC, substr(label, 1, 60) DESC, id DESC LIMIT 5), l AS (SELECT coalesce(string_agg(substr(label, 1, 60), ', ' ORDER BY updated_at DESC, substr(label, 1, 60) DESC, id DESC), '') AS labels FROM f) "
     "SELECT labels, (SELECT count(*) FROM c) AS changed, (SELECT count(DISTINCT type) FROM c) AS types, cast(ceil(length(labels) / 4.0) as bigint) AS tokens FROM l",
     "nodes",
 )
