@@ -9,12 +9,13 @@ for each file, of which there are few, and running sums inside a file.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +25,6 @@ END = 1
 #: Rows between two entries of the row index, and the stripe size in bytes.
 STRIDE = 1000
 STRIPE = 16 << 20
-#: Distinct words whose ids a task remembers.
-REMEMBERED = 400_000
-#: Bytes of text that a file should hold.
-FILE_BYTES = 32 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -36,60 +33,101 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: A letter or digit and the ASCII signs between it and white space.
+SIGNS = r"([a-z0-9])([!-/:-@\[-`{-~]+)([\x20\x09-\x0D])"
+#: Bytes of text that a task encodes at once.
+AT_ONCE = 16 << 20
+#: Words that are encoded as one text.
+TOGETHER = 400
+
+
 class Encoder:
-    """Ids of whole texts. The tokenizer drops white space and never joins across
-    it, so the ids of a text are those of its words (runs without ASCII white
-    space) one after the other, and each distinct word is encoded once.
+    """Ids of whole texts, a batch of Arrow strings at a time.
+
+    The tokenizer drops white space and never joins across it, so the ids of a text
+    are those of its words (runs without ASCII white space) one after the other: the
+    distinct words of a batch are encoded once and put in place by array operations.
+    It also lower-cases, and ends a run of letters or digits at other signs; so A-Z
+    are lowered and ASCII signs at the end of a word split off beforehand, which
+    leaves fewer distinct words. Texts that may hold a special token are left as
+    they are.
 
-    New words are encoded many at a time, with a separator word of one id between
-    them; words that hold the separator go alone. Words are remembered in two
-    generations of REMEMBERED / 2: when the younger is full it becomes the older,
-    from which words in use come back."""
+    Words are encoded many together. A word of letters alone ends with the one id of
+    its that has the tokenizer's word end; between other words stands a separator
+    word of one id (words that hold it go alone)."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known, self.older = {}, {}
+        pieces = self.tokenizer.get_vocab()
+        suffix = self.tokenizer.model.end_of_word_suffix or "</w>"
+        self.ends = np.zeros(max(pieces.values()) + 1, bool)
+        self.ends[[i for piece, i in pieces.items() if piece.endswith(suffix)]] = True
         ids = {c: self.encode([c])[0] for c in "~^`|@"}
-        self.mark = next(c for c, x in ids.items() if len(x) == 1).encode()
-        self.mark_id = int(ids[self.mark.decode()][0])
+        self.mark = next(c for c, x in ids.items() if len(x) == 1)
+        self.mark_id = int(ids[self.mark][0])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: set[bytes]) -> None:
-        known, older = self.known, self.older
-        if len(known) > REMEMBERED // 2:
-            self.older, self.known = older, known = known, {}
-        missing = [w for w in words if w not in known]
-        fresh = []
-        for w in missing:
-            if w in older:
-                known[w] = older[w]
-            else:
-                fresh.append(w)
-        alone = [w for w in fresh if self.mark in w]
-        fresh = [w for w in fresh if self.mark not in w]
-        groups = [fresh[k : k + 400] for k in range(0, len(fresh), 400)]
-        between = b" %s " % self.mark
-        for k in range(0, len(groups), 20):
-            for group, ids in zip(groups[k : k + 20], self.encode([between.join(g).decode() for g in groups[k : k + 20]])):
-                stops = np.flatnonzero(ids == self.mark_id).tolist()
-                if len(stops) != len(group) - 1:
-                    alone += group
-                    continue
-                raw = ids.tobytes()
-                known.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(group, [0, *(x + 1 for x in stops)], [*stops, len(ids)]))
-        for k in range(0, len(alone), 1000):
-            known.update((w, x.tobytes()) for w, x in zip(alone[k : k + 1000], self.encode([w.decode() for w in alone[k : k + 1000]])))
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, without the end id."""
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split))
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def together(self, words: pa.Array, between: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and how many each has."""
+        ids, sizes = [], []
+        for k in range(0, len(words), TOGETHER * 50):
+            part = words.slice(k, TOGETHER * 50)
+            cuts = [*range(0, len(part), TOGETHER), len(part)]
+            groups = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.concat_arrays([part]))
+            for n, found in enumerate(self.encode(pc.binary_join(groups, between).to_pylist())):
+                count = cuts[n + 1] - cuts[n]
+                if between == " ":
+                    size = np.diff(np.flatnonzero(self.ends[found]), prepend=-1)
+                else:
+                    at = np.flatnonzero(found == self.mark_id)
+                    size = np.diff(np.concatenate([[-1], at, [len(found)]])) - 1
+                    found = found[found != self.mark_id]
+                if len(size) != count:  # not as expected: one by one
+                    alone = self.encode(part.slice(cuts[n], count).to_pylist())
+                    size, found = np.array([len(x) for x in alone]), np.concatenate(alone)
+                ids.append(found)
+                sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def words(self, words: pa.Array) -> pa.ListArray:
+        """The ids of each of the (distinct) words."""
+        letters = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False)
+        marked = pc.match_substring(words, self.mark).to_numpy(zero_copy_only=False)
+        filled = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+        sizes, found = np.zeros(len(words), np.int64), []
+        for some, between in ((letters, " "), (~letters & ~marked & filled, f" {self.mark} ")):
+            at = np.flatnonzero(some)
+            if len(at):
+                ids, sizes[at] = self.together(words.take(pa.array(at)), between)
+                found.append((at, ids))
+        at = np.flatnonzero(marked)
+        if len(at):
+            alone = self.encode(words.take(pa.array(at)).to_pylist())
+            sizes[at] = [len(x) for x in alone]
+            found.append((at, np.concatenate(alone)))
+        offsets = np.concatenate([[0], sizes.cumsum()])
+        values = np.empty(offsets[-1], np.int32)
+        for at, ids in found:
+            n = sizes[at]
+            values[np.repeat(offsets[at] - (n.cumsum() - n), n) + np.arange(len(ids))] = ids
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+
+    def __call__(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text, with the end id."""
+        special = pc.match_substring(texts, "<|")
+        # the space at the end lets the last word's signs be seen
+        low = pc.replace_substring_regex(pc.binary_join_element_wise(pc.ascii_lower(texts), "", " "), SIGNS, r"\1 \2\3")
+        lists = pc.ascii_split_whitespace(pc.if_else(special, texts, low))
+        coded = lists.values.dictionary_encode()
+        taken = self.words(coded.dictionary).take(coded.indices)
+        stops = taken.offsets.to_numpy()[lists.offsets.to_numpy()]
+        values = np.insert(taken.values.to_numpy()[stops[0] : stops[-1]], stops[1:] - stops[0], np.int32(END))
+        return pa.ListArray.from_arrays(pa.array((stops - stops[0] + np.arange(len(stops))).astype(np.int32)), pa.array(values))
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
@@ -99,23 +137,20 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> N
     Other columns are not written. An empty table gives files without rows."""
     where = vocabulary or tokenizer_path()
     text = F.coalesce("text", F.lit(""))
-    slim = docs.select("doc_id", text.cast("binary").alias("text"), F.xxhash64(text).alias("h"))
-    total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = int(max(1, -(-total // FILE_BYTES)))
-    # ranges are sampled by doc_id and a hash, never by texts
-    dealt = slim.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h")
+    slim = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
+    # as many ranges as the input has splits; the ranges are sampled by doc_id alone,
+    # so no text is read for them
+    parts = max(docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism)
+    dealt = slim.repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(where), np.array([END], "<i4").tobytes()
+        encoder = Encoder(where)
         for batch in batches:
-            for k in range(0, len(batch), 200):
-                part = batch.slice(k, 200)
-                ids = [x + end for x in encoder(part.column(1).to_pylist())]
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(offsets), values)
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
+            rows = max(1, len(batch) * AT_ONCE // max(1, batch.nbytes))
+            for k in range(0, len(batch), rows):
+                part = batch.slice(k, rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), encoder(part.column(1))], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     encoded = dealt.mapInArrow(encode, f"doc_id {kind}, ids array<int>")
@@ -140,24 +175,29 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     """For each row of the files: doc_id, start (ids of all rows before it),
     n_tokens and ids_crc32, all from the ids as read back."""
 
-    @F.pandas_udf("bigint")
-    def checksum(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: crc32(np.asarray(x, "<i4").tobytes()))
-
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            at, ids = lists.offsets.to_pylist(), memoryview(lists.values.to_numpy().astype("<i4", copy=False)).cast("B")
+            sums = [crc32(ids[4 * i : 4 * j]) for i, j in zip(at, at[1:])]
+            sizes = np.diff(np.array(at, np.int64))
+            nth = np.arange(len(batch)) + check.rows
+            check.rows += len(batch)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(nth), pa.array(sizes), pa.array(sums, pa.int64())], ["doc_id", "file", "nth", "n_tokens", "ids_crc32"]
+            )
+
+    check.rows = 0
+    tokens = read_tokens(spark, path)
+    kind = tokens.schema["doc_id"].dataType.simpleString()
     # a file's name begins with the number of its range, in ascending order
-    rows = read_tokens(spark, path).select(
-        "doc_id",
-        F.col("_metadata.file_name").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("nth"),
-        F.size("ids").cast("long").alias("n_tokens"),
-        checksum("ids").alias("ids_crc32"),
-    )
+    rows = tokens.select("doc_id", F.concat("_metadata.file_name", F.format_string(":%015d", "_metadata.file_block_start")).alias("file"), "ids")
+    rows = rows.mapInArrow(check, f"doc_id {kind}, file string, nth long, n_tokens long, ids_crc32 long")
     rows = cut(rows, "tokenindex")
     sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    # one row for each file
+    # one row for each split of a file
     offsets = cut(sums.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before")), "offsets")
-    inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "block", "nth")
+    inside = Window.partitionBy("file").orderBy("nth")
     start = F.col("before") + F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
     return rows.join(offsets, "file").select("doc_id", start.alias("start"), "n_tokens", "ids_crc32")
 
