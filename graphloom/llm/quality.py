@@ -124,7 +124,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = slim.join(host_verdicts(slim), F.col("row.source").eqNullSafe(F.col("host")), "left")
     return kept.select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"), "host_rate",
+        (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"), F.round("host_rate", 4).alias("host_rate"),
     )
 
 

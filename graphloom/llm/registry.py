@@ -26,4 +26,48 @@ QUERIES = {
     "op10_token_files": op10_token_files,
 }
 
-SQL: dict[str, str] = {}
+#: DuckDB statements. The other operators rest on hashes, permutations, models or
+#: tokenizers that SQL lacks; tests/llm has brute-force versions of them.
+SQL: dict[str, str] = {
+    "op1_decontamination": r"""
+WITH iw AS (
+    SELECT coalesce(cast(item_id AS VARCHAR), '') AS item,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), win AS (
+    SELECT DISTINCT item, least(13, len(w)) AS size, array_to_string(list_slice(w, i, i + 12), ' ') AS words
+    FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM iw WHERE len(w) > 0) x
+), dw AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), spots AS (
+    SELECT doc_id, size, p.i, p.words
+    FROM (SELECT doc_id, size, unnest(list_transform(range(1, greatest(len(w) - size + 1, 0) + 1), lambda i: struct_pack(i := i, words := array_to_string(list_slice(w, i, i + size - 1), ' ')))) AS p
+          FROM dw, (SELECT DISTINCT size FROM win) z) x
+), hit AS (SELECT spots.doc_id, spots.i, spots.size, win.item FROM spots JOIN win ON spots.size = win.size AND spots.words = win.words),
+n AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM hit) x GROUP BY 1),
+f AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) x GROUP BY 1)
+SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id)""",
+    "op6_quality": r"""
+WITH d AS (
+    SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    FROM documents
+), tri AS (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS n
+    FROM (SELECT doc_id, p.i, p.t FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: struct_pack(i := i, t := w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS p FROM d) x) y
+), rep AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM tri WHERE n > 1) x GROUP BY 1),
+m AS (
+    SELECT d.doc_id, source, cast(len(w) AS BIGINT) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+           length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, cast(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+           coalesce(rep.n, 0) AS n_repeat_words
+    FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id
+), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS bad FROM b GROUP BY 1),
+p AS (SELECT avg(bad / n) AS m, greatest(coalesce(var_samp(bad / n), 0) - avg(bad / n * (1 - bad / n) / n), 1e-6) AS spread FROM h),
+s AS (SELECT source, (bad + m * k) / (n + k) AS rate FROM h, (SELECT m, greatest(m * (1 - m) / spread - 1, 0) + 1e-3 AS k FROM p) q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rate > 0.9 AS kept, round(rate, 4) AS host_rate
+FROM b JOIN s ON s.source IS NOT DISTINCT FROM b.source""",
+}
