@@ -113,20 +113,21 @@ def file_search(chunks: DataFrame, query: str, limit: int = 8) -> DataFrame:
     """One chunk (the first lines) of each file whose base name matches a token:
     1 for the word itself, 0.85 for its stem, 0.6 for a part of it; deeper paths
     score less. Paths are scored before chunks are joined."""
-    words = F.array(*[F.lit(w) for w in re.split(r"[^a-zA-Z0-9_\-]+", query.lower()) if len(w) > 2])
-    paths = chunks.select("file_path").distinct()
+    words = list(dict.fromkeys(w for w in re.split(r"[^a-zA-Z0-9_\-]+", query.lower()) if len(w) > 2))
     name = F.lower(F.element_at(F.split("file_path", "/"), -1))
-    paths = paths.withColumn("name", name).withColumn("base", F.regexp_replace("name", r"\.[^.]+$", ""))
-    parts = F.array_distinct(F.concat(F.array("name", "base"), F.split("base", "[._-]+")))
-
-    def pair(w: Column, p: Column) -> Column:
-        a, b = stem(w), stem(p)
-        alike = (a == b) | ((F.length(a) >= 5) & (F.length(b) >= 5) & (F.left(a, F.lit(5)) == F.left(b, F.lit(5))))
-        part = (F.length(w) >= 4) & (F.contains(F.col("base"), w) | F.contains(w, F.col("base")))
-        return F.when(w == p, 1.0).when(alike, 0.85).when(part, 0.6).otherwise(0.0)
-
-    scores = F.flatten(F.transform(words, lambda w: F.transform(F.col("parts"), lambda p: pair(w, p))))
-    best = paths.withColumn("parts", parts).withColumn("best", F.coalesce(F.array_max(scores), F.lit(0.0))).filter("best > 0")
+    paths = chunks.select("file_path").distinct().withColumn("name", name).withColumn("base", F.regexp_replace("name", r"\.[^.]+$", ""))
+    paths = paths.withColumn("parts", F.array_distinct(F.concat(F.array("name", "base"), F.split("base", "[._-]+"))))
+    paths = paths.withColumn("stems", F.array_distinct(F.transform("parts", stem)))  # once a file, not once a word
+
+    def hit(word: str) -> Column:
+        root = word
+        for ending in ENDINGS:
+            root = re.sub(ending, "", root)
+        alike = lambda x: (x == root) | (F.left(x, F.lit(5)) == root[:5]) if len(root) >= 5 else x == root
+        part = (F.col("base").contains(word) | F.contains(F.lit(word), F.col("base"))) if len(word) >= 4 else F.lit(False)
+        return F.when(F.array_contains("parts", word), 1.0).when(F.exists("stems", alike), 0.85).when(part, 0.6).otherwise(0.0)
+
+    best = paths.withColumn("best", F.array_max(F.array(F.lit(0.0), *map(hit, words)))).filter("best > 0")
     score = F.col("best") / (1 + F.log(F.size(F.split("file_path", "/"))))
     top = best.select("file_path", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "file_path").limit(limit)
     rows = chunks.join(F.broadcast(top), "file_path")  # at most ``limit`` paths

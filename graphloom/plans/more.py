@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import text as T
+from graphloom.operators import aggregates as A
+from graphloom.operators import etl as E
+from graphloom.operators import graph as G
+from graphloom.operators import joins as J
+from graphloom.operators import journal as JR
+from graphloom.operators import merge as M
+from graphloom.operators import reports as R
+from graphloom.operators import search as S
 from graphloom.plans.canonical import DAY_MS, load
-from graphloom.plans.queries import AS_OF, JOURNAL_AS_OF, QUESTION, A, E, G, JR, M, R, S, T, _t, query
+from graphloom.plans.queries import AS_OF, JOURNAL_AS_OF, _t, query
+
+QUESTION = "where is the code for standard brushed part files"
 
 # ---- search
 
@@ -403,8 +414,6 @@ def _(spark, d):
 
 @query("jn8_resolve_imports", "SELECT 'src/m' || p_partkey || '.ts' AS source, 'src/m' || (p_partkey - 1) || '.ts' AS target FROM part WHERE p_partkey - 1 IN (SELECT p_partkey FROM part)")
 def _(spark, d):
-    from graphloom.operators import joins as J
-
     files = modules(spark, d)
     return J.resolve_imports(E.specifiers(files), files.select("path"))
 
@@ -414,8 +423,6 @@ def _(spark, d):
     "SELECT p_brand AS file, p_type AS label, 'even' AS preferred, arg_min(p_partkey, struct_pack(a := p_partkey % 2, b := p_partkey)) AS id FROM part GROUP BY 1, 2",
 )
 def _(spark, d):
-    from graphloom.operators import joins as J
-
     part = load(spark, d, "part")
     kind = F.when(F.col("p_partkey") % 2 == 0, "even").otherwise("odd")
     symbols = part.select(F.col("p_brand").alias("file"), F.col("p_type").alias("label"), F.col("p_partkey").alias("id"), kind.alias("type"), F.col("p_partkey").alias("seq"))

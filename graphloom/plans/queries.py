@@ -7,17 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions import text as T
 from graphloom.operators import aggregates as A
-from graphloom.operators import etl as E
 from graphloom.operators import filters as FL
-from graphloom.operators import graph as G
 from graphloom.operators import joins as J
 from graphloom.operators import journal as JR
-from graphloom.operators import merge as M
-from graphloom.operators import reports as R
-from graphloom.operators import search as S
-from graphloom.plans.canonical import BASE_MS, DAY_MS, HOUR_MS, load, with_tables
+from graphloom.plans.canonical import BASE_MS, HOUR_MS, load, with_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,7 +19,6 @@ ORACLE: dict[str, str] = {}
 
 AS_OF = BASE_MS + 5000 * HOUR_MS
 JOURNAL_AS_OF = 1_706_745_600_000  # 2024-02-01
-QUESTION = "where is the code for standard brushed part files"
 
 
 def query(name: str, sql: str | None = None, *tables: str, recursive: bool = False) -> Callable[[Query], Query]:
