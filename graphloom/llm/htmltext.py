@@ -19,7 +19,6 @@ import numpy as np
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.base import annotate, as_rows, table
