@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows that a task turns into Python objects at once.
+ROWS = 1000
 #: White space of the contracts: a space and the controls 9 to 13.
 SPACE_CLASS = "\\x20\\x09-\\x0D"
 
@@ -82,10 +84,13 @@ def annotate(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute, schema = make(), to_arrow_schema(added)
         for batch in batches:
-            whole = batch.column(batch.schema.get_field_index("row"))
-            texts = utf8(whole.field(column)).to_pylist()
-            new = [pa.array(x, f.type) for x, f in zip(compute(texts), schema)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *schema.names])
+            for start in range(0, len(batch), ROWS):
+                part = batch.slice(start, ROWS)
+                whole = part.column(part.schema.get_field_index("row"))
+                # flatten() takes a null struct and a slice's offset into account
+                texts = utf8(whole.flatten()[whole.type.get_field_index(column)]).to_pylist()
+                new = [pa.array(x, f.type) for x, f in zip(compute(texts), schema)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *schema.names])
 
     return rows.mapInArrow(run, out)
 

@@ -14,8 +14,9 @@ hundred) take part.
    quicksort to SHALLOW bytes and blind tries for groups that are equal so far.
    Neighbours in the order give the longest right match among all contexts that
    agree on so much to the left; both together must reach LENGTH bytes.
-4. A gram with over GROUP different contexts is not sorted in one task: its
-   strings of LENGTH bytes are counted by fingerprint, in the whole cluster.
+4. A gram with over GROUP different contexts is not sorted in one task: contexts
+   that share a long cut with none are dropped, the strings of LENGTH bytes of the
+   rest are counted by fingerprint, in the whole cluster.
 5. The matches go back to all anchors of a context and are united by document.
 """
 
@@ -25,7 +26,6 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +36,11 @@ from graphloom.llm.base import as_rows, cut, table
 LENGTH = 400
 GRAM = 160
 SHALLOW = 16
-#: Contexts of one gram that a task sorts; grams with more are counted instead.
-GROUP = 256
+#: Contexts of one gram that a task sorts (about 20 MB); grams with more are counted
+#: instead.
+GROUP = 1 << 15
+#: Bytes between the cuts by which contexts of such grams are compared beforehand.
+STEP = 40
 #: Bytes of a text that are hashed at once.
 SEGMENT = 4 << 20
 NO_ID = -(1 << 63)
@@ -113,8 +116,8 @@ def anchor_rows(docs: DataFrame, length: int, gram: int, hashes_only: bool = Fal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, digest = Anchors(length, gram), xxhash.xxh64_intdigest
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.slice(k, 500)
+            for k in range(0, len(batch), 200):
+                part = batch.slice(k, 200)
                 texts = part.column(2).to_pylist()
                 found = [find(x) for x in texts]
                 h = np.concatenate([x[1] for x in found])
@@ -246,6 +249,13 @@ def matches(lefts: list[bytes], rights: list[bytes], length: int, gram: int) ->
                 best[order[r]] = reach
                 out.append((order[r], depth, reach))
 
+    def visit_many(depth: int, ranks: np.ndarray) -> None:
+        right = np.minimum.reduceat(near_array[: ranks[-1]], ranks[:-1])
+        reach = np.maximum(np.append(0, right), np.append(right, 0))
+        for k in np.flatnonzero((reach >= length - depth) & (reach > best_array[ranks])).tolist():
+            best_array[ranks[k]] = reach[k]
+            out.append((order[ranks[k]], depth, int(reach[k])))
+
     def climb(node) -> list[int]:
         inner = len(node) == 2 and isinstance(node[1], dict)
         ranks = sorted(r for c in node[1].values() for r in climb(c)) if inner else sorted(rank[k] for k in node)
@@ -253,6 +263,18 @@ def matches(lefts: list[bytes], rights: list[bytes], length: int, gram: int) ->
             visit(node[0] if inner else len(lefts[node[0]]), ranks)
         return ranks
 
+    def climb_many(node) -> np.ndarray:
+        inner = len(node) == 2 and isinstance(node[1], dict)
+        parts = [climb_many(c) for c in node[1].values()] if inner else [np.array([rank[k] for k in node])]
+        ranks = np.sort(np.concatenate(parts), kind="stable")
+        if len(ranks) > 1:
+            visit_many(node[0] if inner else len(lefts[node[0]]), ranks)
+        return ranks
+
+    if len(lefts) > 200:
+        near_array, best_array = np.array(near), np.zeros(len(lefts), np.int64)
+        climb_many(BlindTrie(lefts, deep_shallow(lefts, 0), 0).root)
+        return out
     climb(BlindTrie(lefts, deep_shallow(lefts, 0), 0).root)
     return out
 
@@ -284,33 +306,60 @@ def sorted_matches(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for h, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                members = list({m["f"]: m for m in members}.values())  # repeated rows
-                if len(members) > 1:
-                    for k, low, high in matches([m["left"] for m in members], [m["right"] for m in members], length, gram):
-                        for column, v in zip(out, (h, members[k]["f"], -low, high)):
-                            column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["h", "f", "low", "high"])
+            for start in range(0, len(batch), 200):
+                part, out = batch.slice(start, 200), ([], [], [], [])
+                for h, members in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    members = list({m["f"]: m for m in members}.values())  # repeated rows
+                    if len(members) > 1:
+                        for k, low, high in matches([m["left"] for m in members], [m["right"] for m in members], length, gram):
+                            for column, v in zip(out, (h, members[k]["f"], -low, high)):
+                                column.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["h", "f", "low", "high"])
 
     return groups.mapInArrow(run, "h long, f long, low long, high long")
 
 
-def counted_matches(rows: DataFrame, length: int) -> DataFrame:
+def shared_cuts(rows: DataFrame, length: int, gram: int, step: int = STEP) -> DataFrame:
+    """The rows that may share ``length`` bytes with another one of their gram: if
+    two agree on so much, the left part of it being L bytes, they agree on the
+    ``length - step`` bytes that begin L / step whole steps to the left. So few and
+    short keys tell who is alone; he is dropped before strings are counted."""
+    size = max(gram, length - step)
+    step = length - size
+    keys = []
+    for low in range(0, length - gram + 1, max(1, step)):
+        left, right = min(low, size), max(0, size - low)
+        a, b = F.substring("left", 1, left), F.substring("right", 1, right)
+        key = F.struct(F.lit(low).alias("i"), F.xxhash64(a, b).alias("u"), F.crc32(F.concat(b, a)).alias("v"))
+        keys.append(F.when((F.octet_length("left") >= left) & (F.octet_length("right") >= right), key))
+    cuts = rows.select("h", "f", F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias("k")).select("h", "f", "k.*")
+    often = cuts.groupBy("h", "i", "u", "v").count().filter("count > 1").drop("count")
+    near = cuts.join(often, ["h", "i", "u", "v"], "left_semi").select("h", "f").distinct()
+    return rows.join(near, ["h", "f"], "left_semi")
+
+
+def counted_matches(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """The same for grams of more contexts: their strings are counted by 128-bit
     fingerprint, partial counts first."""
 
-    @F.pandas_udf("array<struct<low: bigint, u: bigint, v: bigint>>")
-    def strings(left: pd.Series, right: pd.Series) -> pd.Series:
-        def of(a: bytes, b: bytes) -> list[tuple[int, int, int]]:
-            text = a[::-1] + b
-            marks = [xxhash.xxh3_128_digest(text[i : i + length]) for i in range(len(text) - length + 1)]
-            return [(i - len(a), *np.frombuffer(m, np.int64).tolist()) for i, m in enumerate(marks)]
-
-        return pd.Series([of(a, b) for a, b in zip(left, right)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), 64):
+                out: tuple[list, ...] = ([], [], [])
+                marks: list[bytes] = []
+                for x in batch.slice(k, 64).to_pylist():
+                    text, n = x["left"][::-1] + x["right"], len(marks)
+                    marks += [xxhash.xxh3_128_digest(text[i : i + length]) for i in range(len(text) - length + 1)]
+                    size = len(marks) - n
+                    for column, v in zip(out, (np.full(size, x["h"]), np.full(size, x["f"]), np.arange(size) - len(x["left"]))):
+                        column.append(v)
+                if marks:
+                    halves = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
+                    columns = [*(np.concatenate(c) for c in out), halves[:, 0].copy(), halves[:, 1].copy()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["h", "f", "low", "u", "v"])
 
-    once = rows.dropDuplicates(["h", "f"])
-    each = once.select("h", "f", F.explode(strings("left", "right")).alias("s")).select("h", "f", "s.*")
+    once = rows.dropDuplicates(["h", "f"]).select("h", "f", "left", "right")
+    each = shared_cuts(once, length, gram).mapInArrow(run, "h long, f long, low long, u long, v long")
     often = each.groupBy("h", "low", "u", "v").count().filter("count > 1").select("h", "low", "u", "v")
     return each.join(often, ["h", "low", "u", "v"]).select("h", "f", "low", (F.col("low") + length).alias("high"))
 
@@ -326,7 +375,7 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, length: int, gram: int, gr
     left = F.least(a, F.lit(length - gram).cast("long"))
     whole = alike.filter((F.col("c") > 1) & (left + r >= length)).select("h", "f", (-left).alias("low"), r.alias("high"))
     around = contexts(dealt, alike.join(grams, "h"), length, gram)
-    part = sorted_matches(around.filter(~F.col("hot")), length, gram).union(counted_matches(around.filter("hot"), length))
+    part = sorted_matches(around.filter(~F.col("hot")), length, gram).union(counted_matches(around.filter("hot"), length, gram))
     found = whole.union(part).distinct()
     spans = some.join(found, ["h", "f"]).select("id", "t", F.struct((a + F.col("low")).alias("a"), (a + F.col("high")).alias("b")).alias("s"))
     return spans.groupBy("id", "t").agg(F.collect_set("s").alias("spans"))
@@ -348,8 +397,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.slice(k, 500)
+            for k in range(0, len(batch), 200):
+                part = batch.slice(k, 200)
                 out: tuple[list, ...] = ([], [], [], [], [])
                 for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     merged: list[list[int]] = []
