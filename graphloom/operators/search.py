@@ -90,8 +90,10 @@ def graph_search(nodes: DataFrame, edges: DataFrame, query: str | list[str], lim
     named = slim.join(F.broadcast(tokens_df), F.contains("low", "token") | F.contains("low_id", "token"))
     rank = F.row_number().over(Window.partitionBy("token").orderBy("id"))
     direct = named.withColumn("n", rank).filter(F.col("n") <= PER_TOKEN).select("id").distinct()
-    beside = edges.join(F.broadcast(direct), edges["source"] == direct["id"]).select(F.col("target").alias("id"))
-    beside = beside.union(edges.join(F.broadcast(direct), edges["target"] == direct["id"]).select(F.col("source").alias("id"))).distinct()
+    # one pass over the edges, each taken from both of its ends
+    pair = lambda a, b: F.struct(F.col(a).alias("id"), F.col(b).alias("other"))
+    ends = edges.select(F.inline(F.array(pair("source", "target"), pair("target", "source"))))
+    beside = ends.join(F.broadcast(direct), "id").select(F.col("other").alias("id")).distinct()
     scored = direct.withColumn("score", F.lit(1.0)).union(beside.withColumn("score", F.lit(0.7)))
     scored = scored.groupBy("id").agg(F.max("score").alias("score"))
     rows = nodes.filter("content is not null").join(scored, "id")
