@@ -366,7 +366,8 @@ def counted_matches(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, dealt: DataFrame, length: int, gram: int, group: int) -> DataFrame:
     """(id, t, spans): byte ranges to remove, of documents that have any."""
-    twice = anchor_rows(docs, length, gram, hashes_only=True).groupBy("h").count().filter("count > 1").select("h")
+    # written, so that the join deals out both of its sides and can split a common gram
+    twice = cut(anchor_rows(docs, length, gram, hashes_only=True).groupBy("h").count().filter("count > 1").select("h"), "grams")
     some = cut(anchor_rows(docs, length, gram).join(twice, "h", "left_semi"), "anchors")
     alike = some.groupBy("h", "f").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "t", "p")).alias("one"))
     alike = alike.select("h", "f", "c", "one.*")
