@@ -371,7 +371,7 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, length: int, gram: int, gr
     some = cut(anchor_rows(docs, length, gram).join(twice, "h", "left_semi"), "anchors")
     alike = some.groupBy("h", "f").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "t", "p")).alias("one"))
     alike = alike.select("h", "f", "c", "one.*")
-    grams = alike.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h", (F.col("m") > group).alias("hot"))
+    grams = cut(alike.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h", (F.col("m") > group).alias("hot")), "grams")
     a, r = F.shiftright("p", 10), F.col("p").bitwiseAND(F.lit(1023))
     left = F.least(a, F.lit(length - gram).cast("long"))
     whole = alike.filter((F.col("c") > 1) & (left + r >= length)).select("h", "f", (-left).alias("low"), r.alias("high"))
