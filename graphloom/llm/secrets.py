@@ -1,7 +1,7 @@
 """Secret scans (operator 4): a random forest over secret candidates.
 
-Candidates are words that hold a run of at least MIN_LENGTH key characters with a
-digit, found anywhere in the whole text together with their neighbouring words. A
+Candidates are runs of at least MIN_LENGTH key characters with a digit, all of a
+word, found anywhere in the whole text together with what stands around them. A
 random forest, trained from labelled findings, drops false positives by length,
 character transitions, dictionary coverage, path and neighbouring words. All of it
 is DataFrame expressions and Spark's own forest; labels are a bounded DataFrame.
@@ -34,33 +34,47 @@ WORDS = (
 PATHS = "test|spec|example|sample|fixture|mock|doc"
 
 
+def pieces(word: Column) -> Column:
+    """The word cut behind each of its runs, so that every piece has one run; what
+    follows the last run stays with it. A word with one run or none is one piece."""
+    cut = F.regexp_replace(F.regexp_replace(word, CANDIDATE, "$0 "), " ([^ ]*+)\\z", "$1")
+    return F.when(F.length(word) < MIN_LENGTH, F.array(word)).otherwise(F.split(cut, " "))
+
+
 def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
-    """(row, position, value, before, after, path): one row for each candidate.
-    position counts the text's words from 0."""
+    """(row, position, run, offset, word, before, after, path, value): one row for
+    each candidate. position counts the text's words from 0, run the word's runs
+    from 0, offset is the run's first character in the word. word is the piece
+    around the run; neighbours are pieces too, of the same word or of others."""
     text = F.coalesce(F.col("row.text"), F.lit(""))
     words = F.filter(F.split(text, f"[{SPACE_CLASS}]+"), lambda w: w != "")
-    rows = as_rows(docs).withColumn("words", words)
-    looks = lambda w: (F.length(w) >= MIN_LENGTH) & w.rlike("[0-9]") & w.rlike(CANDIDATE)
-    places = F.filter(F.transform("words", lambda w, i: F.when(looks(w), i)), lambda i: i.isNotNull())
-    each = rows.withColumn("places", places).select("row", "words", F.explode("places").alias("position"))
+    each = lambda w, i: F.transform(pieces(w), lambda p, k: F.struct(p.alias("piece"), i.alias("position"), k.alias("run")))
+    rows = as_rows(docs).withColumn("pieces", F.flatten(F.transform(words, each)))
+    looks = lambda w: (F.length(w) >= MIN_LENGTH) & w.rlike("[0-9]") & F.regexp_extract(w, CANDIDATE, 0).rlike("[0-9]")
+    places = F.filter(F.transform("pieces", lambda x, i: F.when(looks(x.piece), i)), lambda i: i.isNotNull())
+    each = rows.withColumn("places", places).select("row", "pieces", F.explode("places").alias("place"))
     where = F.col(f"row.{path}").cast("string") if path else F.lit("")
-    around = lambda start, size: F.array_join(F.slice("words", start, size), " ")
-    i = F.col("position")
-    return each.select(
+    around = lambda start, size: F.array_join(F.slice("pieces", start, size).piece, " ")
+    i = F.col("place")
+    found = each.withColumn("own", F.get("pieces", i)).select(
         "row",
-        i.cast("long").alias("position"),
-        F.get("words", i).alias("word"),
+        F.col("own.position").cast("long").alias("position"),
+        F.col("own.run").cast("long").alias("run"),
+        F.aggregate(F.slice("pieces", i - F.col("own.run") + 1, F.col("own.run")), F.lit(0), lambda n, x: n + F.length(x.piece)).alias("start"),
+        F.col("own.piece").alias("word"),
         around(F.greatest(i - NEAR + 1, F.lit(1)), F.least(i, F.lit(NEAR))).alias("before"),
         around(i + 2, F.lit(NEAR)).alias("after"),
         F.coalesce(where, F.lit("")).alias("path"),
     ).withColumn("value", F.regexp_extract("word", CANDIDATE, 0))
+    offset = (F.col("start") + F.position("value", "word") - 1).cast("long")
+    return found.withColumn("offset", offset).drop("start")
 
 
 def features() -> dict[str, Column]:
     """Forest inputs from value, word, before, after and path."""
     v, n = F.col("value"), F.length("value").cast("double")
     count = lambda p: F.regexp_count(v, F.lit(p)).cast("double")
-    chars = F.array_distinct(F.split(F.substring(v, 1, 512), ""))
+    chars = F.array_distinct(F.split(v, ""))
     part = lambda c: (F.length(v) - F.length(F.replace(v, c, F.lit("")))) / n
     entropy = F.aggregate(
         F.filter(chars, lambda c: c != ""), F.lit(0.0), lambda s, c: s - F.when(part(c) > 0, part(c) * F.log2(part(c))).otherwise(0.0)
@@ -137,19 +151,19 @@ def train(findings: DataFrame, seed: int = SEED) -> PipelineModel:
 
 
 def scan(docs: DataFrame, model: PipelineModel, path: str | None = "source", least: float = 0.5) -> DataFrame:
-    """One row for each candidate: row, position, value, score, is_secret.
+    """One row for each candidate: row, position, run, offset, value, score, is_secret.
 
-    A null or empty text has no candidates, a null path counts as empty. A word
+    A null or empty text has no candidates, a null path counts as empty. A run
     of any length is one candidate. Repeated words and rows are reported each
     time. An empty table gives no rows; the caller's columns stay inside ``row``.
     """
     found = model.transform(candidates(docs, path).withColumns(features()))
     score = vector_to_array("probability")[1]
-    return found.select("row", "position", "value", F.round(score, 6).alias("score")).withColumn("is_secret", F.col("score") >= least)
+    return found.select("row", "position", "run", "offset", "value", F.round(score, 6).alias("score")).withColumn("is_secret", F.col("score") >= least)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every document with the forest's verdict; the value
     itself is shown as a hash."""
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), train(labelled_findings(spark)))
-    return found.select("row.doc_id", "position", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("length"), "score", "is_secret")
+    return found.select("row.doc_id", "position", "run", "offset", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("length"), "score", "is_secret")

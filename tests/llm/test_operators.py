@@ -342,6 +342,38 @@ def test_secrets(spark, empty):
     assert secrets.scan(empty, model).count() == 0
 
 
+def test_secrets_runs(spark):
+    """Every run of a word is a candidate, wherever the digits of the others are."""
+    model = secrets.train(secrets.labelled_findings(spark))
+    aws, git, other = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY0", "ghp_16C7e42F292c6912E7710c838347Ae178B4a", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    texts = [
+        f'then {{"aws_secret_access_key":"{aws}"}} end',
+        f"https://accounts.example.com/callback?access_token={git}",
+        f'a,"token":"{other}",é7,"secret":"{aws}"}};{git};tail1',
+        f'1:"configuration_without_digits" {other}',
+        ";".join(f"{other}{k}" for k in range(300)),
+        "key=" + "ab" * 400 + "".join(chr(48 + k % 10) + "xyzw"[k % 4] for k in range(300)),
+    ]
+    found = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, None)
+    want = []
+    for k, text in enumerate(texts):
+        for i, w in enumerate(words_of(text)):
+            want += [(k, i, n, m.start(), m[0]) for n, m in enumerate(re.finditer(secrets.CANDIDATE, w)) if re.search("[0-9]", m[0])]
+    got = found.selectExpr("row.doc_id", "position", "run", "offset", "value", "is_secret").collect()
+    assert Counter(tuple(x)[:5] for x in got) == Counter(want) and len(want) == 307
+    assert all(x.is_secret for x in got if x.value in (aws, git, other) and x.doc_id != 3)  # nothing tells of a key there
+
+
+def test_secrets_entropy(spark):
+    """Over the whole value, also behind its first 512 characters."""
+    import math
+
+    value = "a1" * 300 + "".join(chr(65 + k % 26) for k in range(700))
+    frame = spark.createDataFrame([(value, value, "", "", "")], "value string, word string, before string, after string, path string")
+    got = frame.select(secrets.features()["f_entropy"]).first()[0]
+    assert abs(got + sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())) < 1e-9
+
+
 def test_secrets_held_out(spark):
     """Findings that the forest was not trained on."""
     model = secrets.train(secrets.labelled_findings(spark, 4000))
