@@ -51,7 +51,7 @@ def with_repeated_words(rows: DataFrame) -> DataFrame:
     grow = lambda s, i: F.struct((s.n + F.least(F.lit(3), i + 3 - s.to)).alias("n"), (i + 3).alias("to"))
     none = F.array().cast("array<bigint>")
     return (
-        rows.withColumn("packed", F.when(n < 6, none).otherwise(packed))
+        rows.withColumn("packed", F.when(n < 4, none).otherwise(packed))
         .withColumn("places", F.when(F.size("packed") == 0, F.array().cast("array<int>")).otherwise(places))
         .withColumn("full", F.array_sort(F.transform("places", window)))
         .withColumn("at", F.sort_array(F.transform(true, lambda x: x.i)))

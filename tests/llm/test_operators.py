@@ -80,6 +80,14 @@ def test_quality(docs, rows, empty):
     assert quality.judged(empty).count() == 0
 
 
+def test_quality_short_repeats(spark):
+    """Overlapping windows repeat from four words on."""
+    texts = ["a a a a", "a b a b a", "a a a a a", "a a a", "a b c d", "a b c a b", "b a a a a", "a b a b", "a b a b a b"]
+    got = quality.measured(spark.createDataFrame([(t,) for t in texts], "text string")).select("row.text", "n_repeat_words").collect()
+    assert {x.text: x.n_repeat_words for x in got} == {t: brute_quality(t)[4] for t in texts}
+    assert brute_quality("a a a a")[4] == 4 and brute_quality("a b a b a")[4] == 5
+
+
 def test_quality_hosts(spark):
     """A host that fails nearly always takes its good documents with it; others don't."""
     good, bad = " ".join(f"w{i}" for i in range(80)), "short"
