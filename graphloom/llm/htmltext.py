@@ -30,7 +30,9 @@ TREES, DEPTH, SEED = 16, 5, 42
 # Fixed values of HTML: elements without content, elements whose content is no
 # text of the page, elements that start a block, and what closes an open <p>.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title svg math iframe object select datalist button textarea canvas audio video map".split())
+HIDDEN = frozenset("script style noscript template title svg iframe object select datalist button textarea canvas audio video".split())
+#: What may stand in <head>; anything else ends it.
+HEAD = frozenset("head html base basefont bgsound link meta noframes noscript script style template title".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
 BLOCK = frozenset(
     "html body article main section nav header footer aside div form fieldset p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th "
@@ -54,7 +56,8 @@ KINDS = ("article main section nav header footer aside div form p h1 h2 ul ol li
 NAMES = [f"is_{k}" for k in KINDS] + ["good"] + [f"bad_{k}" for k in BAD] + ["up_good"] + [f"up_{k}" for k in BAD]
 NAMES += "length words links per_node stops depth nth nth_back siblings share parent_share rank heading paragraphs up_nav up_article bad up_bad main main_in".split()
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
+#: As in browsers, a quote holds a value only right behind "="; elsewhere, or if it is never closed, the tag ends at the next ">".
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"'=]++|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>][^\s<>]*+)|[=\"'])*+)>", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -69,10 +72,13 @@ class Page:
         self.linked: list[int] = []
         stack: list[tuple[str, int]] = [("html", 0)]
         hidden = links = at = 0
+        in_head = False
         while True:
             found = TAG.search(source, at)
             stop = found.start() if found else len(source)
-            if stop > at and not hidden:
+            if in_head and not hidden and not source[at:stop].isspace() and stop > at:
+                in_head = False
+            if stop > at and not hidden and not in_head:
                 self.piece(stack[-1][1], source[at:stop], links)
             if not found:
                 break
@@ -81,6 +87,8 @@ class Page:
             if not name:
                 continue
             if found[1]:
+                if name in ("head", "body", "html"):
+                    in_head = False
                 if name in HIDDEN:
                     hidden = max(0, hidden - 1)
                 elif name == "a":
@@ -88,7 +96,13 @@ class Page:
                 elif name in BLOCK:
                     self.close(stack, name)
                 continue
-            if name in HIDDEN:
+            if name == "body" or name == "article":
+                hidden = 0
+            if not hidden and name not in HEAD:
+                in_head = False
+            if name == "head":
+                in_head = len(self.tag) == 1 and not self.pieces
+            elif name in HIDDEN:
                 if name in RAW:  # no elements inside: skip to its end
                     end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
                     at = end.end() if end else len(source)
@@ -107,8 +121,6 @@ class Page:
                 self.parent.append(stack[-1][1])
                 self.tokens.append(self.attributes(found[3]))
                 stack.append((name, node))
-            elif name == "body" or name == "article":
-                hidden = 0
 
     def piece(self, node: int, text: str, linked: int) -> None:
         self.pieces.append((node, text))

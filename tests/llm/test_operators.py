@@ -409,6 +409,38 @@ def test_html(spark):
     assert htmltext.extracted(frame.limit(0), trees).count() == 0
 
 
+@pytest.mark.parametrize(
+    "source, want, tags",
+    [
+        ("<html><head><title>T</title><div class=post><p>One.<p>Two.</div>", "One. Two.", "html div p p"),
+        ("<head>\n<meta charset=utf-8><link rel=x> \n<style>p{}</style><p>One.</p>", "One.", "html p"),
+        ("<head><title>T</title><template><div>no</div></template><meta name=a>\n<b>One</b> two", "One two", "html"),
+        ("<head><title>T</title>plain <p>words", "plain words", "html p"),
+        ("<head><title>T</title><article><p>One.</article>", "One.", "html article p"),
+        ("<head><title>T</title></head><body><svg><article><p>One.</article>", "One.", "html body article p"),
+        ('<p class="a"">One.</p><p title=it\'s>Two.</p><a href="x">Three</a>', "One. Two. Three", "html p p"),
+        ('<p class="a" "b>One</p><p data-x="1 > 0" title = \'>\'>Two</p><a href=x?y="z>Three</a>', "One Two Three", "html p p"),
+        ('<p>One</p><div class="x>Two</div>', "One Two", "html p div"),
+        ("<article><p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then <map name=m><a href=y>go</a></map> on</article>", "If x=1 then go on", "html article p"),
+    ],
+)
+def test_html_broken(source, want, tags):
+    """Omitted tags, quotes that do not pair, elements that only seem hidden."""
+    page = htmltext.Page(source)
+    assert htmltext.page_text(page, np.ones(len(page.tag), bool)) == want
+    assert page.tag == tags.split()
+
+
+def test_html_tag_linear():
+    """Tags and quotes that never end take no more than linear time."""
+    import time
+
+    start = time.time()
+    for source in ("<a " * 100_000, '<a b="' * 100_000, "<a b='" * 100_001, "<a " + "b=c " * 100_000, '<a "' * 100_000):
+        htmltext.Page(source)
+    assert time.time() - start < 20
+
+
 def test_html_held_out(spark):
     trees, right = htmltext.train(spark), 0
     for seed in range(50_000, 50_120):
