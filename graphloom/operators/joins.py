@@ -50,6 +50,35 @@ def mentions(texts: DataFrame, files: DataFrame) -> DataFrame:
     return words.join(named, "word").select("text_id", "file_id").distinct()
 
 
+#: What parts the tokens of texts and names, and what may not stand beside a name's own letter or digit.
+BETWEEN, INSIDE = r"[^\p{L}\p{N}_]+", r"[\p{L}\p{N}_]"
+
+
+def file_mentions(texts: DataFrame, files: DataFrame) -> DataFrame:
+    """(text_id, file_id) where a text holds a file's base name, in any case, and no
+    letter or digit goes on at its ends: also before a full stop, behind a folder and
+    with characters such as brackets, spaces or accents. Texts and names are cut into
+    tokens in the same way; each name's longest token is joined by equality, and only
+    names of more than that token are then looked for in the text. A name without any
+    token is compared with every text."""
+    lower = texts.select("text_id", F.lower("content").alias("content"))
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    named = files.select("file_id", name.alias("name")).filter("name <> ''").distinct()
+    tokens = F.filter(F.split("name", BETWEEN), lambda t: t != "")
+    named = named.withColumn("word", F.array_max(F.transform(tokens, lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))).t)
+    words = lower.select("text_id", F.explode(F.array_distinct(F.split("content", BETWEEN))).alias("word")).filter("word <> ''")
+    pairs = words.join(named, "word").select("text_id", "file_id", "name", "word")
+    sure = pairs.filter("name = word").select("text_id", "file_id")
+    # the ends of a name are bounded only where they are a letter or digit
+    quoted = F.regexp_replace("name", r"([^\p{L}\p{N}_])", r"\\$1")
+    bound = lambda end, look: F.when(F.col("name").rlike(end), F.lit(look)).otherwise(F.lit(""))
+    pattern = F.concat(bound("^" + INSIDE, f"(?<!{INSIDE})"), quoted, bound(INSIDE + r"\z", f"(?!{INSIDE})"))
+    maybe = pairs.filter("name <> word").select(F.col("text_id").alias("id"), "file_id", "name").distinct()
+    held = lower.join(maybe, F.col("text_id").eqNullSafe(F.col("id"))).filter(F.contains("content", "name") & F.regexp_like("content", pattern))
+    odd = lower.join(named.filter("word is null"), F.contains("content", "name"))
+    return sure.unionByName(held.select("text_id", "file_id")).unionByName(odd.select("text_id", "file_id")).distinct()
+
+
 CANDIDATE_ENDS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js"]
 
 

@@ -211,6 +211,21 @@ def _(spark, d):
     return J.mentions(docs.select(F.col("doc_id").alias("text_id"), F.col("text").alias("content")), files)
 
 
+@query(
+    "jn14_file_mentions",
+    "SELECT DISTINCT t.doc_id AS text_id, f.id AS file_id FROM documents t JOIN (SELECT n_nationkey AS id, lower(n_name) AS name FROM nation UNION SELECT 1000 + r_regionkey, lower(r_name) FROM region "
+    "UNION SELECT * FROM (VALUES (2000, 'the'), (2001, 'of the'), (2002, 'in'), (2003, 'it''s')) v) f "
+    "ON regexp_matches(lower(t.text), '(^|[^\\pL\\pN_])' || f.name || '($|[^\\pL\\pN_])')",
+)
+def _(spark, d):
+    docs, nation, region = _t(spark, d, "documents", "nation", "region")
+    path = lambda c: F.concat(F.lit("src/"), c).alias("path")
+    files = nation.select(F.col("n_nationkey").cast("long").alias("file_id"), path(F.col("n_name")))
+    files = files.union(region.select((F.col("r_regionkey") + 1000).cast("long"), path(F.col("r_name"))))
+    files = files.union(spark.createDataFrame([(2000, "the"), (2001, "src/of the"), (2002, "in"), (2003, "a/it's")], "file_id long, path string"))
+    return J.file_mentions(docs.select(F.col("doc_id").alias("text_id"), F.col("text").alias("content")), files)
+
+
 @query(
     "jn10_package_dependencies",
     "WITH p AS (SELECT p_brand AS id, p_type AS package FROM part), r AS (SELECT id, min(package) AS package FROM p GROUP BY id) "

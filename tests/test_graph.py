@@ -96,3 +96,13 @@ def test_stubs(spark):
     e = edges(spark, [("repo::x", "person::me", "r"), ("file::src/a.ts", "decision::9", "r")])
     rows = {r.id: (r.label, r.type) for r in M.stubs(nodes(spark, []), e).collect()}
     assert rows == {"repo::x": ("x", "repo"), "person::me": ("me", "person"), "file::src/a.ts": ("a.ts", "file"), "decision::9": ("9", "adr")}
+
+
+def test_file_mentions(spark):
+    from graphloom.operators import joins as J
+
+    texts = [(1, "See src/main.ts."), (2, "MAIN.TS, too"), (3, "domain.ts or main.tsx"), (4, "open app/[id].tsx now"), (5, "Die Datei Über uns.md!"), (6, "a--b"), (7, None), (8, "main.ts2 xmain.ts"), (9, "the-main.ts-file"), (None, "(main.ts)"), (10, "id tsx")]
+    files = [(1, "src/main.ts"), (2, "app/[id].tsx"), (3, "docs/Über uns.md"), (4, "x/--"), (5, "main"), (6, None), (7, "dir/")]
+    got = J.file_mentions(spark.createDataFrame(texts, "text_id long, content string"), spark.createDataFrame(files, "file_id long, path string")).collect()
+    want = {(1, 1), (2, 1), (9, 1), (None, 1), (4, 2), (5, 3), (6, 4), (1, 5), (2, 5), (3, 5), (8, 5), (9, 5), (None, 5)}
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
