@@ -257,6 +257,17 @@ def _(spark, d):
     return G.cycles(trade(spark, d), 3)
 
 
+@query(
+    "gr22_cycles_whole",
+    f"WITH RECURSIVE {TRADE_SQL}, walk AS (SELECT [source] AS path, target AS tip FROM trade WHERE target >= source "
+    "UNION ALL SELECT list_append(path, tip), target FROM walk JOIN trade ON source = tip WHERE tip > path[1] AND NOT list_contains(path, tip) AND len(path) < 5 AND target >= path[1]) "
+    "SELECT cast(len(path) as int) AS length, array_to_string(path, '>') AS cycle FROM walk WHERE tip = path[1]",
+)
+def _(spark, d):
+    """All cycles up to the operator's own length."""
+    return G.cycles(trade(spark, d))
+
+
 COMPONENTS_SQL = (
     "e2 AS (SELECT source, target FROM imports WHERE relation = 'imports' UNION SELECT target, source FROM imports WHERE relation = 'imports'), "
     "rr AS (SELECT id, id AS other FROM nodes WHERE type = 'file' UNION SELECT rr.id, e2.target FROM rr JOIN e2 ON rr.other = e2.source), comp AS (SELECT id, min(other) AS component FROM rr GROUP BY 1)"

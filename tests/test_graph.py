@@ -106,3 +106,15 @@ def test_file_mentions(spark):
     got = J.file_mentions(spark.createDataFrame(texts, "text_id long, content string"), spark.createDataFrame(files, "file_id long, path string")).collect()
     want = {(1, 1), (2, 1), (9, 1), (None, 1), (4, 2), (5, 3), (6, 4), (1, 5), (2, 5), (3, 5), (8, 5), (9, 5), (None, 5)}
     assert {tuple(x) for x in got} == want and len(got) == len(want)
+
+
+def test_cycles_of_five(spark):
+    """Every simple cycle of a random graph up to five nodes, in the registered default."""
+    import itertools
+    import random
+
+    r = random.Random(4)
+    pairs = {(r.choice("abcdefgh"), r.choice("abcdefgh")) for _ in range(26)}
+    want = [">".join(c) for n in range(1, 6) for c in itertools.permutations("abcdefgh", n) if c[0] == min(c) and all((x, y) in pairs for x, y in zip(c, c[1:] + c[:1]))]
+    got = [x.cycle for x in G.cycles(spark.createDataFrame(sorted(pairs), "source string, target string")).collect()]
+    assert sorted(got) == sorted(want) and {x.count(">") for x in got} == {0, 1, 2, 3, 4}
