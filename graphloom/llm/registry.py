@@ -62,12 +62,17 @@ WITH d AS (
 m AS (
     SELECT d.doc_id, source, cast(len(w) AS BIGINT) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
            length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, cast(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-           coalesce(rep.n, 0) AS n_repeat_words
+           len(lines) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words
     FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id
 ), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS bad FROM b GROUP BY 1),
-p AS (SELECT avg(bad / n) AS m, greatest(coalesce(var_samp(bad / n), 0) - avg(bad / n * (1 - bad / n) / n), 1e-6) AS spread FROM h),
-s AS (SELECT source, (bad + m * k) / (n + k) AS rate FROM h, (SELECT m, greatest(m * (1 - m) / spread - 1, 0) + 1e-3 AS k FROM p) q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rate > 0.9 AS kept, round(rate, 4) AS host_rate
-FROM b JOIN s ON s.source IS NOT DISTINCT FROM b.source""",
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE n_words < 50) AS a, count(*) FILTER (WHERE 100 * n_repeat_words > 50 * n_words) AS b,
+       count(*) FILTER (WHERE 10 * n_symbols > n_words) AS c, count(*) FILTER (WHERE 10 * n_dup_lines > 3 * n_lines) AS d FROM b GROUP BY 1),
+e AS (SELECT source, n, 'short' AS rule, a AS bad FROM h UNION ALL SELECT source, n, 'repeated', b FROM h UNION ALL SELECT source, n, 'symbols', c FROM h UNION ALL SELECT source, n, 'lines', d FROM h),
+p AS (SELECT rule, avg(bad / n) AS m, coalesce(var_samp(bad / n), 0) AS v, avg(1 / n) AS one FROM e GROUP BY 1),
+q AS (SELECT rule, m, greatest(m * (1 - m) / greatest(v - m * (1 - m) * one, 1e-6) - 1, 0) + 1e-3 AS w FROM p),
+s AS (SELECT source, rule, m, n + w AS weight, round((bad + m * w) / (n + w), 9) AS shown, (bad + m * w) / (n + w) AS rate FROM e JOIN q USING (rule)),
+v AS (SELECT source, max(shown) AS top, bool_or(rate > 0.5 AND rate - 2 * sqrt(rate * (1 - rate) / (weight + 1)) > m) AS failed FROM s GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT failed AS kept,
+       (SELECT max(rule) FROM s WHERE s.source IS NOT DISTINCT FROM b.source AND shown = top) AS host_rule, round(top, 4) AS host_rate
+FROM b JOIN v ON v.source IS NOT DISTINCT FROM b.source""",
 }

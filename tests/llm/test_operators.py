@@ -89,12 +89,29 @@ def test_quality_short_repeats(spark):
 
 
 def test_quality_hosts(spark):
-    """A host that fails nearly always takes its good documents with it; others don't."""
+    """A host that mostly fails a rule takes its good documents with it, also where
+    the rule is one that no document is dropped for; a host of few documents leans
+    on the prior, and an ordinary host keeps its own."""
     good, bad = " ".join(f"w{i}" for i in range(80)), "short"
-    rows = [(i, bad, "spam") for i in range(200)] + [(900, good, "spam")] + [(1000 + i, good if i % 3 else bad, f"h{i % 20}") for i in range(400)]
-    kept = {x.doc_id for x in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).filter("kept").select("row.doc_id").collect()}
-    assert 900 not in kept
-    assert kept == {1000 + i for i in range(400) if i % 3}
+    signs = " ".join(f"w{i} #" for i in range(60))
+    rows = [(i, bad, "spam") for i in range(130)] + [(900 + i, good, "spam") for i in range(70)]
+    rows += [(2000 + i, signs if i % 10 else good, "signs") for i in range(100)]
+    rows += [(3000, good, "few"), (3001, bad, "few"), (3002, bad, "few")]
+    rows += [(4000 + i, good if i % 3 else bad, f"h{i % 20}") for i in range(4000)] + [(9000, good, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = quality.judged(frame).selectExpr("row.doc_id", "host", "host_rule", "host_failed", "base_failed", "kept").collect()
+    assert {(x.host, x.host_rule) for x in found if x.host_failed} == {("spam", "short"), ("signs", "symbols")}
+    assert {x.doc_id for x in found if x.kept} == {3000, 9000} | {4000 + i for i in range(4000) if i % 3}
+    assert sum(not x.base_failed and not x.kept for x in found) == 170
+
+
+def test_quality_hosts_by_url(spark):
+    good = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, "x", f"https://Bad.example/{i}", "s") for i in range(60)] + [(100, good, "http://bad.example:80/x", "s")]
+    rows += [(200 + i, good, f"https://h{i % 9}.example/{i}", "s") for i in range(90)] + [(400, good, "not a url", "s"), (401, good, None, None)]
+    found = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, url string, source string"))
+    kept = {x.doc_id for x in found.filter("kept").select("row.doc_id").collect()}
+    assert kept == set(range(200, 290)) | {400, 401}
 
 
 def brute_fingerprint(text):
