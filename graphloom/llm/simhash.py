@@ -186,14 +186,20 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component one row stays, that of the smallest
-    doc_id (of several texts under it, that of the least hash; of repeated rows,
-    one). The slim classes decide, texts move once, in the join that keeps rows."""
+    doc_id (of several texts under it, that of the least hash; of rows that share
+    both, that of the least checksum of all columns). The slim classes decide,
+    texts move once, in the join that keeps rows. Null texts have fingerprint
+    zero, an empty table gives no rows, extra columns may have any name."""
     found = classes(docs, keep=["doc_id"])
     first = F.min(F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), F.col("key").alias("key")))
     stay = cut(found.groupBy("root").agg(first.alias("f")).select("f.id", "f.key"), "stay")
+    same = lambda keys: F.col("row.doc_id").eqNullSafe(keys["id"]) & (F.xxhash64("row.text") == keys["key"])
     rows = as_rows(docs)
-    chosen = rows.join(stay, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("key")), "left_semi")
-    repeated = found.groupBy("row.doc_id", "key").count().filter("count > 1").join(stay, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    if not repeated.isEmpty():
-        chosen = chosen.dropDuplicates()
+    chosen = rows.join(stay, same(stay), "left_semi")
+    often = found.groupBy(F.col("row.doc_id").alias("id"), "key").count().filter("count > 1").drop("count")
+    often = cut(often, "repeated")
+    if not often.isEmpty():
+        one = F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row")  # partial, so a hot row stays small
+        several = chosen.join(often, same(often), "left_semi").groupBy(F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("key"))
+        chosen = chosen.join(often, same(often), "left_anti").unionByName(several.agg(one).select("row"))
     return unpack(chosen, docs.columns)

@@ -15,6 +15,9 @@ def made(r):
     rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)]
     rows += [(40, texts[0], "en", "s0", 1), (41, texts[1], "en", "s1", 1), (42, "too short", "en", "s1", 1), (43, None, "en", "s2", 0), (44, "same words here " * 50, "en", "s2", 1)]
     rows += [rows[5]]  # a repeated row
+    rows += [(None, texts[7] + " no id", "en", None, 1), (None, None, None, None, None)]
+    # a host that is refused, with a document that its own rules would keep
+    rows += [(100 + i, f"short {i}", "en", "bad", 1) for i in range(60)] + [(200, texts[9] + " of a bad host " + texts[8], "en", "bad", 1)]
     items = [(7, " ".join(texts[3].split()[20:50])), (8, " ".join(words[:40]))]
     return rows, items
 
@@ -35,7 +38,8 @@ def test_stages(spark, tmp_path):
 
     kept = run("quality", rows)
     ok = lambda t: (m := brute_quality(t))[0] >= 50 and 100 * m[4] <= 50 * m[0]
-    assert Counter(kept) == Counter(x for x in rows if ok(x[1]))
+    assert Counter(kept) == Counter(x for x in rows if ok(x[1]) and x[3] != "bad")
+    assert any(ok(x[1]) and x[3] == "bad" for x in rows)
 
     single = run("near_dedup", kept)
     classes = brute_components([x[0] for x in kept], [brute_fingerprint(x[1]) for x in kept])
@@ -55,3 +59,19 @@ def test_stages(spark, tmp_path):
 
     end = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(tuple(x) for x in end) == Counter(placed)
+
+
+def test_stages_on_edge_tables(spark, tmp_path):
+    """No rows; rows of nulls alone; extra columns under names the operators use."""
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row string, size long, n_words long, fp long, kept boolean, h long, bucket int, tags map<string,int>"
+    long_text = " ".join(f"w{i * i % 997}" for i in range(90))
+    own = ("own", 7, 8, 9, True, 10, 11, {"a": 1})
+    full = [(None, None, None, None, None, *own), (1, long_text, "en", "s", 5, *own), (1, long_text, "en", "s", 5, *own), (None, long_text[::-1], None, None, None, *own)]
+    for name, stage in corpus_pipeline.STAGES:
+        for rows, least in (([], 0), (full, 1)):
+            docs = spark.createDataFrame(rows, kind)
+            found = stage(spark, docs, str(tmp_path))
+            got = found.collect()
+            assert found.columns[: len(docs.columns)] == docs.columns and (len(got) > 0) == bool(least), name
+            assert all(x["row"] == "own" and x["tags"] == {"a": 1} for x in got)
