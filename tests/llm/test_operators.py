@@ -208,14 +208,30 @@ def test_decontamination(spark, docs, rows, empty):
     items = [(i, " ".join((rows[i][1] or "").upper().split()[: 3 + 4 * i])) for i in range(12)] + [(10, "zz zz"), (10, "zz zz"), (11, None), (None, "abc! def"), (2, "é é")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = Counter((x[0], x[1], *brute_overlap(x[1], items)) for x in rows)
-    for block in (10**6, 300):
-        found = decontaminate.overlaps(docs, bench, block).selectExpr("row.doc_id", "row.text", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    for block in (10**6, 100):
+        found = decontaminate.overlaps(docs, bench, block=block).selectExpr("row.doc_id", "row.text", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
         assert Counter(map(tuple, found.collect())) == want
     assert decontaminate.overlaps(empty, bench).count() == 0
     clean = decontaminate.overlaps(docs, bench.limit(0)).filter("n_hit > 0 or contaminated").count()
     assert clean == 0
 
 
+def test_decontamination_shared_window(spark):
+    """A window that all items share, in very many copies of a text, with one
+    very long text."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    common = " ".join(words[:13])
+    items = [(i, f"{common} {' '.join(r.choice(words) for _ in range(20))}") for i in range(300)] + [(1000, "x y"), (1001, "q")]
+    long_text = " ".join(r.choice(words) for _ in range(30_000))
+    texts = [f"{words[50]} {common} {words[60]}"] * 500 + [f"{long_text}, {items[5][1].upper()}!", "x  y\tx y", "q", " ".join(words[1:14])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.overlaps(frame, spark.createDataFrame(items, "item_id long, text string"), ["doc_id"])
+    got = {x[0]: tuple(x)[1:] for x in found.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()}
+    want = {t: brute_overlap(t, items) for t in set(texts)}
+    assert got == {i: want[t] for i, t in enumerate(texts)} and got[0][2] == 300 and got[500][2] == 300
+
+
 def brute_targets(sizes, weights=(1, 2, 3), most=3):
     order = sorted((k for k in sizes if k is not None)) + [k for k in sizes if k is None]
     w = {k: weights[i % 3] for i, k in enumerate(order)}
