@@ -17,7 +17,10 @@ hundred) take part.
 4. A gram with over GROUP different contexts is not sorted in one task: contexts
    that share a long cut with none are dropped, the strings of LENGTH bytes of the
    rest are counted by fingerprint, in the whole cluster.
-5. The matches go back to all anchors of a context and are united by document.
+5. The matches go back to all anchors of a context and are united by text.
+
+A document is known by 128 bits of hashes of its text, so equal texts send their
+contexts once. ``passages`` tells which documents share a passage of many words.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from graphloom.llm import passages as P
 from graphloom.llm.base import as_rows, cut, table
 
 LENGTH = 400
@@ -42,8 +47,9 @@ GROUP = 1 << 15
 #: Bytes between the cuts by which contexts of such grams are compared beforehand.
 STEP = 40
 #: Bytes of a text that are hashed at once.
-SEGMENT = 4 << 20
-NO_ID = -(1 << 63)
+SEGMENT = 1 << 20
+#: Bytes of a text from which contexts are cut in one row.
+PIECE = 8 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -101,15 +107,14 @@ class Anchors:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(id, t, text): a document is known by its id (a null one as NO_ID) and a
-    checksum of its text, so that rows of one id but two texts stay apart."""
+    """(doc_id, u, v, text): u and v are a 128-bit hash of the text, which stands
+    for it in all tables without texts."""
     text = F.coalesce(F.col("row.text"), F.lit(""))
-    known = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID))
-    return as_rows(docs).select(known.alias("id"), F.crc32(text).alias("t"), text.cast("binary").alias("text"))
+    return as_rows(docs).select("row.doc_id", F.xxhash64(text).alias("u"), F.xxhash64(F.lit(1), text).alias("v"), text.cast("binary").alias("text"))
 
 
 def anchor_rows(docs: DataFrame, length: int, gram: int, hashes_only: bool = False) -> DataFrame:
-    """(id, t, p, h, f) for each anchor: p packs its position and the bytes from it
+    """(u, v, p, h, f) for each anchor: p packs its position and the bytes from it
     to the end of its context, h is the hash of its gram, f that of its context."""
     before = length - gram
 
@@ -132,14 +137,14 @@ def anchor_rows(docs: DataFrame, length: int, gram: int, hashes_only: bool = Fal
                         p.append(a << 10 | high - a)
                         f.append(digest(text[low:high], (a - low) << 10 | high - a))
                 sizes = [len(x[0]) for x in found]
-                ids, t = (np.repeat(part.column(c).to_numpy(), sizes) for c in (0, 1))
+                u, v = (np.repeat(part.column(c).to_numpy(), sizes) for c in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(t), pa.array(p, pa.int64()), pa.array(h), pa.array(np.array(f, np.uint64).view(np.int64))],
-                    ["id", "t", "p", "h", "f"],
+                    [pa.array(u), pa.array(v), pa.array(p, pa.int64()), pa.array(h), pa.array(np.array(f, np.uint64).view(np.int64))],
+                    ["u", "v", "p", "h", "f"],
                 )
 
-    rows = docs.filter(F.octet_length("text") >= length)
-    return rows.mapInArrow(run, "h long" if hashes_only else "id long, t long, p long, h long, f long")
+    rows = docs.filter(F.octet_length("text") >= length).select("u", "v", "text")
+    return rows.mapInArrow(run, "h long" if hashes_only else "u long, v long, p long, h long, f long")
 
 
 def common(a: bytes, b: bytes, start: int = 0) -> int:
@@ -231,9 +236,6 @@ def matches(lefts: list[bytes], rights: list[bytes], length: int, gram: int) ->
     """(member, to the left, to the right): how far members of a group of anchors
     match another one, where that makes ``length`` bytes together. lefts are
     reversed; all rights begin with the same gram (checked, as hashes may clash)."""
-    if len(lefts) == 2:  # two need no order
-        a, b = common(lefts[0], lefts[1]), common(rights[0], rights[1])
-        return [(0, a, b), (1, a, b)] if a + b >= length else []
     order = deep_shallow(rights, 0 if any(r[:gram] != rights[0][:gram] for r in rights) else gram)
     rank = {k: i for i, k in enumerate(order)}
     near = [common(rights[a], rights[b]) for a, b in zip(order, order[1:])]
@@ -279,25 +281,35 @@ def matches(lefts: list[bytes], rights: list[bytes], length: int, gram: int) ->
     return out
 
 
-def contexts(dealt: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, f, hot, left reversed, right) of the wanted anchors (id, t, h, f, p, hot)."""
+def contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int, piece: int = PIECE) -> DataFrame:
+    """(h, f, hot, left reversed, right) of the wanted anchors (u, v, h, f, p, hot).
+    Equal texts are one row before they are exchanged; long ones are cut in pieces,
+    each of which goes with its own anchors."""
     before = length - gram
-    lists = wanted.groupBy("id", "t").agg(F.collect_list(F.struct("h", "f", "p", "hot")).alias("anchors"))
+    at = F.shiftright("p", 10)
+    lists = wanted.groupBy("u", "v", F.expr(f"shiftright(p, 10) div {piece}").alias("k")).agg(
+        F.collect_list(F.struct("h", "f", at.alias("a"), F.col("p").bitwiseAND(F.lit(1023)).alias("r"), "hot")).alias("anchors")
+    )
+    once = docs.filter(F.octet_length("text") >= length).groupBy("u", "v").agg(F.first("text").alias("text"))
+    each = once.select("u", "v", "text", F.explode(F.expr(f"sequence(0L, (octet_length(text) - 1) div {piece})")).alias("k"))
+    first = F.greatest(F.col("k") * piece - before, F.lit(0))
+    parts = each.select("u", "v", "k", first.alias("first"), F.substr("text", (first + 1).cast("int"), F.lit(piece + before + length)).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, len(batch), 200):
                 part = batch.slice(k, 200)
                 out: tuple[list, ...] = ([], [], [], [], [])
-                for text, anchors in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for first, text, anchors in zip(*(part.column(c).to_pylist() for c in range(3))):
                     for x in anchors:
-                        a, r = x["p"] >> 10, x["p"] & 1023
-                        for column, v in zip(out, (x["h"], x["f"], x["hot"], text[max(0, a - before) : a][::-1], text[a : a + r])):
+                        a = x["a"] - first
+                        for column, v in zip(out, (x["h"], x["f"], x["hot"], text[max(0, a - before) : a][::-1], text[a : a + x["r"]])):
                             column.append(v)
                 kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], ["h", "f", "hot", "left", "right"])
 
-    return dealt.join(lists, ["id", "t"]).select("text", "anchors").mapInArrow(run, "h long, f long, hot boolean, left binary, right binary")
+    joined = parts.join(lists, ["u", "v", "k"]).select("first", "text", "anchors")
+    return joined.mapInArrow(run, "h long, f long, hot boolean, left binary, right binary")
 
 
 def sorted_matches(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -364,44 +376,52 @@ def counted_matches(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return each.join(often, ["h", "low", "u", "v"]).select("h", "f", "low", (F.col("low") + length).alias("high"))
 
 
-def repeated_spans(docs: DataFrame, dealt: DataFrame, length: int, gram: int, group: int) -> DataFrame:
-    """(id, t, spans): byte ranges to remove, of documents that have any."""
+def repeated_spans(docs: DataFrame, length: int, gram: int, group: int, piece: int = PIECE) -> DataFrame:
+    """(u, v, spans): byte ranges to remove, of texts that have any."""
     # written, so that the join deals out both of its sides and can split a common gram
     twice = cut(anchor_rows(docs, length, gram, hashes_only=True).groupBy("h").count().filter("count > 1").select("h"), "grams")
     some = cut(anchor_rows(docs, length, gram).join(twice, "h", "left_semi"), "anchors")
-    alike = some.groupBy("h", "f").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "t", "p")).alias("one"))
+    alike = some.groupBy("h", "f").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("u", "v", "p")).alias("one"))
     alike = alike.select("h", "f", "c", "one.*")
     grams = cut(alike.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h", (F.col("m") > group).alias("hot")), "grams")
     a, r = F.shiftright("p", 10), F.col("p").bitwiseAND(F.lit(1023))
     left = F.least(a, F.lit(length - gram).cast("long"))
     whole = alike.filter((F.col("c") > 1) & (left + r >= length)).select("h", "f", (-left).alias("low"), r.alias("high"))
-    around = contexts(dealt, alike.join(grams, "h"), length, gram)
+    around = contexts(docs, alike.join(grams, "h"), length, gram, piece)
     part = sorted_matches(around.filter(~F.col("hot")), length, gram).union(counted_matches(around.filter("hot"), length, gram))
     found = whole.union(part).distinct()
-    spans = some.join(found, ["h", "f"]).select("id", "t", F.struct((a + F.col("low")).alias("a"), (a + F.col("high")).alias("b")).alias("s"))
-    return spans.groupBy("id", "t").agg(F.collect_set("s").alias("spans"))
+    spans = some.join(found, ["h", "f"]).select("u", "v", F.struct((a + F.col("low")).alias("a"), (a + F.col("high")).alias("b")).alias("s"))
+    return spans.groupBy("u", "v").agg(F.collect_set("s").alias("spans"))
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): kept is the text
-    without the bytes of repeated strings, as bytes, since a cut may fall inside a
-    character.
+def deduplicated(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, words: int = P.WORDS, word_gram: int = P.GRAM,
+    piece: int = PIECE, texts: bool = True,
+) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, repeats): kept is
+    the text without the bytes of repeated strings, as bytes, since a cut may fall
+    inside a character (left out if not ``texts``). repeats tells whether the
+    document has a passage of ``words`` or more words that another one holds.
 
     A null text is empty; texts under ``length`` bytes have nothing to remove.
-    Repeated rows repeat each other, so all of their long strings go. A null
-    doc_id is an id like any other. An empty table gives no rows.
+    Repeated rows repeat each other, so all of their long strings go. A doc_id may
+    be null or of any type. An empty table gives no rows.
     """
     if not 0 < gram < length < 1 << 10:
         raise ValueError("0 < gram < length < 1024")
     rows = keyed(docs)
-    spans = repeated_spans(rows, rows, length, gram, group)
+    spans = repeated_spans(rows, length, gram, group, piece)
+    held, known, wanted = P.shared_contexts(rows.select("u", "v", F.col("text").cast("string").alias("text")), words, word_gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = to_arrow_schema(schema)
         for batch in batches:
             for k in range(0, len(batch), 200):
                 part = batch.slice(k, 200)
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                out: tuple[list, ...] = ([], [], [], [], [], [], [])
+                for text, spans, wanted in zip(*(part.column(c).to_pylist() for c in (3, 4, 5))):
                     merged: list[list[int]] = []
                     for low, high in sorted((s["a"], s["b"]) for s in spans or ()):
                         if merged and low <= merged[-1][1]:
@@ -413,18 +433,27 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
                         kept.append(text[at:low])
                         at = high
                     rest = b"".join([*kept, text[at:]])
-                    for column, v in zip(out, (len(text), len(text) - len(rest), len(merged), sha256(rest).hexdigest(), rest)):
+                    long = len(text) >= 2 * words - 1 and len(text.split(None, words - 1)) == words
+                    near = P.windows_around(text, wanted, words, word_gram) if wanted else []
+                    for column, v in zip(out, (len(text), len(text) - len(rest), len(merged), sha256(rest).hexdigest(), rest if texts else None, long, near)):
                         column.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                new = [pa.array(c, kind) for c, kind in zip(out, kinds)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *new], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                new = [pa.array(c, kinds.field(n + 3).type) for n, c in enumerate(out)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *new], kinds.names)
 
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    found = rows.join(spans, ["id", "t"], "left").select("id", "text", "spans").mapInArrow(run, schema)
-    return found.withColumn("doc_id", F.when(F.col("id") != NO_ID, F.col("id"))).drop("id")
+    added = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, long boolean, near " + P.WINDOWS
+    schema = T.StructType([*rows.select("doc_id", "u", "v").schema.fields, *T.StructType.fromDDL(added).fields])
+    joined = rows.join(spans, ["u", "v"], "left").join(wanted, ["u", "v"], "left").select("doc_id", "u", "v", "text", "spans", "wanted")
+    found = cut(joined.mapInArrow(run, schema), "kept")
+    shared = P.sharing(held, known, found.filter(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.*"))
+    copies = found.filter("long").groupBy("u", "v").count().filter("count > 1").select("u", "v")
+    marked = cut(shared.union(copies).distinct().withColumn("repeats", F.lit(True)), "sharing")
+    out = found.join(marked, ["u", "v"], "left").withColumn("repeats", F.coalesce("repeats", F.lit(False)))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts, "repeats")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is removed from every document."""
-    found = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """What is removed from every document, what is left, and whether it shares a
+    passage of over 50 words with another document (such a passage may be shorter
+    than the strings that are removed)."""
+    found = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), "repeats")

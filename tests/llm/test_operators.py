@@ -312,11 +312,57 @@ def brute_suffix(texts, length):
     return out
 
 
+def brute_passages(texts, words):
+    """Whether a text has a window of so many words that another one has too."""
+    split = [words_of(t) for t in texts]
+    parts = [{tuple(w[i : i + words]) for i in range(len(w) - words + 1)} for w in split]
+    often = Counter(x for p in parts for x in p)
+    return [any(often[x] > 1 for x in p) for p in parts]
+
+
+@pytest.mark.parametrize("words, gram", [(51, 20), (12, 5)])
+def test_shared_passages(spark, words, gram):
+    """Planted passages of just enough words and of one less, in other texts, at
+    their ends, twice in one text, in copies and in texts of many documents."""
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("abcdefgé") for _ in range(r.randint(1, 5))) for _ in range(3000)]
+    some = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    texts = [some(r.randint(1, 4 * words)) for _ in range(60)]
+    for k in range(12):
+        part = some(words - k % 2)
+        for n in range(2):
+            texts.append(some(r.choice([0, 3, 80])) + part + some(r.choice([0, 5, 90])))
+    part = some(words)
+    texts += [part + some(9) + part, some(30) + part[1:] + some(9) + part[1:], texts[0], texts[1] + some(2), some(2) + part[:-1] + some(3)]
+    part = some(words + 8)
+    texts += [some(k % 50) + part + some(k % 7) for k in range(70)]
+    lines = [r.choice([" ", "\n", "\t "]).join(t) for t in texts] + [None, "", " "]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = suffixdedup.deduplicated(docs, words=words, word_gram=gram, texts=False).select("doc_id", "repeats").collect()
+    assert {x.doc_id: x.repeats for x in found} == dict(enumerate(brute_passages(lines, words)))
+
+
+def test_suffix_repeated_row(spark):
+    """One row very often, string ids, and a long text in pieces."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    common, other = " ".join(word() for _ in range(90)), " ".join(word() for _ in range(4000))
+    rows = [("a", common)] * 3000 + [("b", common[:450] + other), ("c", other[:9000] + "x" + other[9001:]), (None, common), ("d", "short")]
+    found = suffixdedup.deduplicated(spark.createDataFrame(rows, "doc_id string, text string").repartition(8), piece=3000)
+    distinct = list(dict.fromkeys(rows))
+    texts = [t for _, t in distinct] + [common]  # twice is as good as often
+    want = dict(zip(distinct, brute_suffix(texts, 400)))
+    got = found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert Counter(map(tuple, got)) == Counter((x[0], *want[x]) for x in rows)
+
+
 @pytest.mark.parametrize("length, gram, group", [(30, 12, 256), (30, 12, 3), (50, 8, 1 << 15), (50, 8, 2)])
 def test_suffix_dedup(docs, rows, empty, length, gram, group):
     want = Counter((x[0], *y) for x, y in zip(rows, brute_suffix([x[1] for x in rows], length)))
-    found = suffixdedup.deduplicated(docs, length, gram, group).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert Counter(map(tuple, found.collect())) == want
+    found = suffixdedup.deduplicated(docs, length, gram, group, words=9, word_gram=4, piece=200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats").collect()
+    assert Counter(tuple(x)[:-1] for x in found) == want
+    shared = Counter((x[0], *y[:3], z) for x, y, z in zip(rows, brute_suffix([x[1] for x in rows], length), brute_passages([x[1] for x in rows], 9)))
+    assert Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.repeats) for x in found) == shared
     assert suffixdedup.deduplicated(empty, length, gram, group).count() == 0
 
 
