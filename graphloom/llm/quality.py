@@ -137,7 +137,8 @@ def judged(docs: DataFrame) -> DataFrame:
     caller's columns stay inside ``row`` under any name.
     """
     found = cut(measured(docs).withColumn("host", host_of(docs.columns)), "measured")
-    hosts = host_verdicts(found).withColumnRenamed("host", "of")
+    # written, so that Spark knows their size before it plans the join with the texts
+    hosts = cut(host_verdicts(found).withColumnRenamed("host", "of"), "hosts")
     both = found.join(hosts, F.col("host").eqNullSafe(F.col("of")), "left").drop("of")
     return both.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
 
@@ -148,7 +149,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = measured(docs).withColumn("host", host_of(docs.columns))
     slim = cut(found.selectExpr("row.doc_id as doc_id", "* except (row)"), "measures")
-    hosts = host_verdicts(slim).withColumnRenamed("host", "of")
+    hosts = cut(host_verdicts(slim).withColumnRenamed("host", "of"), "hosts")
     return slim.join(hosts, F.col("host").eqNullSafe(F.col("of")), "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"), "host_rule", F.round("host_rate", 4).alias("host_rate"),
