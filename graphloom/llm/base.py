@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,3 +98,20 @@ def annotate(
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], label: str) -> DataFrame:
+    """Adds to each row the sums over all rows before it, in a total order: rows are
+    dealt by ranges of the order, which are written with their numbers; sums for
+    each range (as many rows as ranges) give the ranges' own starts."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    added = {f"__{n}": c for n, c in sums.items()}
+    dealt = cut(rows.withColumns(added).repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()), label)
+    totals = dealt.groupBy("__range").agg(*[F.sum(c).alias(f"{c}_all") for c in added])
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("__range", *[F.coalesce(F.sum(f"{c}_all").over(before), F.lit(0)).alias(f"{c}_start") for c in added])
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = {n: F.coalesce(F.sum(f"__{n}").over(inside), F.lit(0)) + F.col(f"__{n}_start") for n in sums}
+    joined = dealt.join(F.broadcast(starts), "__range")  # one row for each range
+    return joined.select(*rows.columns, *[c.alias(n) for n, c in whole.items()])

@@ -18,16 +18,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.base import SPACE_CLASS, as_rows, cut, table
+from graphloom.llm.base import SPACE_CLASS, as_rows, cut, running, table
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = 42
 #: Bits of the hash that make the buckets of a length group, for the seeded ranks.
 BUCKET_BITS = 16
-#: The knapsack fits a budget up to this many words exactly (one byte and one
-#: integer for each word, in a task); what is above is first filled greedily.
+#: The knapsack fits up to this many words (a bit for each in a row of its table).
 EXACT = 1 << 20
+#: Rows of the table between two that are kept.
+STRIDE = 64
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -36,39 +37,34 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
     Water filling: in order of size over weight, a source is full if its share of
     what the fuller ones leave is above ``most`` times its size. Sums of whole
-    numbers decide, so the result is the one of resharing step by step.
+    numbers decide, so the result is the one of resharing step by step. Sources are
+    numbered and summed by ranges, so there may be as many as hosts.
     """
-    by_name = Window.orderBy(F.col("source").asc())
-    nth = F.row_number().over(by_name) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(nth, F.lit(len(weights))) + 1).cast("int"))
-    rows = sources.withColumn("w", weight.cast("long"))
-    order = Window.orderBy((F.col("source_size") / F.col("w")), F.col("source").asc())
-    so_far = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    rows = rows.withColumns(
-        {
-            "left": F.sum("source_size").over(everything) - F.coalesce(F.sum(F.col("source_size") * most).over(so_far), F.lit(0)),
-            "w_left": F.sum("w").over(everything) - F.coalesce(F.sum("w").over(so_far), F.lit(0)),
-        }
-    )
-    full = F.col("source_size") * most * F.col("w_left") <= F.col("left") * F.col("w")
-    rows = rows.withColumn("full", full)
+    large = lambda c: c.cast("decimal(28,0)")  # noqa: E731  whole numbers of more than 64 bits
+    rows = running(sources, [F.col("source")], {"nth": F.lit(1).cast("long")}, "names")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("nth", F.lit(len(weights))) + 1).cast("int"))
+    rows = rows.withColumn("w", weight.cast("long")).withColumn("ratio", F.col("source_size") / F.col("w"))
+    rows = running(rows.drop("nth"), [F.col("ratio"), F.col("source")], {"spent": F.col("source_size") * most, "w_before": F.col("w")}, "filling")
+    total = sources.agg(F.sum("source_size").alias("all")).join(F.broadcast(rows.agg(F.sum("w").alias("w_all"))))  # one row
+    rows = rows.join(F.broadcast(total)).withColumns({"left": F.col("all") - F.col("spent"), "w_left": F.col("w_all") - F.col("w_before")})
+    full = large(F.col("source_size") * most) * F.col("w_left").cast("decimal(10,0)") <= large(F.col("left")) * F.col("w").cast("decimal(10,0)")
+    rows = cut(rows.withColumn("full", full).select("source", "source_size", "w", "ratio", "left", "w_left", "full"), "full")
     # the level of the first source that is not full holds for all after it
-    level = F.min(F.when(~F.col("full"), F.struct(F.col("source_size") / F.col("w"), F.col("w_left"), F.col("left")))).over(everything)
-    rows = rows.withColumn("level", level)
-    target = F.when(F.col("full"), (F.col("source_size") * most).cast("double")).otherwise(
-        F.col("level.left").cast("double") * F.col("w") / F.col("level.w_left")
-    )
-    return rows.select("source", "source_size", target.alias("target"))
+    level = rows.filter("not full").agg(F.min(F.struct("ratio", "source", "left", "w_left")).alias("level"))
+    share = F.col("level.left").cast("double") * F.col("w") / F.col("level.w_left")
+    target = F.when(F.col("full"), (F.col("source_size") * most).cast("double")).otherwise(share)
+    return rows.join(F.broadcast(level)).select("source", "source_size", target.alias("target"))  # one row of level
 
 
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT) -> np.ndarray:
     """How many documents of each size (> 0) to take so that their sum comes as
-    near below budget as possible, at most counts of each."""
+    near below budget as possible, at most counts of each. A proportional part of
+    every size goes first; from what that leaves the largest sizes go until at most
+    ``exact`` words are left, which the knapsack fits."""
     take = (counts * (budget / max(1, int((sizes * counts).sum())))).astype(np.int64)
     take = np.minimum(take, counts)
     rest = budget - int((sizes * take).sum())
-    for k in np.argsort(-sizes):  # down to what the table can hold
+    for k in np.argsort(-sizes):
         if rest <= exact:
             break
         more = min(int(counts[k] - take[k]), (rest - exact) // int(sizes[k]) + 1, rest // int(sizes[k]))
@@ -76,27 +72,38 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT)
         rest -= more * int(sizes[k])
     if rest <= 0:
         return take
-    # by[s]: the entry that first reached sum s (-1: not reached); entries are
-    # 1, 2, 4, ... documents of a size, so that every count up to what is left can be made
-    by = np.full(rest + 1, -1, np.int32)
-    by[0] = 0
-    entries: list[tuple[int, int]] = [(0, 0)]
-    for k in np.argsort(sizes):
-        size, spare = int(sizes[k]), int(counts[k] - take[k])
-        spare, part = min(spare, rest // size), 1
-        while spare > 0 and by[rest] < 0:
+    # entries are 1, 2, 4, ... documents of a size, so that every count up to what is
+    # left can be made; large ones first, they reach the budget in few steps
+    entries: list[tuple[int, int, int]] = []
+    for k in np.argsort(-sizes):
+        size, part = int(sizes[k]), 1
+        spare = min(int(counts[k] - take[k]), rest // size)
+        while spare > 0:
             n = min(part, spare)
             spare, part = spare - n, part * 2
-            entries.append((int(k), n))
-            new = (by[: rest + 1 - n * size] >= 0) & (by[n * size :] < 0)
-            by[n * size :][new] = len(entries) - 1
-        if by[rest] >= 0:
+            entries.append((int(k), n, n * size))
+    # the table: bit s of a row tells whether the entries so far can sum up to s. Of
+    # its rows every STRIDE-th is kept, the others are made again on the way back
+    mask, row, kept, done = (1 << rest + 1) - 1, 1, [], 0
+    for i, (_, _, words) in enumerate(entries):
+        if i % STRIDE == 0:
+            kept.append(row)
+        row |= row << words & mask
+        done = i + 1
+        if row >> rest & 1:
             break
-    at = int(np.nonzero(by >= 0)[0][-1])
-    while at > 0:
-        k, n = entries[by[at]]
-        take[k] += n
-        at -= n * int(sizes[k])
+    at = row.bit_length() - 1
+    while done > 0:
+        first = (done - 1) // STRIDE * STRIDE
+        rows = [kept[first // STRIDE]]
+        for _, _, words in entries[first : done - 1]:
+            rows.append(rows[-1] | rows[-1] << words & mask)
+        for i in range(done - 1, first - 1, -1):
+            if not rows[i - first] >> at & 1:  # not without this entry
+                k, n, words = entries[i]
+                take[k] += n
+                at -= words
+        done = first
     return take
 
 
@@ -104,7 +111,9 @@ def plans(histogram: DataFrame, goals: DataFrame) -> DataFrame:
     """(source, size, n, whole, part): of the n documents of a size, all are taken
     ``whole`` times and ``part`` of them once more. A source's group here is its
     list of distinct lengths (at most the root of twice its words), not its rows."""
-    joined = histogram.join(goals, "source")
+    # dealt by a number of parts, so that small groups are not put together in one task
+    parts = int(histogram.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = histogram.join(goals, "source").repartition(parts, "source")
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         total, goal = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
@@ -162,7 +171,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every row as often as the mix takes it."""
+    """Pipeline stage: every row as often as the mix takes it (null texts and
+    sources, repeated rows and empty tables as in ``mixed``)."""
     found = mixed(docs).filter("times > 0")
     copies = found.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
     return copies.select("row.*")

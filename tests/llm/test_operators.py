@@ -275,6 +275,33 @@ def test_knapsack_fit():
     assert int((take * [3, 5, 1000]).sum()) == 1037
 
 
+def test_knapsack_best():
+    """As near as any choice of what the proportional part leaves."""
+    from itertools import product
+
+    r = random.Random(4)
+    for _ in range(80):
+        sizes = np.array(sorted(r.sample(range(1, 60), r.randint(1, 5))))
+        counts = np.array([r.randint(1, 4) for _ in sizes])
+        budget = r.randint(1, int((sizes * counts).sum()))
+        low = np.minimum((counts * (budget / (sizes * counts).sum())).astype(int), counts)
+        sums = [int((sizes * x).sum()) for x in product(*[range(a, b + 1) for a, b in zip(low, counts)])]
+        assert int((sizes * mixing.fit(sizes, counts, budget)).sum()) == max(s for s in sums if s <= budget)
+    sizes, counts = np.arange(7, 7 * 400, 7), np.full(399, 5)  # no sum meets it: all rows of the table
+    take = mixing.fit(sizes, counts, 300_003)
+    assert int((sizes * take).sum()) == 300_003 // 7 * 7 and (take <= counts).all()
+
+
+def test_targets_many_sources(spark):
+    """Very many sources, some full, with sizes whose products pass 64 bits."""
+    r = random.Random(6)
+    sizes = {f"0h{i:05d}": r.choice([0, 1, 5, 10**3, 10**6, 10**12, 3 * 10**13]) for i in range(3000)}
+    frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)
+    want = brute_targets(sizes)
+    for x in mixing.targets(frame).collect():
+        assert abs(x.target - want[x.source]) <= 1e-9 * max(1.0, want[x.source])
+
+
 def test_sharding(spark, docs, rows, empty):
     found = sharding.shard(docs).selectExpr("row.doc_id", "row.text", "size as z", "text_crc32", "shard", "slot").collect()
     assert Counter((x.doc_id, x.z, x.text_crc32) for x in found) == Counter((x[0], len((x[1] or "").encode()) + 16, zlib.crc32((x[1] or "").encode())) for x in rows)
