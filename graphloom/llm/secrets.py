@@ -38,7 +38,7 @@ WORDS = (
 )
 PATHS = "test|spec|example|sample|fixture|mock|doc"
 #: A value of 6 to 15 characters that is assigned to a key word.
-SHORT = rf"(?i)(?:{KEYWORDS})[A-Za-z0-9_]{{0,20}}[\"']?\\s*[:=]\\s*[\"']?([^\\s\"'`,;<>(){{}}\\[\\]]{{6,15}})(?![^\\s\"'`,;<>(){{}}\\[\\]])"
+SHORT = rf"(?i)(?:{KEYWORDS})[A-Za-z0-9_]{{0,20}}[\"']?\s*[:=]\s*[\"']?([^\s\"'`,;<>(){{}}\[\]]{{6,15}})(?![^\s\"'`,;<>(){{}}\[\]])"
 CASES = "[a-z][A-Z].*[a-z][A-Z].*[a-z][A-Z].*[a-z][A-Z]"
 #: Words of the corpus that make the dictionary, the commonest ones.
 DICTIONARY = 400
