@@ -7,7 +7,9 @@ distinct pre-tokens go into one trie; a trie node stands for a prefix and holds
 the forward score and token count of that prefix, computed once however many
 pre-tokens share it. Terminal counts are stored by pre-token, and a document adds
 up the counts of its words. Nothing is exchanged; the trie is emptied when it
-reaches NODES, so memory is bounded whatever the corpus holds.
+reaches NODES, and of a word only the first SHARED characters are put in it (the
+rest of a longer one needs no more than the scores of the last few prefixes), so
+memory is bounded whatever the corpus holds.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import types as T
 from graphloom.llm.base import annotate, as_rows, table
 
 NODES = 2_000_000
+#: Characters of a pre-token that the trie holds.
+SHARED = 64
 MARK = "▁"
 #: How much below the least likely piece a byte of an unknown character scores.
 UNKNOWN = 10.0
@@ -39,10 +43,17 @@ def vocabulary(path: str | None = None) -> dict[str, float]:
 class UnigramTrie:
     """Forward scores of prefixes, shared between pre-tokens."""
 
-    def __init__(self, scores: dict[str, float], nodes: int = NODES):
-        self.scores, self.limit = scores, nodes
+    def __init__(self, scores: dict[str, float], nodes: int = NODES, shared: int = SHARED):
+        self.scores, self.limit, self.shared = scores, nodes, shared
         self.longest = max(map(len, scores), default=1)
         self.byte = min(scores.values(), default=0.0) - UNKNOWN
+        # all endings of pieces, with the score of those that are pieces: where no
+        # piece ends so, none ends in what is longer
+        self.endings: dict[str, float | None] = {}
+        for piece in scores:
+            for k in range(1, len(piece)):
+                self.endings.setdefault(piece[k:], None)
+        self.endings |= scores
         self.clear()
 
     def clear(self) -> None:
@@ -56,33 +67,50 @@ class UnigramTrie:
         if known is None:
             if len(self.best) > self.limit:
                 self.clear()
-            known = self.terminal[word] = self.insert(MARK + word.decode())
+            known = self.insert(MARK + word.decode())
+            if len(word) <= 4 * self.shared:
+                self.terminal[word] = known
         return known
 
+    def step(self, text: str, at: int, path: list[tuple[float, int]]) -> tuple[float, int]:
+        """Score and minus the tokens of the first ``at`` characters; path has those of
+        the prefixes before, the last ones at its end."""
+        char, endings = text[at - 1], self.endings
+        if char in self.scores:
+            top = (float("-inf"), 0)
+        else:  # an unknown character falls back to its bytes
+            n_bytes = len(char.encode())
+            top = (path[-1][0] + self.byte * n_bytes, path[-1][1] - n_bytes)
+        for size in range(1, min(self.longest, at) + 1):
+            piece = text[at - size : at]
+            if piece not in endings:
+                break
+            score = endings[piece]
+            if score is not None:
+                before = path[-size]
+                found = (before[0] + score, before[1] - 1)
+                if found > top:
+                    top = found
+        return top
+
     def insert(self, text: str) -> int:
-        children, best, tokens, scores = self.children, self.best, self.tokens, self.scores
-        node, path = 0, [0]
-        for at, char in enumerate(text, 1):
+        children, best, tokens = self.children, self.best, self.tokens
+        node, path = 0, [(0.0, 0)]
+        for at, char in enumerate(text[: self.shared], 1):
             key = node << 21 | ord(char)
             child = children.get(key)
             if child is None:
-                last = path[-1]
-                n_bytes = len(char.encode())
-                # an unknown character falls back to its bytes
-                top, least = (best[last] + self.byte * n_bytes, -(tokens[last] + n_bytes)) if char not in scores else (float("-inf"), 0)
-                for size in range(1, min(self.longest, at) + 1):
-                    score = scores.get(text[at - size : at])
-                    if score is not None:
-                        start = path[at - size]
-                        found = (best[start] + score, -(tokens[start] + 1))
-                        if found > (top, least):
-                            top, least = found
+                score, less = self.step(text, at, path)
                 child = children[key] = len(best)
-                best.append(top)
-                tokens.append(-least)
-            path.append(child)
+                best.append(score)
+                tokens.append(-less)
+            path.append((best[child], -tokens[child]))
             node = child
-        return tokens[node]
+        for at in range(self.shared + 1, len(text) + 1):
+            path.append(self.step(text, at, path))
+            if len(path) > 4096:
+                path = path[-self.longest :]
+        return -path[-1][1]
 
 
 COUNTS = T.StructType([T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType())])
@@ -110,6 +138,7 @@ def counted(docs: DataFrame, scores: dict[str, float] | None = None) -> DataFram
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pre-tokens and tokens of every document."""
+    """Pre-tokens and tokens of every document. The public model has ranks, not
+    probabilities, so the scores are those of a Zipf law over them."""
     found = counted(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("row.doc_id", "n_pretokens", "n_tokens")

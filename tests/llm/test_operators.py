@@ -422,6 +422,13 @@ def test_token_counts(docs, rows, empty):
     assert tokencounts.counted(empty, scores).count() == 0
     small = tokencounts.UnigramTrie(scores, nodes=5)  # emptied again and again
     assert all(small.count(w.encode()) == brute("▁" + w) for w in ("abcd", "xyz", "ab", "abcd", "éa"))
+    r = random.Random(9)
+    long = ["".join(r.choice("abcdeé") for _ in range(n)) for n in (63, 64, 65, 500, 2000)]
+    for shared in (1, 7, 64):
+        trie = tokencounts.UnigramTrie(scores, nodes=1000, shared=shared)
+        assert [trie.count(w.encode()) for w in long * 2] == [brute("▁" + w) for w in long] * 2
+    trie = tokencounts.UnigramTrie(scores, nodes=1000)
+    assert trie.count(b"ab" * 200_000) > 0 and len(trie.best) < 1100 and not trie.terminal  # memory stays bounded
 
 
 def test_token_files(spark, docs, rows, empty, tmp_path):
