@@ -72,25 +72,29 @@ def shard(docs: DataFrame, keep: list[str] | None = None, shards: int = SHARDS,
 
     A null text counts as empty (size 16, checksum 0); a null doc_id is a key
     like any other. Repeated rows are numbered one after the other, each has a
-    slot of its own. An empty table gives no rows. Columns of the caller stay
-    inside ``row`` and may have any name.
+    slot of its own; rows of equal key and checksum go by their other columns, so
+    reruns agree. An empty table gives no rows. Columns of the caller stay inside
+    ``row`` and may have any name.
     """
     text = F.coalesce(F.col("row.text"), F.lit(""))
     n = docs.count()
     buckets = isqrt(n) + 1
     kept = F.struct(*[F.col("row").getField(c).alias(c) for c in keep or docs.columns])
+    others = [F.col("row").getField(c).alias(c) for c in keep or docs.columns if c not in ("doc_id", "text")]
+    tie = F.sha2(F.to_json(F.struct(*others)), 256) if others else F.lit("")
     rows = as_rows(docs).select(
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.col("row.doc_id").alias("key"),
+        tie.alias("tie"),
         kept.alias("row"),
     )
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "text_crc32", F.lit(seed)), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "text_crc32", "tie", F.lit(seed)), F.lit(buckets)))
     # one row for each bucket, pre-aggregated: sqrt(n) of them
     sizes = rows.groupBy("bucket").count()
     before = F.sum("count").over(Window.orderBy("bucket")) - F.col("count")
     offsets = cut(sizes.select("bucket", before.alias("before")), "shard")
-    inside = Window.partitionBy("bucket").orderBy(F.col("key").asc_nulls_first(), "text_crc32")
+    inside = Window.partitionBy("bucket").orderBy(F.col("key").asc_nulls_first(), "text_crc32", "tie")
     placed = (
         rows.withColumn("rank", F.row_number().over(inside))
         .join(offsets, "bucket")
@@ -112,6 +116,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents with their shard and slot."""
+    """Pipeline stage: the documents with their shard and slot (nulls, repeated rows
+    and empty tables as in ``shard``)."""
     own = [c for c in docs.columns if c not in ("shard", "slot")]
     return shard(docs, keep=own).select("row.*", "shard", "slot")

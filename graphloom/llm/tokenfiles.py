@@ -36,7 +36,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 #: A letter or digit and the ASCII signs between it and white space.
 SIGNS = r"([a-z0-9])([!-/:-@\[-`{-~]+)([\x20\x09-\x0D])"
 #: Bytes of text that a task encodes at once.
-AT_ONCE = 16 << 20
+AT_ONCE = 8 << 20
 #: Words that are encoded as one text.
 TOGETHER = 400
 
@@ -138,10 +138,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> N
     where = vocabulary or tokenizer_path()
     text = F.coalesce("text", F.lit(""))
     slim = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
-    # as many ranges as the input has splits; the ranges are sampled by doc_id alone,
-    # so no text is read for them
+    # as many ranges as the input has splits; the text's hash splits what has one doc_id
     parts = max(docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism)
-    dealt = slim.repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
+    dealt = slim.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h")
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,12 +189,14 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     check.rows = 0
     tokens = read_tokens(spark, path)
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    # a file's name begins with the number of its range, in ascending order
-    rows = tokens.select("doc_id", F.concat("_metadata.file_name", F.format_string(":%015d", "_metadata.file_block_start")).alias("file"), "ids")
-    rows = rows.mapInArrow(check, f"doc_id {kind}, file string, nth long, n_tokens long, ids_crc32 long")
+    # a file's name holds the number of its range and, behind -c, that of the file in it
+    number = lambda mark: F.regexp_extract("_metadata.file_name", mark, 1).cast("long")
+    file = F.struct(number(r"part-(\d+)").alias("part"), number(r"-c(\d+)").alias("nth"), F.col("_metadata.file_block_start").alias("block"))
+    rows = tokens.select("doc_id", file.alias("file"), "ids")
+    rows = rows.mapInArrow(check, f"doc_id {kind}, file struct<part: bigint, nth: bigint, block: bigint>, nth long, n_tokens long, ids_crc32 long")
     rows = cut(rows, "tokenindex")
     sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    # one row for each split of a file
+    # one row for each split of a file; numbers, as names would put part-100000 before part-99999
     offsets = cut(sums.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before")), "offsets")
     inside = Window.partitionBy("file").orderBy("nth")
     start = F.col("before") + F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")

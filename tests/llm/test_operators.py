@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, htmltext, mixing, quality, secrets, sharding, simhash, suffixdedup, tokencounts, tokenfiles
 
@@ -313,6 +314,10 @@ def test_sharding(spark, docs, rows, empty):
     again = sharding.shard(docs.repartition(5)).selectExpr("row.doc_id", "row.text", "size as z", "shard", "slot").collect()
     assert Counter((x.doc_id, x.text, x.shard, x.slot) for x in again) == Counter((x.doc_id, x.text, x.shard, x.slot) for x in found)
     assert sharding.shard(empty).count() == 0
+    # one key and text in rows that differ elsewhere: reruns agree
+    ties = spark.createDataFrame([(1, "a b", f"s{i}") for i in range(50)], "doc_id long, text string, source string")
+    one, two = ({(x.source, x.shard, x.slot) for x in sharding.shard(t).selectExpr("row.source", "shard", "slot").collect()} for t in (ties, ties.orderBy(F.rand(7)).repartition(4)))
+    assert one == two and len(one) == 50
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 100, 1000, 4097])
@@ -453,6 +458,23 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
     assert tokenfiles.read_tokens(spark, path + "0").count() == 0
 
 
+def test_token_files_order(spark, tmp_path):
+    """Starts follow the number of a file, not its name; one doc_id in many texts."""
+    import os
+
+    rows = [(i // 3 if i < 60 else None, f"word{i} " * (i % 7 + 1)) for i in range(90)]
+    path = f"{tmp_path}/tokens"
+    tokenfiles.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), f"file://{path}")
+    names = sorted(x for x in os.listdir(path) if x.startswith("part-"))
+    before = sorted(tuple(x) for x in tokenfiles.token_index(spark, f"file://{path}").collect() if x.doc_id is not None)
+    for k, name in enumerate(names):  # from part-99998 on, into six digits
+        os.rename(f"{path}/{name}", f"{path}/part-{99998 + k}-{name.split('-', 2)[2]}")
+        if os.path.exists(crc := f"{path}/.{name}.crc"):
+            os.remove(crc)
+    assert len(names) > 2
+    assert sorted(tuple(x) for x in tokenfiles.token_index(spark, f"file://{path}").collect() if x.doc_id is not None) == before
+
+
 def test_secrets(spark, empty):
     model = secrets.train(secrets.labelled_findings(spark))
     key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
