@@ -79,6 +79,71 @@ def provenance_confidence(rows: DataFrame) -> DataFrame:
     return rows.withColumn("confidence", F.round(score, 2))
 
 
+# What ties a decision to files, and authors to files.
+FILE_RELATIONS = ["documents", "affects", "implements", "changed", "generated", "references"]
+AUTHOR_RELATIONS = ["created_by", "owns"]
+DAY_MS = 86_400_000
+MOST = {"who": 12, "file": 15, "commit": 8}
+
+
+def _near(asked: DataFrame, rows: DataFrame, span: int) -> DataFrame:
+    """(decision, then rows' columns) for rows (ts, ...) within ``span`` days of an
+    asked decision (id, created_at). Both sides meet on days, so no pair far apart is
+    compared."""
+    days = F.sequence(F.floor(F.col("created_at") / DAY_MS) - span, F.floor(F.col("created_at") / DAY_MS) + span)
+    spread = asked.select(F.col("id").alias("decision"), "created_at", F.explode(days).alias("day"))
+    near = rows.withColumn("day", F.floor(F.col("ts") / DAY_MS)).join(spread, "day")
+    return near.filter(F.abs(F.col("ts") - F.col("created_at")) <= span * DAY_MS).drop("day", "created_at")
+
+
+def _latest(rows: DataFrame, most: int) -> DataFrame:
+    """Of (decision, id, relation, ts) the ``most`` latest of each decision."""
+    top = F.slice(F.sort_array(F.collect_set(F.struct("ts", "id", "relation")), asc=False), 1, most)
+    return rows.groupBy("decision").agg(top.alias("x")).select("decision", F.explode("x").alias("x")).select("decision", "x.id", "x.relation")
+
+
+def provenance(asked: DataFrame, nodes: DataFrame, edges: DataFrame, commits: DataFrame, messages: DataFrame, span: int = 14) -> DataFrame:
+    """(decision, kind, id, relation): the evidence for each asked decision (id,
+    created_at), which are nodes that a reader opens.
+
+    who: persons and agents with an edge to it, else authors of files that changed
+    within ``span`` days; file: files it points to, else files that changed then;
+    commit and conversation: commits and messages (id, ts) of these days; task: tasks
+    tied to it; related: the other decisions, earlier or later. Nodes have id, type,
+    created_at and last_modified."""
+    kind = nodes.select(F.col("id").alias("other"), "type")
+    inward = edges.join(asked.select(F.col("id").alias("target")), "target").select(F.col("target").alias("decision"), F.col("source").alias("other"), "relation", F.lit("in").alias("way"))
+    outward = edges.join(asked.select(F.col("id").alias("source")), "source").select(F.col("source").alias("decision"), F.col("target").alias("other"), "relation", F.lit("out").alias("way"))
+    beside = inward.unionByName(outward).join(kind, "other")
+    pick = lambda rows, name: rows.select("decision", F.lit(name).alias("kind"), F.col("other").alias("id"), "relation").distinct()
+    who = pick(beside.filter((F.col("way") == "in") & F.col("type").isin("person", "agent")), "who")
+    files = pick(beside.filter((F.col("way") == "out") & (F.col("type") == "file") & F.col("relation").isin(FILE_RELATIONS)), "file")
+    tasks = pick(beside.filter("type = 'task'"), "task")
+    without = lambda found: asked.join(found.select(F.col("decision").alias("id")), "id", "left_anti")
+    changed = nodes.filter("type = 'file' AND last_modified IS NOT NULL").select("id", F.col("last_modified").alias("ts"))
+    near_files = _near(without(files), changed, span).withColumn("relation", F.lit("modified-near-date"))
+    then = _near(without(who), changed.withColumnRenamed("id", "target"), span)
+    authors = edges.filter(F.col("relation").isin(AUTHOR_RELATIONS)).select("source", "target").join(then, "target").select("decision", F.col("source").alias("id"))
+    authors = authors.join(nodes.filter("type = 'person'").select("id"), "id", "left_semi").distinct()
+    named = lambda rows, name: rows.select("decision", F.lit(name).alias("kind"), "id", "relation")
+    out = who.unionByName(files).unionByName(tasks)
+    out = out.unionByName(named(_latest(authors.withColumns({"relation": F.lit("author-near-date"), "ts": F.lit(0)}), MOST["who"]), "who"))
+    out = out.unionByName(named(_latest(near_files, MOST["file"]), "file"))
+    out = out.unionByName(named(_latest(_near(asked, commits, span).withColumn("relation", F.lit("in-window")), MOST["commit"]), "commit"))
+    out = out.unionByName(named(_near(asked, messages, span).withColumn("relation", F.lit("in-window")), "conversation"))
+    other = nodes.filter((F.col("type") == "adr") | F.col("id").startswith("decision::")).select(F.col("id").alias("other"), F.col("created_at").alias("at"))
+    relation = F.when(F.col("at") < F.col("created_at"), "earlier").otherwise("later")
+    pairs = asked.join(other, F.col("id") != F.col("other")).select(F.col("id").alias("decision"), F.lit("related").alias("kind"), F.col("other").alias("id"), relation.alias("relation"))
+    return out.unionByName(pairs)
+
+
+def evidence_confidence(asked: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(id, confidence) of asked decisions (id, content) from their evidence."""
+    has = {c: F.coalesce(F.bool_or(F.col("kind") == k), F.lit(False)).alias(c) for c, k in {"who": "who", "files": "file", "commits": "commit", "conversation": "conversation", "related": "related"}.items()}
+    rows = asked.join(evidence.withColumnRenamed("id", "found").withColumnRenamed("decision", "id"), "id", "left").groupBy("id", "content").agg(*has.values())
+    return provenance_confidence(rows.withColumn("content", F.coalesce(F.col("content") != "", F.lit(False)))).select("id", "confidence")
+
+
 def merge_first(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows and the new ones of keys that are not there yet, each once."""
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti").select(*old.columns))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LINES, OVERLAP, MOST_CHUNKS = 120, 12, 800
@@ -73,19 +75,33 @@ SYMBOLS = [
 ]
 
 
+SYMBOL_LINES, SYMBOL_CHARS = (120, 60), 4000
+
+
 def symbols(files: DataFrame) -> DataFrame:
-    """(path, type, name, line, end_line): definitions at the start of a line, by the
-    first rule that fits. A symbol ends at the next closing bracket in column 0
-    within 120 lines, else 60 lines on or at the end of the file."""
-    each = files.select("path", F.posexplode(lines(F.col("content"))).alias("pos", "line"), F.size(lines(F.col("content"))).alias("n"), lines(F.col("content")).alias("all"))
+    """(path, type, name, line, end_line, content): definitions at the start of a
+    line, by the first rule that fits. A symbol ends at the next line, fewer than
+    120 lines on, that is a closing ) or } alone, with ; or , behind it perhaps, and
+    not deeper than the definition; else 60 lines on or at the end of the file. Its
+    content has 4,000 characters at most.
+
+    Definitions, and lines that close, are found on single lines; the file's lines
+    are joined again only to the definitions."""
+    split = files.select("path", lines(F.col("content")).alias("all"))
+    each = split.select("path", F.posexplode("all").alias("pos", "line"), F.size("all").alias("n"))
     fits = [(F.col("path").rlike(end) & F.col("line").rlike(p), t, p) for end, t, p in SYMBOLS]
     name = F.coalesce(*[F.when(fit, F.regexp_extract("line", p, 1)) for fit, _, p in fits])
     kind = F.coalesce(*[F.when(fit, F.lit(t)) for fit, t, _ in fits])
-    rows = each.select("path", kind.alias("type"), name.alias("name"), "pos", "n", "all").filter(F.col("name").rlike("^[^_0-9]"))
-    after = F.slice("all", F.col("pos") + 2, 120)
-    closes = F.array_position(F.transform(after, lambda x: x.rlike(r"^[}\])]")), F.lit(True))
-    end = F.when(closes > 0, F.col("pos") + closes).otherwise(F.least(F.col("n") - 1, F.col("pos") + 60))
-    return rows.select("path", "type", "name", (F.col("pos") + 1).alias("line"), (end + 1).cast("int").alias("end_line"))
+    found = each.select("path", kind.alias("type"), name.alias("name"), "pos", "n", "line").filter(F.col("name").rlike("^[^_0-9]"))
+    most, else_ = SYMBOL_LINES
+    here = found.groupBy("path").agg(F.collect_list(F.struct("type", "name", "pos", "n", "line")).alias("defs"))
+    rows = split.join(here, "path").select("path", "all", F.explode("defs").alias("d")).select("path", "all", "d.*")
+    indent = F.length(F.regexp_extract("line", r"^\s*", 0))
+    after = F.slice("all", F.col("pos") + 2, most - 1)
+    closes = F.array_position(F.transform(after, lambda x: x.rlike(r"^\s*[)}]\s*[;,]?\s*$") & (F.length(F.regexp_extract(x, r"^\s*", 0)) <= indent)), F.lit(True))
+    end = F.when(closes > 0, F.col("pos") + closes).otherwise(F.least(F.col("n") - 1, F.col("pos") + else_))
+    content = F.substring(F.array_join(F.slice("all", F.col("pos") + 1, (end - F.col("pos") + 1).cast("int")), "\n"), 1, SYMBOL_CHARS)
+    return rows.select("path", "type", "name", (F.col("pos") + 1).alias("line"), (end + 1).cast("int").alias("end_line"), content.alias("content"))
 
 
 # The four ways in which a module names another by a relative path.
@@ -141,7 +157,21 @@ def next_workers(rows: DataFrame) -> DataFrame:
 
 
 def smoothed_rate(rows: DataFrame, key: str, alpha: float = 0.25) -> DataFrame:
-    """(key, rate): the exponentially weighted rate of (key, seq, value), oldest first."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x.value)
-    fold = F.aggregate("v", F.lit(None).cast("double"), lambda s, x: F.when(s.isNull(), x).otherwise(F.lit(alpha) * x + (1 - alpha) * s))
-    return rows.groupBy(key).agg(values.alias("v")).select(key, F.round(fold, 6).alias("rate"))
+    """(key, rate): the exponentially weighted rate of (key, seq, value), oldest first.
+
+    The rate is a weighted sum: a value counts alpha * (1 - alpha)^k if k follow it,
+    the first one (1 - alpha)^k. Values with so many after them that their weight is
+    below 1e-18 add nothing, so a key's last values are enough; each task keeps its
+    own last ones before they meet, and a key of any size stays small."""
+    last = math.ceil(math.log(1e-18) / math.log(1 - alpha))
+    value = F.struct(F.col("seq"), F.col("value").cast("double").alias("value"))
+    # the greatest rows of a key, by seq: parts of the keys first, then the keys
+    part = rows.withColumn("__part", F.spark_partition_id())
+    head = F.slice(F.sort_array(F.collect_list("v"), asc=False), 1, last)
+    by_part = Window.partitionBy(key, "__part").orderBy(F.desc("seq"), F.desc("value"))
+    kept = part.withColumn("__n", F.row_number().over(by_part)).filter(F.col("__n") <= last)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    tops = kept.select(key, value.alias("v")).groupBy(key).agg(head.alias("v"))
+    weight = lambda k, n: F.pow(F.lit(1 - alpha), k) * F.when(k == n - 1, 1.0).otherwise(alpha)
+    terms = F.transform("v", lambda x, k: x.value * weight(k, F.col("n")))
+    return tops.join(counts, key).select(key, F.round(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), 6).alias("rate"))

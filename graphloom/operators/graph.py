@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.joins import neighbors
+from graphloom.operators.merge import positions
 from graphloom.sources.tables import cut
 
 
@@ -20,23 +21,31 @@ def _reversed(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
 
 
+#: Rounds whose new nodes are read one by one before they are put together.
+ROUNDS = 8
+
+
 def reach(edges: DataFrame, start: str, most: int | None = None, undirected: bool = False) -> DataFrame:
     """(id, distance) of all nodes that edges reach from start, itself included at
-    0, up to ``most`` hops. Each round expands the last round's nodes only."""
-    pairs = edges.select("source", "target").distinct()
+    0, up to ``most`` hops. Each round expands the last round's nodes only and
+    writes what is new."""
+    pairs = edges.select("source", "target")
     if undirected:
-        pairs = pairs.union(pairs.select("target", "source")).distinct()
+        pairs = pairs.union(pairs.select("target", "source"))
     pairs = cut(pairs, "pairs")
-    seen = front = edges.sparkSession.createDataFrame([(start, 0)], "id string, distance int")  # one row
-    hop = 0
+    front = edges.sparkSession.createDataFrame([(start, 0)], "id string, distance int")  # one row
+    fronts, hop = [front], 0
     while most is None or hop < most:
         hop += 1
+        seen = reduce(DataFrame.union, fronts)
         step = pairs.join(front.select(F.col("id").alias("source")), "source").select(F.col("target").alias("id")).distinct()
         front = cut(step.join(seen, "id", "left_anti").withColumn("distance", F.lit(hop)), "front")
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front), "seen")
-    return seen
+        fronts.append(front)
+        if len(fronts) > ROUNDS:
+            fronts = [cut(reduce(DataFrame.union, fronts), "seen")]
+    return reduce(DataFrame.union, fronts)
 
 
 def dependencies(edges: DataFrame, node_id: str, transitive: bool = True) -> DataFrame:
@@ -83,17 +92,22 @@ def shortest_paths(edges: DataFrame, start: str) -> DataFrame:
 
 def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
     """(position, id, distance) along a least path; no rows if there is none. The
-    path is followed back on the finished distances, one row each."""
-    known, at, path = shortest_paths(edges, start), end, []
-    while at is not None:
-        row = known.filter(F.col("id") == at).first()
-        if row is None:
-            path = []
+    path is followed back in jumps: after round n every node knows who stands 2^n
+    steps before it, and the path found so far doubles, so a long one takes few
+    rounds."""
+    known = cut(shortest_paths(edges, start).select("id", "distance", "before"), "known")
+    path = known.filter(F.col("id") == end).select("id", F.lit(0).cast("long").alias("back"))
+    jumps, step = known.filter("before is not null").select("id", F.col("before").alias("to")), 1
+    while True:
+        more = path.join(jumps, "id").select(F.col("to").alias("id"), (F.col("back") + step).alias("back"))
+        longer = cut(path.union(more).distinct(), "path")
+        if longer.count() == path.count():
             break
-        path.append((row.id, row.distance))
-        at = row.before
-    rows = [(n, *x) for n, x in enumerate(reversed(path))]
-    return edges.sparkSession.createDataFrame(rows, "position int, id string, distance double")
+        path, step = longer, step * 2
+        onward = jumps.select(F.col("id").alias("to"), F.col("to").alias("further"))
+        jumps = cut(jumps.join(onward, "to").select("id", F.col("further").alias("to")), "jumps")
+    length = path.agg(F.max("back").alias("last"))  # one row
+    return path.join(F.broadcast(length)).join(known, "id").select((F.col("last") - F.col("back")).cast("int").alias("position"), "id", "distance")
 
 
 def topological(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -134,21 +148,27 @@ def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id that undirected edges reach; a lone node is its
-    own. Each round a node takes the least label around it, then the label of its
-    label, which halves what is left of long chains."""
-    pairs = edges.filter("source <> target").select("source", "target").distinct()
-    pairs = cut(pairs.union(pairs.select("target", "source")).distinct(), "pairs")
-    labels = cut(nodes.select("id", F.col("id").alias("component")).distinct(), "labels")
+    own. Each round a node takes the least of its label, the labels around it and
+    its label's label, which halves what is left of long chains; a round is one
+    write."""
+    ids = nodes.select("id").distinct()
+    pairs = edges.filter("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+    labels = cut(ids.select("id", F.col("id").alias("component"), F.lit(True).alias("changed")), "labels")
+    named = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_label"))
+    pairs = cut(pairs.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi"), "pairs")
     while True:
-        around = pairs.join(labels.select(F.col("id").alias("target"), "component"), "target").groupBy(F.col("source").alias("id")).agg(F.min("component").alias("near"))
-        new = labels.join(around, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
-        new = cut(new, "labels")
-        hop = new.select(F.col("id").alias("component"), F.col("component").alias("far"))
-        new = cut(new.join(hop, "component", "left").select("id", "old", F.least("component", F.coalesce("far", "component")).alias("component")), "labels")
-        changed = not new.filter("component <> old").isEmpty()
-        labels = new.select("id", "component")
-        if not changed:
-            return labels
+        both = pairs.join(named("a"), "a").join(named("b"), "b").filter("a_label <> b_label")
+        ends = both.select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.col("b_label").alias("near")), F.struct(F.col("b").alias("id"), F.col("a_label").alias("near")))))
+        # what a node's label should take is told to the label's own node as well
+        wide = both.select(F.greatest("a_label", "b_label").alias("id"), F.least("a_label", "b_label").alias("near"))
+        around = ends.union(wide).groupBy("id").agg(F.min("near").alias("near"))
+        hop = labels.select(F.col("id").alias("component"), F.col("component").alias("far"))
+        new = labels.drop("changed").join(hop, "component", "left").join(around, "id", "left")
+        least = F.least("component", F.coalesce("near", "component"), F.coalesce("far", "component"))
+        new = cut(new.select("id", least.alias("component"), (least != F.col("component")).alias("changed")), "labels")
+        labels = new
+        if new.filter("changed").isEmpty():
+            return labels.select("id", "component")
 
 
 def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -174,13 +194,25 @@ def trace(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
     return neighbors(nodes, edges, node_id).select("neighbor", "neighbor_label", "relation", way.alias("direction"))
 
 
+def story_ends(edges: DataFrame, relations: list[str]) -> DataFrame:
+    """(middle, end): the different neighbours of each node over the given relations."""
+    some = edges.filter(F.col("relation").isin(relations)).filter("source <> target")
+    return some.select(F.col("target").alias("middle"), F.col("source").alias("end")).union(some.select("source", "target")).distinct()
+
+
 def two_paths(edges: DataFrame, relations: list[str]) -> DataFrame:
     """(middle, paths): pairs of different neighbours around a middle node over the
     given relations, counted from the number of neighbours, not enumerated."""
-    some = edges.filter(F.col("relation").isin(relations)).filter("source <> target")
-    ends = some.select(F.col("target").alias("middle"), F.col("source").alias("end")).union(some.select("source", "target")).distinct()
     n = F.count(F.lit(1))
-    return ends.groupBy("middle").agg((n * (n - 1) / 2).cast("long").alias("paths")).filter("paths > 0")
+    return story_ends(edges, relations).groupBy("middle").agg((n * (n - 1) / 2).cast("long").alias("paths")).filter("paths > 0")
+
+
+def paths_through(edges: DataFrame, relations: list[str], middles: DataFrame) -> DataFrame:
+    """(a, middle, b): the paths themselves, of the middle nodes (id) asked for. A
+    path is a pair of neighbours, so what is asked for is a view's nodes, not all."""
+    ends = story_ends(edges, relations).join(middles.select(F.col("id").alias("middle")).distinct(), "middle", "left_semi")
+    other = ends.select("middle", F.col("end").alias("b"))
+    return ends.withColumnRenamed("end", "a").join(other, "middle").filter("a < b").select("a", "middle", "b")
 
 
 def ring_layout(nodes: DataFrame, edges: DataFrame, start: str, spacing: float = 180.0) -> DataFrame:
@@ -193,8 +225,8 @@ def ring_layout(nodes: DataFrame, edges: DataFrame, start: str, spacing: float =
 
 def layers(topo: DataFrame, spacing: float = 180.0, height: float = 130.0) -> DataFrame:
     """(id, x, y) by depth and order of id within a depth."""
-    n = F.row_number().over(Window.partitionBy("depth").orderBy("id")) - 1
-    return topo.filter("depth is not null").select("id", (n * spacing).alias("x"), (F.col("depth") * height).alias("y"))
+    rows = positions(topo.filter("depth is not null").select("depth", "id"), "depth", ["id"])
+    return rows.select("id", (F.col("position") * spacing).alias("x"), (F.col("depth") * height).alias("y"))
 
 
 def principal_axes(vectors: DataFrame, rounds: int = 25) -> DataFrame:

@@ -20,6 +20,15 @@ def neighbors(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
     return all_neighbors(nodes, mine).filter(F.col("id") == node_id)
 
 
+def neighbor_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(type, relation, direction, n): how many edge ends of each kind the nodes of a
+    type have. Ends are counted by id before they meet the nodes."""
+    end = lambda c, d: F.struct(F.col(c).alias("id"), "relation", F.lit(d).alias("direction"))
+    ends = edges.select(F.inline(F.array(end("source", "out"), end("target", "in"))))
+    counts = ends.groupBy("id", "relation", "direction").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(nodes.select("id", "type"), "id").groupBy("type", "relation", "direction").agg(F.sum("n").alias("n"))
+
+
 def embedded_chunks(chunks: DataFrame, vectors: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Chunks with their vector and, given nodes, their node's community."""
     rows = chunks.join(vectors.select(F.col("chunk_id").alias("id"), "vector"), "id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.merge import positions
+
 RING = 256
 IDLE_MS = 1_800_000
 
@@ -67,11 +69,16 @@ def identities(events: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def threads(messages: DataFrame) -> DataFrame:
-    """(key, ids in order, n, last_ts): messages by thread, a message without one
-    being its own."""
+    """(key, n, last_ts): messages by thread, a message without one being its own."""
     key = F.coalesce("thread_id", "id")
-    items = F.transform(F.array_sort(F.collect_list(F.struct("seq", "id"))), lambda x: x.id)
-    return messages.groupBy(key.alias("key")).agg(items.alias("ids"), F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"))
+    return messages.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"))
+
+
+def thread_items(messages: DataFrame) -> DataFrame:
+    """(key, position, id): the messages of each thread in order, a row each, so that
+    a thread of any length is no more than many rows."""
+    rows = messages.select(F.coalesce("thread_id", "id").alias("key"), "seq", "id")
+    return positions(rows, "key", ["seq", "id"]).select("key", "position", "id")
 
 
 def conflicts(messages: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.sources.tables import cut
+
 # The type that an id prefix stands for when only the id is known.
 STUB_TYPES = {
     "dependency": "dependency", "person": "person", "repo": "repo", "workspace": "workspace", "folder": "folder", "class": "class",
@@ -146,3 +148,16 @@ def message_nodes(messages: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, by: list[str]) -> DataFrame:
     """Adds n, the number of a row within its first column's group."""
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(by[0]).orderBy(*by[1:])))
+
+
+def positions(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Adds ``position``, a row's number (from 0) within its key, in a total order. Rows
+    are dealt by ranges of key and order, so a key that holds most rows is numbered by
+    many tasks; counts for each key and range give the starts."""
+    dealt = cut(rows.repartitionByRange(key, *order).withColumn("__range", F.spark_partition_id()), "positions")
+    counts = dealt.groupBy(key, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(key).alias("__key"), F.col("__range").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__range", key).orderBy(*order)) - 1
+    joined = dealt.withColumn("__n", inside).join(starts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__range") == F.col("__of")))
+    return joined.select(*rows.columns, (F.col("__start") + F.col("__n")).alias("position"))

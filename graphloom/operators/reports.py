@@ -44,3 +44,36 @@ def runtime_choice(candidates: DataFrame) -> DataFrame:
         + F.when((F.col("success") > 50) & (F.col("tps") == F.col("best")), 20).otherwise(0) + F.when(F.col("capable"), 10).otherwise(0)
     )
     return rows.select("id", "pos", score.alias("score")).orderBy(F.desc("score"), "pos").limit(1)
+
+
+def workspace_context(tables: dict[str, DataFrame], workspace: str, team: str | None = None) -> DataFrame:
+    """One row of sizes (nodes, edges, chunks) with the workspace, its team and
+    whether there is anything in it."""
+    counts = [tables[n].agg(F.count(F.lit(1)).alias(n)) for n in ("nodes", "edges", "chunks")]
+    row = counts[0].join(F.broadcast(counts[1])).join(F.broadcast(counts[2]))  # single rows
+    status = F.when(F.col("nodes") > 0, "ready").otherwise("empty")
+    return row.select(F.lit(workspace).alias("workspace"), F.lit(team).cast("string").alias("team"), "nodes", "edges", "chunks", status.alias("status"))
+
+
+def status_snapshot(journal: DataFrame, as_of: int, idle_ms: int = 1_800_000) -> DataFrame:
+    """One row: sessions, those active within ``idle_ms``, tool calls and errors."""
+    per = journal.groupBy("session_id").agg(
+        F.max("ts").alias("last"), F.count_if(F.col("type") == "tool_call").alias("calls"), F.count_if((F.col("type") == "tool_call") & ~F.col("ok")).alias("errors")
+    )
+    active = F.count_if(F.lit(as_of) - F.col("last") <= idle_ms)
+    return per.agg(F.count(F.lit(1)).alias("sessions"), active.alias("active_sessions"), F.sum("calls").alias("tool_calls"), F.sum("errors").alias("tool_errors"))
+
+
+def session_list(journal: DataFrame, as_of: int, idle_ms: int = 1_800_000, keep: int = 40) -> DataFrame:
+    """(session_id, last_active, ended): active sessions first, then by the latest;
+    of the ended ones the last ``keep``."""
+    per = journal.groupBy("session_id").agg(F.max("ts").alias("last_active")).withColumn("ended", F.lit(as_of) - F.col("last_active") > idle_ms)
+    ended = per.filter("ended").orderBy(F.desc("last_active"), "session_id").limit(keep)
+    return per.filter("not ended").unionByName(ended).orderBy("ended", F.desc("last_active"), "session_id")
+
+
+def index_counts(files: DataFrame, known: DataFrame) -> DataFrame:
+    """One row: indexed files, and how many of them differ from the stored hash or
+    have none; files and known are (path, content_hash)."""
+    rows = files.join(known.select("path", F.col("content_hash").alias("stored")), "path", "left")
+    return rows.agg(F.count(F.lit(1)).alias("indexed"), F.count_if(~F.col("content_hash").eqNullSafe(F.col("stored"))).alias("dirty"))

@@ -210,3 +210,23 @@ def normalized(vector: Column) -> Column:
     size = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.when(size > 0, F.transform(vector, lambda x: x.cast("double") / size)).otherwise(F.transform(vector, lambda x: x.cast("double")))
 
+
+
+def related(chunks: DataFrame, vectors: DataFrame, query: list[float], limit: int = 5, chars: int = 300) -> DataFrame:
+    """(file_path, content, score) of what is nearest in meaning, the text cut."""
+    found = semantic_search(chunks, vectors, query, limit * 2).orderBy(F.desc("score"), "key").limit(limit)
+    return found.select("file_path", F.substring("content", 1, chars).alias("content"), "score")
+
+
+def search_memories(local: DataFrame, remote: DataFrame, limit: int = 8, active: str | None = None, by: float = 0.25) -> DataFrame:
+    """(key, file_path, score, place): local and remote results (key, file_path,
+    rank) fused by rank; what lies in, under or beside the active file goes first
+    by its boosted score. Both lists are results of limited searches."""
+    fused = rank_fusion([local, remote], limit)
+    paths = local.select("key", "file_path").unionByName(remote.select("key", "file_path")).groupBy("key").agg(F.min("file_path").alias("file_path"))
+    first = local.select("key", "rank", F.lit(0).alias("list")).unionByName(remote.select("key", "rank", F.lit(1).alias("list")))
+    first = first.groupBy("key").agg(F.min(F.struct("list", "rank")).alias("first"))
+    rows = fused.join(paths, "key").join(first, "key")
+    boost = F.when(F.contains(F.lower(F.coalesce("file_path", F.lit(""))), F.lit((active or "").lower())) & F.lit(bool(active)), by).otherwise(0.0)
+    place = F.row_number().over(Window.orderBy(F.desc(F.col("score") + boost), "first"))  # at most ``limit`` rows
+    return rows.select("key", "file_path", "score", place.alias("place"))

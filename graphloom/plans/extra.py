@@ -77,7 +77,7 @@ def _(spark, d):
 
 @query(
     "gr16_provenance_confidence",
-    "SELECT p_partkey AS id, round(0.2 * (p_size % 2) + 0.25 * (p_partkey % 2) + 0.2 * (p_partkey % 3 = 0)::int + 0.15 * (p_size % 5 = 0)::int + 0.1 * (p_partkey % 7 = 0)::int + 0.1, 2) AS confidence FROM part",
+    "SELECT p_partkey AS id, cast(round(0.2 * (p_size % 2) + 0.25 * (p_partkey % 2) + 0.2 * (p_partkey % 3 = 0)::int + 0.15 * (p_size % 5 = 0)::int + 0.1 * (p_partkey % 7 = 0)::int + 0.1, 2) AS DOUBLE) AS confidence FROM part",
 )
 def _(spark, d):
     k, s = F.col("p_partkey"), F.col("p_size")

@@ -120,7 +120,20 @@ def _(spark, d):
     return S.fuse(arms, S.DEFAULT_INTENT, AS_OF, 50).select("key", F.round("score", 4).alias("score"))
 
 
-@query("sch9_retrieve")
+#: All arms of the flagship's question. File names are doc_<number>.md, which none of
+#: its words or stems names, so the file arm gives nothing.
+RETRIEVE_SQL = (
+    f"WITH t AS (SELECT unnest({[w for w in S.tokenize(QUESTION)]!r}) AS token), "
+    f"fts AS ({_fts([w for w in S.tokenize(QUESTION)], 50, 8)}), {COSINE_SQL.replace(', 5) AS score', ', 9) AS score')}, s AS (SELECT key, score FROM sem WHERE score > 0.25 ORDER BY score DESC, key LIMIT 8), "
+    + GRAPH_ARM.split("AS token), ", 1)[1] + ", g AS (SELECT key, score FROM garm ORDER BY score DESC, key LIMIT 8), "
+    "arms AS (SELECT 'fts' AS source, key, score / max(score) OVER () * 0.4 AS b FROM fts UNION ALL SELECT 'semantic', key, score / max(score) OVER () * 0.15 FROM s UNION ALL SELECT 'graph', key, score / max(score) OVER () * 0.15 FROM g), "
+    "p AS (SELECT id AS key, node_id, file_path, updated_at FROM chunks UNION ALL SELECT id, id, source_file, updated_at FROM nodes), "
+    f"w AS (SELECT source, arms.key, node_id, file_path, updated_at, cast(b as double) * CASE WHEN {AS_OF} - updated_at < 0 THEN 1.0 ELSE greatest(0.5, 1 / (1 + ({AS_OF} - updated_at) / 2592000000.0)) END AS b FROM arms JOIN p USING (key)) "
+    "SELECT key, any_value(node_id) AS node_id, any_value(file_path) AS file_path, any_value(updated_at) AS updated_at, round(sum(b), 6) AS score, arg_max(source, b) AS source FROM w GROUP BY 1 ORDER BY score DESC, key LIMIT 8"
+)
+
+
+@query("sch9_retrieve", RETRIEVE_SQL, "nodes", "edges", "chunks", "vectors")
 def retrieve(spark, d):
     """The flagship: all four arms and their fusion for one question."""
     nodes, edges, chunks, vectors = _t(spark, d, "nodes", "edges", "chunks", "vectors")
@@ -129,11 +142,14 @@ def retrieve(spark, d):
 
 @query(
     "sch10_context_blocks",
-    "WITH r AS (SELECT doc_id AS rank, text FROM documents ORDER BY doc_id LIMIT 20), t AS (SELECT rank, sum(length(text)) OVER (ORDER BY rank) AS total FROM r) "
+    f"WITH f AS ({_fts(['the', 'thing', 'ation_er'], None, 20)}), r AS (SELECT row_number() OVER (ORDER BY f.score DESC, f.key) AS rank, content FROM f JOIN chunks c ON c.id = f.key), "
+    "t AS (SELECT rank, sum(length(content)) OVER (ORDER BY rank) AS total FROM r) "
     "SELECT rank, cast(total as bigint) AS total FROM t WHERE rank < coalesce((SELECT min(rank) FROM t WHERE total > 6000), 1000000000)",
+    "chunks",
 )
 def _(spark, d):
-    ranked = load(spark, d, "documents").orderBy("doc_id").limit(20).select(F.col("doc_id").alias("rank"), F.col("text").alias("content"))
+    found = S.keyword_search(load(spark, d, "chunks"), WORDS, 20, candidates=None)
+    ranked = found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "key")).cast("long"))
     return S.context_blocks(ranked).select("rank", "total")
 
 
@@ -154,7 +170,7 @@ def _(spark, d):
     return S.rank_fusion([top(customer, "c_custkey", F.col("c_acctbal")), top(spent, "o_custkey", F.col("total"))], 30)
 
 
-@query("sch12_boost_active", "SELECT id AS key, file_path, CASE WHEN file_path = 'src3/en/doc_23.md' THEN 1.25 ELSE 1.0 END AS score FROM chunks", "chunks")
+@query("sch12_boost_active", "SELECT id AS key, file_path, cast(CASE WHEN file_path = 'src3/en/doc_23.md' THEN 1.25 ELSE 1.0 END AS DOUBLE) AS score FROM chunks", "chunks")
 def _(spark, d):
     rows = load(spark, d, "chunks").select(F.col("id").alias("key"), "file_path", F.lit(1.0).alias("score"))
     return S.boost_active(rows, "src3/en/doc_23.md")
@@ -415,7 +431,7 @@ def modules(spark: SparkSession, d: str) -> DataFrame:
 
 @query("etl5_symbols", "SELECT 'src/m' || p_partkey || '.ts' AS path, unnest(['class', 'function']) AS type, unnest(['Part' || p_partkey, 'load' || p_partkey]) AS name, unnest([3, 7]) AS line, unnest([4, 9]) AS end_line FROM part")
 def _(spark, d):
-    return E.symbols(modules(spark, d))
+    return E.symbols(modules(spark, d)).drop("content")
 
 
 @query("etl7_specifiers", "SELECT 'src/m' || p_partkey || '.ts' AS path, unnest(['./m' || (p_partkey - 1), '../src/gone' || p_partkey]) AS spec, unnest([0, 1]) AS pos FROM part")

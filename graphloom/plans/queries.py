@@ -105,17 +105,12 @@ def _(spark, d):
 
 @query(
     "flt7_list_persons",
-    "SELECT c_name AS name, c_mktsegment AS role, row_number() OVER (ORDER BY (c_custkey = 3) DESC, CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 ELSE 2 END, c_name, c_custkey) AS place FROM customer QUALIFY place <= 40",
+    "SELECT c_name AS name, c_mktsegment AS role, c_custkey = 3 AS is_primary FROM customer",
 )
 def _(spark, d):
     role = F.when(F.col("c_mktsegment") == "BUILDING", "owner").when(F.col("c_mktsegment") == "MACHINERY", "member").otherwise("other")
     rows = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "c_mktsegment", role.alias("role"), (F.col("c_custkey") == 3).alias("is_primary"))
-    top = FL.list_persons(rows).limit(40)
-    from pyspark.sql import Window
-
-    rank = F.when(F.col("role") == "owner", 0).when(F.col("role") == "member", 1).otherwise(2)
-    place = F.row_number().over(Window.orderBy(F.desc("is_primary"), rank, "name", "id"))
-    return top.withColumn("place", place.cast("long")).select("name", F.col("c_mktsegment").alias("role"), "place")
+    return FL.list_persons(rows).select("name", F.col("c_mktsegment").alias("role"), "is_primary")
 
 
 @query(
@@ -171,7 +166,7 @@ def _(spark, d):
 )
 def _(spark, d):
     nodes, edges = _t(spark, d, "nodes", "edges")
-    return J.all_neighbors(nodes, edges).join(nodes.select("id", "type"), "id").groupBy("type", "relation", "direction").agg(F.count(F.lit(1)).alias("n"))
+    return J.neighbor_counts(nodes, edges)
 
 
 @query("jn2_embedded_chunks", "SELECT chunk_id, file_path, node_id, len(vector) AS width FROM vectors v JOIN chunks c ON c.id = v.chunk_id", "vectors", "chunks")
@@ -203,11 +198,12 @@ def _(spark, d):
 @query(
     "jn6_mentions",
     "SELECT t.doc_id AS text_id, f.n_nationkey AS file_id FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_.\\-]+')) AS word FROM documents) t "
-    "JOIN (SELECT n_nationkey, lower(substr(n_name, 1, 2)) AS word FROM nation) f ON t.word = f.word",
+    "JOIN (SELECT n_nationkey, ['the', 'die', 'la', 'une', 'zzz'][n_nationkey % 5 + 1] AS word FROM nation) f ON t.word = f.word",
 )
 def _(spark, d):
     docs, nation = _t(spark, d, "documents", "nation")
-    files = nation.select(F.col("n_nationkey").alias("file_id"), F.concat(F.lit("src/"), F.substring("n_name", 1, 2)).alias("path"))
+    name = F.get(F.array(*map(F.lit, ["The", "die", "la", "une", "zzz"])), F.col("n_nationkey") % 5)
+    files = nation.select(F.col("n_nationkey").alias("file_id"), F.concat(F.lit("src/"), name).alias("path"))
     return J.mentions(docs.select(F.col("doc_id").alias("text_id"), F.col("text").alias("content")), files)
 
 
@@ -413,12 +409,14 @@ def _(spark, d):
     return JR.identities(rows, ["name", "model"])
 
 
-@query(
-    "agg15_threads",
-    f"WITH {MESSAGES_SQL} SELECT coalesce(thread_id, id) AS key, string_agg(id, ',' ORDER BY seq) AS ids, count(*) AS n, max(ts) AS last_ts FROM messages GROUP BY 1",
-)
+@query("agg15_threads", f"WITH {MESSAGES_SQL} SELECT coalesce(thread_id, id) AS key, count(*) AS n, max(ts) AS last_ts FROM messages GROUP BY 1")
+def _(spark, d):
+    return JR.threads(messages(spark, d))
+
+
+@query("agg15_thread_items", f"WITH {MESSAGES_SQL} SELECT coalesce(thread_id, id) AS key, row_number() OVER (PARTITION BY coalesce(thread_id, id) ORDER BY seq, id) - 1 AS position, id FROM messages")
 def _(spark, d):
-    return JR.threads(messages(spark, d)).withColumn("ids", F.array_join("ids", ","))
+    return JR.thread_items(messages(spark, d))
 
 
 @query(

@@ -22,18 +22,41 @@ SCHEMAS = {
 ADDED = {2: {"nodes": {"contributor_count": 0, "churn_rate": 0.0}}, 3: {"persons": {"role": "contributor", "is_primary": False}}}
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the folder of spark.checkpoint.dir and read it back. Where it is
-    unset, local mode takes a temporary folder; a cluster must set it."""
-    spark = df.sparkSession
+#: Folders that are marked for removal.
+OWN: set[str] = set()
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the folder of spark.checkpoint.dir, below a folder of this
+    application that is removed when the application ends. Where it is unset, local
+    mode takes a temporary folder; a cluster must set it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where}/graphloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    own = f"{where}/graphloom/{spark.sparkContext.applicationId}"
+    if own not in OWN:
+        OWN.add(own)
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)  # only what exists can be marked
+        files.deleteOnExit(path)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """Write df to the shared folder and read it back. The shuffle files of the write
+    are of no use afterwards and go at its end."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

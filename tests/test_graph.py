@@ -118,3 +118,54 @@ def test_cycles_of_five(spark):
     want = [">".join(c) for n in range(1, 6) for c in itertools.permutations("abcdefgh", n) if c[0] == min(c) and all((x, y) in pairs for x, y in zip(c, c[1:] + c[:1]))]
     got = [x.cycle for x in G.cycles(spark.createDataFrame(sorted(pairs), "source string, target string")).collect()]
     assert sorted(got) == sorted(want) and {x.count(">") for x in got} == {0, 1, 2, 3, 4}
+
+
+def test_paths_and_positions(spark):
+    e = edges(spark, [("p", "m", "decided"), ("m", "f", "affects"), ("m", "g", "affects"), ("m", "m", "affects"), ("x", "y", "other"), ("f", "h", "affects")])
+    got = {(r.a, r.middle, r.b) for r in G.paths_through(e, ["decided", "affects"], nodes(spark, ["m", "f"])).collect()}
+    assert got == {("f", "m", "g"), ("f", "m", "p"), ("g", "m", "p"), ("h", "f", "m")}
+    assert {(r.middle, r.paths) for r in G.two_paths(e, ["decided", "affects"]).collect()} == {("m", 3), ("f", 1)}
+    rows = [(None if i % 7 == 0 else "hot" if i % 3 else f"k{i % 5}", (i * 37) % 101) for i in range(100)]
+    found = M.positions(spark.createDataFrame(rows, "key string, seq long"), "key", ["seq"]).collect()
+    groups = {}
+    for k, s in rows:
+        groups.setdefault(k, []).append(s)
+    assert {(r.key, r.seq, r.position) for r in found} == {(k, s, n) for k, v in groups.items() for n, s in enumerate(sorted(v))}
+
+
+def test_long_path_and_components_of_a_chain(spark):
+    rows = [(f"n{i:03d}", f"n{i + 1:03d}", "imports") for i in range(60)]
+    e = edges(spark, rows)
+    path = G.shortest_path(e, "n000", "n060").orderBy("position").collect()
+    assert [r.id for r in path] == [f"n{i:03d}" for i in range(61)] and [r.distance for r in path] == [float(i) for i in range(61)]
+    n = nodes(spark, [f"n{i:03d}" for i in range(61) if i != 30])  # a missing node joins nothing
+    labels = {r.id: r.component for r in G.components(n, e).collect()}
+    assert labels == {f"n{i:03d}": "n000" if i < 30 else "n031" for i in range(61) if i != 30}
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_random_components(spark, seed):
+    r = random.Random(seed)
+    names = [f"v{i}" for i in range(60)]
+    pairs = [(r.choice(names), r.choice(names)) for _ in range(45)]
+    label = {x: x for x in names}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(label[a], label[b])
+            if label[a] != low or label[b] != low:
+                label[a] = label[b] = low
+                changed = True
+    assert {x.id: x.component for x in G.components(nodes(spark, names), edges(spark, [(a, b, "x") for a, b in pairs])).collect()} == label
+
+
+def test_symbol_ends(spark):
+    from graphloom.operators import etl as E
+
+    text = "\n".join(["class A {", "  f() {", "  }", "] // no end", "};", "function g(", "  a,", ")", "interface Long {", *["  x: 1;"] * 70, "export class _No {", "}"])
+    files = spark.createDataFrame([("a.ts", text), ("b.py", "def f():\n  pass\n\nclass C:\n  x = 1\n"), ("c.md", "class A {\n}"), ("e.ts", None)], "path string, content string")
+    got = {(r.path, r.name, r.line, r.end_line, r.content.count("\n") + 1) for r in E.symbols(files).collect()}
+    assert got == {("a.ts", "A", 1, 5, 5), ("a.ts", "g", 6, 8, 3), ("a.ts", "Long", 9, 81, 73), ("b.py", "f", 1, 6, 6), ("b.py", "C", 4, 6, 3)}
+    long = spark.createDataFrame([("d.ts", "function f() {\n" + "y" * 9000 + "\n}")], "path string, content string")
+    assert len(E.symbols(long).first().content) == 4000
