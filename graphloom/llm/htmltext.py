@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from graphloom.llm.base import annotate, as_rows, table
 
 #: Labelled pages to train on, and the size of the ensemble.
-PAGES = 400
-TREES, DEPTH, SEED = 16, 5, 42
+PAGES = 2400
+TREES, DEPTH, SEED = 40, 6, 42
 
 # Fixed values of HTML: elements without content, elements whose content is no
 # text of the page, elements that start a block, and what closes an open <p>.

@@ -191,6 +191,50 @@ def test_anchors_cover(spark):
     assert all(found[signed(x)] & found[signed(y)] for x, y in pairs)
 
 
+def test_anchors_as_dealt(spark):
+    """Anchors within covering radius + threshold of a half (1 + 2 = 3, 156 on average)
+    meet the same pairs as the shared budget does."""
+    from itertools import combinations
+
+    r = random.Random(12)
+    prints = {r.getrandbits(64) for _ in range(12)}
+    for c in list(prints):
+        for _ in range(10):
+            x = c
+            for b in r.sample(range(64), r.randint(0, 6)):
+                x ^= 1 << b
+            prints.add(x)
+    prints = sorted(prints)
+
+    def wide(half):
+        """Code words of the Hamming code within distance 3."""
+        at = [p for p in range(1, 32) if half >> (p - 1) & 1]
+        syndrome = 0
+        for p in at:
+            syndrome ^= p
+        for n in range(4):
+            for flips in combinations(range(1, 32), n):
+                x = syndrome
+                for p in flips:
+                    x ^= p
+                if not x:
+                    yield half ^ sum(1 << (p - 1) for p in flips)
+
+    met = {}
+    for x in prints:
+        for half in (0, 1):
+            for a in wide(x >> 32 * half & (1 << 31) - 1):
+                met.setdefault((half, a), []).append(x)
+    near = lambda groups: {(x, y) for g in groups for x, y in combinations(sorted(g), 2) if (x ^ y).bit_count() <= 4}
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    own = {}
+    for x in simhash.anchors(spark.createDataFrame([(signed(v),) for v in prints], "fp long")).collect():
+        own.setdefault(x.anchor, []).append(x.fp % (1 << 64))
+    every = {(x, y) for x, y in combinations(prints, 2) if (x ^ y).bit_count() <= 4}
+    assert near(met.values()) == near(own.values()) == every and len(every) > 100
+    assert sum(map(len, met.values())) > 8 * sum(map(len, own.values()))
+
+
 def brute_overlap(text, items, width=13):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     w, hit, found = split(text), set(), set()
@@ -640,3 +684,20 @@ def test_secrets_written_by_hand(spark):
     print("recall", hits / len(REAL), "missed", missed, "precision", hits / (hits + len(false)), "false", false)
     assert all(any(x.doc_id == i and covers(x, v) for x in every) for i, (_, v) in enumerate(REAL))  # every one is a candidate
     assert hits >= 0.8 * len(REAL) and hits >= 0.8 * (hits + len(false))
+
+
+def test_html_pages_of_the_table(spark):
+    """The extracted text of every page of the smallest table is that of its article
+    element, which the trees are not told."""
+    import os
+
+    pages = spark.read.parquet(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001") + "/pages.parquet")
+    found = {x.page_id: x.text for x in htmltext.extracted(pages, htmltext.train(spark)).select("row.page_id", "text").collect()}
+    right = total = 0
+    for x in pages.collect():
+        article = re.search(r"<article\b.*?</article>", x.html or "", re.S | re.I)
+        if article:
+            page = htmltext.Page(article[0])
+            total += 1
+            right += htmltext.page_text(page, np.ones(len(page.tag), bool)) == found[x.page_id]
+    assert total >= 20 and right >= 0.95 * total, (right, total)
