@@ -2,9 +2,9 @@
 
 A source's target is met by whole copies of all its documents plus a subset that
 fills what remains. The subset is chosen by counts, not by documents: documents
-are counted by exact length, a proportional part of every length is taken, and a
-bounded-knapsack dynamic programme over the counts left fits the remaining
-budget. Seeded ranks then say which documents of a length are taken.
+are counted by exact length, a proportional part (every n-th in order of length) is
+taken, and a bounded-knapsack dynamic programme over the counts left fits the
+remaining budget. Seeded ranks then say which documents of a length are taken.
 
 Ranks need no sort of a whole length group (one length may hold a third of all
 rows, as copies do): documents fall into hash buckets, cut-off buckets follow from
@@ -56,13 +56,27 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return rows.join(F.broadcast(level)).select("source", "source_size", target.alias("target"))  # one row of level
 
 
+def proportional(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """A part of the documents with nearly ``budget`` words, never more, in which each
+    size has its share: of the documents in order of size, every n-th. Sums of the
+    taken exceed the share by less than the largest size, which is left out before."""
+    order = np.argsort(sizes)
+    size, count = sizes[order], counts[order]
+    total, largest = int((size * count).sum()), int(size.max(initial=0))
+    share = max(0, budget - largest) / max(1, total)
+    upto = np.minimum(np.floor(count.cumsum() * share).astype(np.int64), count.cumsum())
+    take = np.zeros(len(sizes), np.int64)
+    take[order] = np.diff(upto, prepend=0)
+    return np.minimum(take, counts)
+
+
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT) -> np.ndarray:
     """How many documents of each size (> 0) to take so that their sum comes as
     near below budget as possible, at most counts of each. A proportional part of
-    every size goes first; from what that leaves the largest sizes go until at most
-    ``exact`` words are left, which the knapsack fits."""
-    take = (counts * (budget / max(1, int((sizes * counts).sum())))).astype(np.int64)
-    take = np.minimum(take, counts)
+    every size goes first, which leaves at most about twice the largest size; the
+    knapsack fits that. (Only where a document has more words than half its table
+    do the largest ones go first until ``exact`` words are left.)"""
+    take = proportional(sizes, counts, budget)
     rest = budget - int((sizes * take).sum())
     for k in np.argsort(-sizes):
         if rest <= exact:

@@ -329,12 +329,16 @@ def test_knapsack_best():
         sizes = np.array(sorted(r.sample(range(1, 60), r.randint(1, 5))))
         counts = np.array([r.randint(1, 4) for _ in sizes])
         budget = r.randint(1, int((sizes * counts).sum()))
-        low = np.minimum((counts * (budget / (sizes * counts).sum())).astype(int), counts)
+        low = mixing.proportional(sizes, counts, budget)
+        assert (low >= 0).all() and (low <= counts).all() and (sizes * low).sum() <= budget
         sums = [int((sizes * x).sum()) for x in product(*[range(a, b + 1) for a, b in zip(low, counts)])]
         assert int((sizes * mixing.fit(sizes, counts, budget)).sum()) == max(s for s in sums if s <= budget)
     sizes, counts = np.arange(7, 7 * 400, 7), np.full(399, 5)  # no sum meets it: all rows of the table
     take = mixing.fit(sizes, counts, 300_003)
     assert int((sizes * take).sum()) == 300_003 // 7 * 7 and (take <= counts).all()
+    sizes, counts = np.arange(1, 2001), np.full(2000, 1)  # of one document each, short and long ones alike are taken
+    take = mixing.fit(sizes, counts, 1_000_500)
+    assert int((sizes * take).sum()) == 1_000_500 and all(80 <= take[k : k + 200].sum() <= 120 for k in range(0, 2000, 200))
 
 
 def test_targets_many_sources(spark):
