@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,16 +71,22 @@ def migrate(rows: DataFrame, name: str, version: int) -> DataFrame:
     return rows
 
 
-def read_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Every table below path; a missing one is empty with its schema."""
+def read_graph(spark: SparkSession, path: str, keep_corrupt: bool = False) -> dict[str, DataFrame]:
+    """Every table below path; a missing one is empty with its schema. One that is no
+    table of this kind is an error, or (``keep_corrupt``) left where it is and taken as
+    empty, with a warning."""
     out = {}
     for name, schema in SCHEMAS.items():
         try:
             out[name] = spark.read.parquet(f"{path}/{name}")
             out[name].schema  # noqa: B018  resolves the path
         except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
+            missing = "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER" in str(e)
+            corrupt = "FAILED_READ_FILE" in str(e) or "CANNOT_READ_FILE_FOOTER" in str(e) or "is not a Parquet file" in str(e)
+            if not missing and not (keep_corrupt and corrupt):
                 raise
+            if corrupt:
+                warnings.warn(f"{path}/{name} cannot be read and is taken as empty", stacklevel=2)
             out[name] = spark.createDataFrame([], schema)
     return out
 

@@ -78,3 +78,38 @@ def test_file_arm_and_intents(spark):
     a = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "key string, rank int")
     b = spark.createDataFrame([("c", 1), ("d", 2)], "key string, rank int")
     assert [r.key for r in S.rank_fusion([a, b], 10).collect()] == ["c", "a", "b", "d"]
+
+
+def test_journal_rotation_and_corrupt_tables(spark, tmp_path):
+    import pytest
+
+    event = lambda i: spark.createDataFrame([(i, "tool_call", "x" * 2000)], "seq long, type string, text string")
+    path = f"file://{tmp_path}/log"
+    for i in range(3):
+        ST.append_journal(event(i), path, most=3000)
+    assert {r.seq for r in ST.read_journal(spark, path + ".1").collect()} == {0, 1}
+    assert {r.seq for r in ST.read_journal(spark, path + ".1", path).collect()} == {0, 1, 2}
+    (tmp_path / "g" / "nodes").mkdir(parents=True)
+    (tmp_path / "g" / "nodes" / "part-0.parquet").write_text("no table at all, but long enough to be read")
+    with pytest.raises(Exception):
+        TB.read_graph(spark, str(tmp_path / "g"))
+    with pytest.warns(UserWarning):
+        assert TB.read_graph(spark, str(tmp_path / "g"), keep_corrupt=True)["nodes"].count() == 0
+
+
+def test_watch_loop(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree" / "a.md").write_text("# a\n" * 150)
+    embed = lambda c: F.array(F.length(c).cast("float"))
+    store = str(tmp_path / "store")
+    q = ST.index_as_it_changes(spark, str(tmp_path / "tree"), str(tmp_path / "c"), store, embed, 1)
+    q.processAllAvailable()
+    (tmp_path / "tree" / "b.md").write_text("# b\n")
+    q.processAllAvailable()
+    q.stop()
+    chunks = spark.read.parquet(f"{store}/chunks")
+    assert {(r.file_path.split("/")[-1], r.start_line) for r in chunks.collect()} == {("a.md", 1), ("a.md", 109), ("b.md", 1)}
+    assert spark.read.parquet(f"{store}/vectors").count() == 3
+    assert sorted((r.files, r.chunks) for r in spark.read.json(f"{store}/journal").collect()) == [(1, 1), (1, 2)]
