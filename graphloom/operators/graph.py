@@ -95,7 +95,12 @@ def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
     path is followed back in jumps: after round n every node knows who stands 2^n
     steps before it, and the path found so far doubles, so a long one takes few
     rounds."""
-    known = cut(shortest_paths(edges, start).select("id", "distance", "before"), "known")
+    found = cut(shortest_paths(edges, start), "found")
+    # of the nodes before that give the distance the least id, where that is a step down
+    far = found.select(F.col("id").alias("target"), F.col("distance").alias("d"))
+    step = edges.select("source", "target", F.coalesce("weight", F.lit(0.0)).alias("weight")).join(found.select(F.col("id").alias("source"), "distance"), "source").join(far, "target")
+    least = step.filter((F.col("distance") < F.col("d")) & (F.col("distance") + F.col("weight") == F.col("d"))).groupBy(F.col("target").alias("id")).agg(F.min("source").alias("least"))
+    known = cut(found.join(least, "id", "left").select("id", "distance", F.coalesce("least", "before").alias("before")), "known")
     path = known.filter(F.col("id") == end).select("id", F.lit(0).cast("long").alias("back"))
     jumps, step = known.filter("before is not null").select("id", F.col("before").alias("to")), 1
     while True:

@@ -220,7 +220,14 @@ def _(spark, d):
     return G.shortest_paths(load(spark, d, "imports"), START).select("id", "distance")
 
 
-@query("gr1_shortest_path")
+@query(
+    "gr1_shortest_path",
+    f"WITH RECURSIVE r AS (SELECT '{START}' AS id, cast(0 as double) AS distance UNION SELECT i.target, r.distance + i.weight FROM imports i JOIN r ON i.source = r.id), dist AS (SELECT id, min(distance) AS distance FROM r GROUP BY 1), "
+    "prev AS (SELECT t.id, min(i.source) AS before FROM dist t JOIN imports i ON i.target = t.id JOIN dist s ON s.id = i.source WHERE s.distance + i.weight = t.distance GROUP BY 1), "
+    "path AS (SELECT id, 0 AS back FROM (SELECT id FROM dist ORDER BY distance DESC, id LIMIT 1) x UNION ALL SELECT prev.before, path.back + 1 FROM path JOIN prev ON prev.id = path.id) "
+    "SELECT cast((SELECT max(back) FROM path) - back AS INT) AS position, id, distance FROM path JOIN dist USING (id)",
+    IMPORTS, recursive=True,
+)
 def _(spark, d):
     imports = load(spark, d, "imports")
     far = G.shortest_paths(imports, START).orderBy(F.desc("distance"), "id").first()
