@@ -36,7 +36,7 @@ SHINGLE = 5
 #: Hashes of prefix shingles that a scan of the texts looks for.
 BLOCK = 2_000_000
 #: Bytes of texts that a task turns into words at once.
-AT_ONCE = 4 << 20
+AT_ONCE = 1 << 20
 #: Bytes of a text as words and spaces: A-Z lower-cased, digits, a-z and all
 #: bytes of non-ASCII characters kept, the rest of ASCII turned into a space.
 TO_WORDS = bytes(

@@ -80,8 +80,10 @@ def shard(docs: DataFrame, keep: list[str] | None = None, shards: int = SHARDS,
     n = docs.count()
     buckets = isqrt(n) + 1
     kept = F.struct(*[F.col("row").getField(c).alias(c) for c in keep or docs.columns])
-    others = [F.col("row").getField(c).alias(c) for c in keep or docs.columns if c not in ("doc_id", "text")]
-    tie = F.sha2(F.to_json(F.struct(*others)), 256) if others else F.lit("")
+    names = [c for c in keep or docs.columns if c not in ("doc_id", "text")]
+    # maps have no hash, their text has
+    others = [F.to_json(F.struct(F.col("row").getField(c))) if "map<" in docs.schema[c].dataType.simpleString() else F.col("row").getField(c) for c in names]
+    tie = F.xxhash64(*others) if others else F.lit(0).cast("long")
     rows = as_rows(docs).select(
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
