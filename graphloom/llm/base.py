@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,16 +40,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, below a folder of this application
+    that is removed when the application ends."""
+    own = f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}"
+    if own not in OWN:
+        OWN.add(own)
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)  # only what exists can be marked
+        files.deleteOnExit(path)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+#: Folders that are marked for removal.
+OWN: set[str] = set()
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: what follows is replayed
-    from these files, not from the source, when an executor is lost."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    from these files, not from the source, when an executor is lost. The shuffle
+    files of the write are of no use afterwards and go at its end."""
+    spark, path = df.sparkSession, path or fresh_path(df.sparkSession, label)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a written table at once that nothing will read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def as_rows(df: DataFrame) -> DataFrame:
@@ -115,3 +141,51 @@ def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], label
     whole = {n: F.coalesce(F.sum(f"__{n}").over(inside), F.lit(0)) + F.col(f"__{n}_start") for n in sums}
     joined = dealt.join(F.broadcast(starts), "__range")  # one row for each range
     return joined.select(*rows.columns, *[c.alias(n) for n, c in whole.items()])
+
+
+def minima(x: np.ndarray, width: int, valid: np.ndarray) -> np.ndarray:
+    """Places where x is the least of ``width`` neighbours, for the windows of
+    neighbours that are ``valid`` (one flag for each window, by its first place)."""
+
+    def sliding(op, x, fill):
+        blocks = np.full(-(-len(x) // width) * width, fill, np.uint64)
+        blocks[: len(x)] = x
+        blocks = blocks.reshape(-1, width)
+        ahead, behind = op.accumulate(blocks, axis=1).ravel(), op.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        n = len(x) - width + 1
+        return op(behind[:n], ahead[width - 1 : width - 1 + n])
+
+    low = sliding(np.minimum, x, np.uint64(0xFFFFFFFFFFFFFFFF))
+    low[~valid] = 0
+    edge = np.zeros(width - 1, np.uint64)
+    return np.flatnonzero((sliding(np.maximum, np.concatenate([edge, low, edge]), np.uint64(0)) == x) & (x != 0))
+
+
+class RunHashes:
+    """Hashes of runs of numbers that stand one after the other: sums of the numbers
+    by powers of an odd base, turned back to the run's start, then mixed."""
+
+    def __init__(self, base: int):
+        self.base = base
+        self.powers = self.back = np.ones(1, np.uint64)
+
+    def over(self, numbers: np.ndarray):
+        """A function of (firsts, ends) of runs."""
+        n = len(numbers)
+        with np.errstate(over="ignore"):
+            if len(self.powers) <= n:
+                table = lambda b: np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(b))]))
+                self.powers, self.back = table(self.base), table(pow(self.base, -1, 1 << 64))
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(numbers * self.powers[:n], out=sums[1:])
+
+        def hashes(low, high) -> np.ndarray:
+            with np.errstate(over="ignore"):
+                x = (sums[high] - sums[low]) * self.back[low]
+                for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
+                    x ^= x >> np.uint64(shift)
+                    x *= np.uint64(factor)
+                x ^= x >> np.uint64(32)
+            return x
+
+        return hashes

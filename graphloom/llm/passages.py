@@ -11,147 +11,183 @@ of GRAM words of least hash are anchors, so equal windows hold equal anchors.
 1. Anchors whose gram stands in one place only are dropped; those of equal context
    (WORDS - GRAM words before, WORDS from the anchor on) collapse. A context that
    two documents hold is a shared passage.
-2. For documents that have none, all windows around their anchors are compared with
-   those of the other contexts of the gram, by 128 bits of hashes. The words are
-   read where the removal reads the text anyway, so no text is exchanged for it.
+2. For documents that have none, the contexts of their anchors are compared with the
+   others of the gram. Two that share a passage agree on half of what it needs beside
+   the gram, before or behind it; hashes of these words tell who is alone. The others
+   are compared as strings of MARK bytes a word: first by the windows that
+   begin at every STEP-th word before the anchor, which finds all passages of
+   WORDS + STEP - 1 words. What is still open is compared by cuts (windows that are
+   STEP - 1 words shorter, as two contexts that share any window share a cut), and
+   the contexts that share a cut with another text by all of their windows.
+
+The words are read where the removal reads the text anyway, so no text is exchanged
+for it, and windows are counted in the cluster, partial counts first, however many
+contexts a gram has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.base import cut, utf8
+from graphloom.llm.base import RunHashes, cut, minima
 
 WORDS = 51
-GRAM = 20
-#: Bytes of texts that a task turns into words at once.
-AT_ONCE = 2 << 20
+GRAM = 16
+#: Bytes of a word's hash in a context, and words between two cuts.
+MARK, STEP = 3, 4
+#: Bytes and words that are hashed at once (they fit the processor's cache), and
+#: bytes of a longer text.
+TOGETHER = 1 << 16
+SEGMENT = 1 << 20
 SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-
-
-def least(x: np.ndarray, width: int) -> np.ndarray:
-    """True where a value is the least of some ``width`` neighbours."""
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-    def sliding(op, x, fill):
-        blocks = np.full(-(-len(x) // width) * width, fill, np.uint64)
-        blocks[: len(x)] = x
-        blocks = blocks.reshape(-1, width)
-        ahead, behind = op.accumulate(blocks, axis=1).ravel(), op.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        n = len(x) - width + 1
-        return op(behind[:n], ahead[width - 1 : width - 1 + n])
-
-    edge = np.zeros(width - 1, np.uint64)
-    return sliding(np.maximum, np.concatenate([edge, sliding(np.minimum, x, top), edge]), np.uint64(0)) == x
-
-
-class Sums:
-    """Hashes of any run of words from the hashes of the words: sums of words by
-    powers of an odd base, turned back to the run's start, then mixed."""
-
-    def __init__(self, words: np.ndarray, base: int):
-        n = len(words)
-        back = pow(base, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(base))]))
-            self.back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(back))]))
-            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(words * powers[:n], dtype=np.uint64)])
-
-    def __call__(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            x = (self.sums[high] - self.sums[low]) * self.back[low] + (high - low).astype(np.uint64)
-            for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
-                x ^= x >> np.uint64(shift)
-                x *= np.uint64(factor)
-            return x ^ x >> np.uint64(32)
-
-
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, and where each text ends."""
-    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
-    filled = pc.not_equal(lists.values, "").to_numpy(zero_copy_only=False)
-    ends = np.concatenate([[0], filled.cumsum()])[lists.offsets.to_numpy()[1:]]
-    coded = lists.values.filter(pa.array(filled)).dictionary_encode()
-    distinct = np.array([xxhash.xxh3_64_intdigest(w) for w in utf8(coded.dictionary).to_pylist()], np.uint64)
-    return (distinct[coded.indices.to_numpy()] if len(coded) else np.empty(0, np.uint64)), ends
-
-
-def word_anchors(rows: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
-    """(u, v, h, at, f) for each anchor of rows (u, v, text): h is its gram's hash,
-    at the number of its first word, f the hash of its context."""
-    reach = words - gram
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = max(1, len(batch) * AT_ONCE // max(1, batch.nbytes))
-            for start in range(0, len(batch), size):
-                part = batch.slice(start, size)
-                own, ends = word_hashes(part.column(2))
-                one, two = (Sums(own, s) for s in SEEDS)
-                at, doc, first = [], [], 0
-                for k, last in enumerate(ends.tolist()):
-                    if last - first >= words:
-                        x = np.arange(first, last - gram + 1)
-                        x = x[least(one(x, x + gram), reach + 1)]
-                        at.append(x)
-                        doc.append(np.full(len(x), k))
-                    first = last
-                if at:
-                    at, doc = np.concatenate(at), np.concatenate(doc)
-                    starts = np.concatenate([[0], ends[:-1]])[doc]
-                    low, high = np.maximum(at - reach, starts), np.minimum(at + words, ends[doc])
-                    f = one(low, high) ^ (two(low, high) + (at - low).astype(np.uint64))
-                    columns = [part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), *(pa.array(x) for x in (one(at, at + gram).view(np.int64), at - starts, f.view(np.int64)))]
-                    yield pa.RecordBatch.from_arrays(columns, ["u", "v", "h", "at", "f"])
-
-    return rows.mapInArrow(run, "u long, v long, h long, at long, f long")
-
-
-def windows_around(text: bytes, wanted: list[dict], words: int = WORDS, gram: int = GRAM) -> list[dict]:
-    """The windows of a text that hold one of the ``wanted`` anchors (h, f, at, lo,
-    hi), with their place o before the anchor and 128 bits x, y."""
-    own, _ = word_hashes(pa.array([text], pa.binary()).cast(pa.string()))
-    one, two = (Sums(own, s) for s in SEEDS)
-    out = []
-    for w in wanted:
-        o = np.arange(max(0, w["at"] + words - len(own)), min(w["at"], words - gram) + 1)
-        low = w["at"] - o
-        x, y = one(low, low + words).view(np.int64), two(low, low + words).view(np.int64)
-        out += [{"h": w["h"], "f": w["f"], "lo": w["lo"], "hi": w["hi"], "o": a, "x": b, "y": c} for a, b, c in zip(o.tolist(), x.tolist(), y.tolist())]
-    return out
-
-
-WINDOWS = "array<struct<h: bigint, f: bigint, lo: bigint, hi: bigint, o: bigint, x: bigint, y: bigint>>"
-
-
-def shared_contexts(texts: DataFrame, words: int = WORDS, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From texts (u, v, text), a row for each document: held (u, v, h, f), the
-    anchors whose gram is not alone; known (u, v), the texts with a context that
-    another text holds; wanted (u, v, wanted), the anchors to look around for the
-    rest. Equal texts count as one here."""
-    long = texts.filter(F.octet_length("text") >= 2 * words - 1).select("u", "v", "text")
-    twice = cut(word_anchors(long, words, gram).groupBy("h").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).filter("lo <> hi").select("h"), "wordgrams")
-    held = cut(word_anchors(long, words, gram).join(twice, "h", "left_semi").groupBy("h", "f", "u", "v").agg(F.min("at").alias("at")), "wordanchors")
-    contexts = held.groupBy("h", "f").agg(F.min("u").alias("lo"), F.max("u").alias("hi"), F.min(F.struct("u", "v", "at")).alias("one"))
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+class Words:
+    """Hashes of words and anchors of texts."""
+
+    def __init__(self, words: int = WORDS, gram: int = GRAM):
+        self.words, self.gram = words, gram
+        self.bytes, self.one, self.two = RunHashes(0xA24BAED4963EE407), *(RunHashes(s) for s in SEEDS)
+
+    def hashes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts one after the other, and where each text
+        ends in them."""
+        out, counts, parts, where, size = [], np.zeros(len(texts), np.int64), [], [], 0
+
+        def flush():
+            data = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
+            gap = np.concatenate([[True], SPACE[data]])
+            starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+            out.append(self.bytes.over(data.astype(np.uint64) + np.uint64(1))(starts, ends))
+            stops = np.array([len(x) + 1 for x in parts]).cumsum()
+            np.add.at(counts, np.array(where), np.diff(np.searchsorted(starts, stops), prepend=0))
+
+        for k, text in enumerate(texts):
+            at = 0
+            while at < len(text):
+                cut_at = GAP.search(text, at + SEGMENT) if len(text) - at > SEGMENT else None
+                stop = cut_at.start() if cut_at else len(text)
+                parts.append(text[at:stop])
+                where.append(k)
+                size, at = size + stop - at, stop
+                if size > TOGETHER:
+                    flush()
+                    parts, where, size = [], [], 0
+        if parts:
+            flush()
+        return np.concatenate(out) if out else np.empty(0, np.uint64), counts.cumsum()
+
+    def anchors(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """(text, place, h, f, e) of all anchors: h is the gram's hash, place the number
+        of its first word, f the hash of its context, e half a hash each of the words
+        right behind and right before the gram, as many as one side of a shared
+        passage must have (0: the text has fewer)."""
+        own, ends = self.hashes(texts)
+        starts, text_of = np.concatenate([[0], ends[:-1]]), np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        words, gram, reach = self.words, self.gram, self.words - self.gram
+        places, h, f, e = [], [], [], []
+        half, upper = (reach + 1) // 2, np.uint64(32)
+        for a in range(0, len(own), TOGETHER):
+            low = max(0, a - reach)
+            part = own[low : a + TOGETHER + 2 * words]
+            m = len(part) - gram + 1
+            if m <= reach:
+                continue
+            first, second = self.one.over(part), self.two.over(part)
+            x = first(slice(0, m), slice(gram, m + gram))
+            window = np.arange(m - reach) + low
+            valid = (window >= a) & (window < a + TOGETHER) & (window + words <= ends[text_of[window]])
+            at = minima(x, reach + 1, valid)
+            text = text_of[at + low]
+            left, right = np.maximum(at - reach, starts[text] - low), np.minimum(at + words, ends[text] - low)
+            with np.errstate(over="ignore"):
+                mixed = (first(left, right) ^ (second(left, right) + (at - left).astype(np.uint64))) + (right - left).astype(np.uint64)
+                behind, before = at + gram + half, at - half
+                sides = [(at + gram, behind, behind <= ends[text] - low), (before, at, before >= starts[text] - low)]
+                one, two = (np.where(fits, first(np.where(fits, i, 0), np.where(fits, j, 0)) >> upper | np.uint64(1), np.uint64(0)) for i, j, fits in sides)
+                e.append((one << upper | two).view(np.int64))
+            places.append(at + low)
+            h.append(x[at].view(np.int64))
+            f.append(mixed.view(np.int64))
+        if not places:
+            return (np.empty(0, np.int64),) * 5
+        at, one = np.unique(np.concatenate(places), return_index=True)  # neighbouring parts overlap
+        return text_of[at], at - starts[text_of[at]], *(np.concatenate(x)[one] for x in (h, f, e))
+
+    def contexts_of(self, text: bytes, wanted: list[dict]) -> list[dict]:
+        """The context of each ``wanted`` anchor (h, f, at, lo, hi) of a text: the
+        marks of the words before it and from it on."""
+        own, _ = self.hashes([text])
+        marks = own.view(np.uint8).reshape(-1, 8)[:, :MARK].tobytes()
+        out = []
+        for w in wanted:
+            at = w["at"] * MARK
+            left, right = max(0, at - (self.words - self.gram) * MARK), at + self.words * MARK
+            out.append({"h": w["h"], "f": w["f"], "lo": w["lo"], "hi": w["hi"], "l": marks[left:at], "r": marks[at:right]})
+        return out
+
+
+CONTEXTS = "array<struct<h: bigint, f: bigint, lo: bigint, hi: bigint, l: binary, r: binary>>"
+
+
+def within(rows: DataFrame, some: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose key is among some, which are distinct and far fewer: their part
+    of an exchange is held as a hash table, and the rows need no sort."""
+    return rows.join(some.hint("shuffle_hash"), keys, "left_semi")
+
+
+def shared_contexts(anchors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From anchors (u, v, h, f, e, at) whose gram is not alone: held (u, v, h, f, at),
+    each anchor of a text once; known (u, v), the texts with a context that another
+    text holds; wanted (u, v, wanted), the anchors to look around for the rest.
+    Equal texts count as one here."""
+    held = cut(anchors.groupBy("h", "f", "u", "v").agg(F.min("at").alias("at"), F.min("e").alias("e")), "wordanchors")
+    contexts = held.groupBy("h", "f").agg(F.min("u").alias("lo"), F.max("u").alias("hi"), F.min("e").alias("e"), F.min(F.struct("u", "v", "at")).alias("one"))
     contexts = cut(contexts, "contexts")
-    known = cut(held.join(contexts.filter("lo <> hi"), ["h", "f"], "left_semi").select("u", "v").distinct(), "known")
-    # grams of texts that are not known yet, if they have several contexts
-    open_ = held.join(known, ["u", "v"], "left_anti").select("h").distinct()
-    several = contexts.groupBy("h").count().filter("count > 1").select("h").join(open_, "h", "left_semi")
-    some = contexts.join(several, "h", "left_semi").select("one.u", "one.v", F.struct("h", "f", "one.at", "lo", "hi").alias("w"))
-    return held, known, some.groupBy("u", "v").agg(F.collect_list("w").alias("wanted"))
-
-
-def sharing(held: DataFrame, known: DataFrame, windows: DataFrame) -> DataFrame:
-    """(u, v) of the texts that share a passage; windows (h, f, lo, hi, o, x, y) are
-    those around the wanted anchors."""
-    same = windows.groupBy("h", "o", "x", "y").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi")
-    found = windows.join(same.drop("lo", "hi"), ["h", "o", "x", "y"], "left_semi").select("h", "f").distinct()
-    return held.join(found, ["h", "f"], "left_semi").select("u", "v").union(known).distinct()
+    known = cut(within(held, contexts.filter("lo <> hi").select("h", "f"), ["h", "f"]).select("u", "v").distinct(), "known")
+    # grams of texts that are not known yet, and there the contexts that agree on one
+    # side of the gram with one of another text, by as many words as a passage needs
+    open_ = cut(held.join(known.hint("shuffle_hash"), ["u", "v"], "left_anti").select("h").distinct(), "open")
+    left = cut(within(contexts, open_, ["h"]), "left")
+    side = lambda k, x: F.when(x != 0, F.struct(F.lit(k).alias("side"), x.alias("x")))
+    sides = F.filter(F.array(side(0, F.shiftrightunsigned("e", 32)), side(1, F.col("e").bitwiseAND(F.lit((1 << 32) - 1)))), lambda s: s.isNotNull())
+    each = left.select("h", "f", "lo", "hi", F.explode(sides).alias("s")).select("h", "f", "lo", "hi", "s.*")
+    often = each.groupBy("h", "side", "x").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("h", "side", "x")
+    near = within(each, often, ["h", "side", "x"]).select("h", "f").distinct()
+    some = within(left, near, ["h", "f"]).select("one.u", "one.v", F.struct("h", "f", "one.at", "lo", "hi").alias("w"))
+    return held, known, cut(some.groupBy("u", "v").agg(F.collect_list("w").alias("wanted")), "wanted")
+
+
+def alike(contexts: DataFrame, words: int, gram: int, size: int, step: int) -> DataFrame:
+    """(h, f) of the contexts (h, f, lo, hi, l, r) that have a window of ``size``
+    words, from a word at a multiple of ``step`` before the anchor, in common with
+    one of another text."""
+    keys = []
+    for o in range(0, words - gram + 1, step):
+        whole = (F.octet_length("l") >= o * MARK) & (F.octet_length("r") >= (size - o) * MARK)
+        left = F.substr("l", F.octet_length("l") - o * MARK + 1, F.lit(o * MARK))
+        right = F.substring("r", 1, (size - o) * MARK)
+        keys.append(F.when(whole, F.struct(F.lit(o).alias("o"), F.xxhash64(left, right).alias("x"), F.crc32(F.concat(right, left)).alias("y"))))
+    each = contexts.select("h", "f", "lo", "hi", F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias("k")).select("h", "f", "lo", "hi", "k.*")
+    same = each.groupBy("h", "o", "x", "y").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi")
+    return within(each, same.drop("lo", "hi"), ["h", "o", "x", "y"]).select("h", "f").distinct()
+
+
+def sharing(held: DataFrame, known: DataFrame, contexts: DataFrame, words: int, gram: int) -> DataFrame:
+    """(u, v) of the texts that share a passage; contexts (h, f, lo, hi, l, r) are
+    those of the wanted anchors."""
+    step = min(STEP, words - gram)
+    texts = lambda found: within(held, found, ["h", "f"]).select("u", "v")
+    sure = cut(known.union(texts(alike(contexts, words, gram, words, step))).distinct(), "known")
+    left = cut(held.join(sure.hint("shuffle_hash"), ["u", "v"], "left_anti").select("h").distinct(), "open")
+    some = within(contexts, left, ["h"])
+    near = cut(alike(some, words, gram, words - step + 1, step), "cuts")
+    some = within(some, near, ["h", "f"])
+    return sure.union(texts(alike(some, words, gram, words, 1))).distinct()

@@ -30,13 +30,14 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import passages as P
-from graphloom.llm.base import as_rows, cut, table
+from graphloom.llm.base import RunHashes, as_rows, cut, fresh_path, minima, remove, table
 
 LENGTH = 400
 GRAM = 160
@@ -48,62 +49,61 @@ GROUP = 1 << 15
 STEP = 40
 #: Bytes of a text that are hashed at once.
 SEGMENT = 1 << 20
+#: Bytes of short texts that are hashed together (they fit the processor's cache).
+TOGETHER = 1 << 16
+#: Bytes of contexts that a task turns into Python objects at once (a group at least).
+AT_ONCE = 16 << 20
 #: Bytes of a text from which contexts are cut in one row.
 PIECE = 8 << 20
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+BASE = 0x9E3779B97F4A7C15
 
 
 class Anchors:
     """Anchor positions of texts: the least gram hashes of every string."""
 
     def __init__(self, length: int = LENGTH, gram: int = GRAM):
-        self.length, self.gram, self.width = length, gram, length - gram + 1
-        self.powers = self.inverse = np.ones(1, np.uint64)
-
-    @staticmethod
-    def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
-        """Minimum or maximum of each ``width`` neighbours, by blocks."""
-        op, fill = (np.minimum, np.uint64(0xFFFFFFFFFFFFFFFF)) if least else (np.maximum, np.uint64(0))
-        blocks = np.full(-(-len(x) // width) * width, fill, np.uint64)
-        blocks[: len(x)] = x
-        blocks = blocks.reshape(-1, width)
-        ahead = op.accumulate(blocks, axis=1).ravel()
-        behind = op.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        n = len(x) - width + 1
-        return op(behind[:n], ahead[width - 1 : width - 1 + n])
-
-    def grams(self, part: np.ndarray) -> np.ndarray:
-        """A mixed hash of every gram of a part of a text."""
-        n = len(part)
-        if len(self.powers) < n:
-            with np.errstate(over="ignore"):
-                self.powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, BASE)]))
-                self.inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, INVERSE)]))
-        with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * self.powers[:n], out=sums[1:])
-            x = (sums[self.gram :] - sums[: n - self.gram + 1]) * self.inverse[: n - self.gram + 1]
-            for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
-                x ^= x >> np.uint64(shift)
-                x *= np.uint64(factor)
-            x ^= x >> np.uint64(32)
-        return x
-
-    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and gram hashes; a text under LENGTH bytes has none."""
-        data, places, hashes = np.frombuffer(text, np.uint8), [], []
-        for start in range(0, len(text) - self.length + 1, SEGMENT):
-            x = self.grams(data[start : start + SEGMENT + self.length - 1])
-            least = self.sliding(x, self.width, True)
-            edge = np.zeros(self.width - 1, np.uint64)
-            at = np.nonzero(self.sliding(np.concatenate([edge, least, edge]), self.width, False) == x)[0]
-            places.append(at + start)
-            hashes.append(x[at])
-        if not places:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        place, first = np.unique(np.concatenate(places), return_index=True)
-        return place, np.concatenate(hashes)[first].view(np.int64)
+        self.length, self.gram, self.hashes = length, gram, RunHashes(BASE)
+
+    def together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, position in it, gram hash) of pieces of at least LENGTH bytes."""
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        sizes = np.array([len(x) for x in pieces])
+        ends = sizes.cumsum()
+        m, width = len(data) - self.gram + 1, self.length - self.gram + 1
+        x = self.hashes.over(data.astype(np.uint64) + np.uint64(1))(slice(0, m), slice(self.gram, m + self.gram))
+        of = np.repeat(np.arange(len(pieces)), sizes)
+        valid = np.arange(self.length, m - width + 1 + self.length) <= ends[of[: m - width + 1]]
+        at = minima(x, width, valid)
+        return of[at], at - (ends - sizes)[of[at]], x[at].view(np.int64)
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, position, gram hash) of all anchors, in order; a text under LENGTH
+        bytes has none."""
+        out, pieces, where, size = [], [], [], 0
+
+        def flush():
+            if pieces:
+                piece, at, h = self.together(pieces)
+                origin = np.array(where)[piece]
+                out.append((origin[:, 0], origin[:, 1] + at, h))
+
+        for k, text in enumerate(texts):
+            for start in range(0, len(text) - self.length + 1, SEGMENT):
+                pieces.append(text[start : start + SEGMENT + self.length - 1])
+                where.append((k, start))
+                size += len(pieces[-1])
+                if size > TOGETHER:
+                    flush()
+                    pieces, where, size = [], [], 0
+        flush()
+        if not out:
+            return (np.empty(0, np.int64),) * 3
+        text, at, h = (np.concatenate(c) for c in zip(*out))
+        new = np.ones(len(text), bool)  # segments overlap
+        order = np.lexsort((at, text))
+        text, at, h = text[order], at[order], h[order]
+        new[1:] = (text[1:] != text[:-1]) | (at[1:] != at[:-1])
+        return text[new], at[new], h[new]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -113,38 +113,34 @@ def keyed(docs: DataFrame) -> DataFrame:
     return as_rows(docs).select("row.doc_id", F.xxhash64(text).alias("u"), F.xxhash64(F.lit(1), text).alias("v"), text.cast("binary").alias("text"))
 
 
-def anchor_rows(docs: DataFrame, length: int, gram: int, hashes_only: bool = False) -> DataFrame:
-    """(u, v, p, h, f) for each anchor: p packs its position and the bytes from it
-    to the end of its context, h is the hash of its gram, f that of its context."""
+def anchor_rows(docs: DataFrame, length: int, gram: int, words: int, word_gram: int) -> DataFrame:
+    """(u, v, p, h, f, e) for each anchor: p packs its position and the bytes from it
+    to the end of its context, h is the hash of its gram, f that of its context.
+    Anchors among the words (see ``passages``, also for e) come with a negative p, -1
+    minus the number of their first word."""
     before = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, digest = Anchors(length, gram), xxhash.xxh64_intdigest
+        find, spell, digest = Anchors(length, gram), P.Words(words, word_gram), xxhash.xxh64_intdigest
         for batch in batches:
             for k in range(0, len(batch), 200):
                 part = batch.slice(k, 200)
                 texts = part.column(2).to_pylist()
-                found = [find(x) for x in texts]
-                h = np.concatenate([x[1] for x in found])
-                if hashes_only:
-                    yield pa.RecordBatch.from_arrays([pa.array(h)], ["h"])
-                    continue
-                p, f = [], []
-                for text, (at, _) in zip(texts, found):
-                    n = len(text)
-                    for a in at.tolist():
-                        low, high = (a - before if a > before else 0), (a + length if a + length < n else n)
-                        p.append(a << 10 | high - a)
-                        f.append(digest(text[low:high], (a - low) << 10 | high - a))
-                sizes = [len(x[0]) for x in found]
-                u, v = (np.repeat(part.column(c).to_numpy(), sizes) for c in (0, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(u), pa.array(v), pa.array(p, pa.int64()), pa.array(h), pa.array(np.array(f, np.uint64).view(np.int64))],
-                    ["u", "v", "p", "h", "f"],
-                )
-
-    rows = docs.filter(F.octet_length("text") >= length).select("u", "v", "text")
-    return rows.mapInArrow(run, "h long" if hashes_only else "u long, v long, p long, h long, f long")
+                of, at, h = find(texts)
+                word_of, word_at, word_h, word_f, e = spell.anchors(texts)
+                h, e = np.concatenate([h, word_h]), np.concatenate([np.zeros(len(h), np.int64), e])
+                sizes = np.array([len(x) for x in texts], np.int64)
+                low, high = np.maximum(at - before, 0), np.minimum(at + length, sizes[of])
+                p = at << 10 | high - at
+                seeds = (at - low) << 10 | high - at
+                f = [digest(texts[k][i:j], s) for k, i, j, s in zip(of.tolist(), low.tolist(), high.tolist(), seeds.tolist())]
+                of = np.concatenate([of, word_of])
+                p = np.concatenate([p, -1 - word_at])
+                f = np.concatenate([np.array(f, np.uint64).view(np.int64), word_f])
+                yield pa.RecordBatch.from_arrays([*(pa.array(part.column(c).to_numpy()[of]) for c in (0, 1)), *map(pa.array, (p, h, f, e))], ["u", "v", "p", "h", "f", "e"])
+
+    rows = docs.filter(F.octet_length("text") >= min(length, 2 * words - 1)).select("u", "v", "text")
+    return rows.mapInArrow(run, "u long, v long, p long, h long, f long, e long")
 
 
 def common(a: bytes, b: bytes, start: int = 0) -> int:
@@ -160,7 +156,7 @@ def common(a: bytes, b: bytes, start: int = 0) -> int:
 
 
 class BlindTrie:
-    """A trie of branching bytes only. Inner nodes are [depth, children by byte],
+    """A trie of branching bytes only. Inner nodes are pairs (depth, children by byte),
     leaves are lists of the numbers of equal strings; the end of a string is -1."""
 
     def __init__(self, strings: list[bytes], numbers: list[int], depth: int):
@@ -168,38 +164,38 @@ class BlindTrie:
         for k in numbers[1:]:
             self.insert(k, depth)
 
-    @staticmethod
-    def byte(text: bytes, depth: int) -> int:
-        return text[depth] if depth < len(text) else -1
-
     def insert(self, k: int, known: int) -> None:
-        text, node = self.strings[k], self.root
-        while len(node) == 2 and isinstance(node[1], dict):  # blind descent to some leaf
-            node = node[1].get(self.byte(text, node[0])) or next(iter(node[1].values()))
+        text, node, path = self.strings[k], self.root, []
+        n = len(text)
+        while type(node) is tuple:  # blind descent to some leaf
+            path.append(node)
+            depth, below = node
+            node = below.get(text[depth] if depth < n else -1) or next(iter(below.values()))
         other = self.strings[node[0]]
-        same = common(text, other, min(known, len(text), len(other)))
-        above, node = None, self.root
-        while len(node) == 2 and isinstance(node[1], dict) and node[0] < same:
-            above, node = node, node[1][self.byte(text, node[0])]
-        if len(node) == 2 and isinstance(node[1], dict) and node[0] == same:
-            at = self.byte(text, same)
-            if at in node[1]:
-                node[1][at].append(k)  # equal to the end
+        m = len(other)
+        same = common(text, other, min(known, n, m))
+        at, byte = len(path), text[same] if same < n else -1
+        while at and path[at - 1][0] >= same:  # up to where the text leaves the path
+            at -= 1
+        below = path[at] if at < len(path) else node
+        if type(below) is tuple and below[0] == same:
+            if byte in below[1]:
+                below[1][byte].append(k)  # equal to the end
             else:
-                node[1][at] = [k]
-            return
-        if not (len(node) == 2 and isinstance(node[1], dict)) and len(text) == len(other) == same:
-            node.append(k)
-            return
-        inner = [same, {self.byte(text, same): [k], self.byte(other, same): node}]
-        if above is None:
-            self.root = inner
+                below[1][byte] = [k]
+        elif type(below) is list and n == m == same:
+            below.append(k)
         else:
-            above[1][self.byte(text, above[0])] = inner
+            inner = (same, {byte: [k], other[same] if same < m else -1: below})
+            if at:
+                depth, children = path[at - 1]
+                children[text[depth] if depth < n else -1] = inner
+            else:
+                self.root = inner
 
     def ordered(self, node=None) -> list[int]:
         node = self.root if node is None else node
-        if not (len(node) == 2 and isinstance(node[1], dict)):
+        if type(node) is list:
             return node
         return [k for c in sorted(node[1]) for k in self.ordered(node[1][c])]
 
@@ -209,6 +205,8 @@ def deep_shallow(strings: list[bytes], depth: int, shallow: int = SHALLOW) -> li
     quicksort for ``shallow`` bytes, then a blind trie for each group left."""
     order: list[int] = []
     stack = [(list(range(len(strings))), depth)]
+    if len({s[depth : depth + shallow] for s in strings}) == 1:  # no pivot would part them
+        return BlindTrie(strings, stack[0][0], depth).ordered()
     while stack:
         group, at = stack.pop()
         if len(group) == 1:
@@ -259,14 +257,14 @@ def matches(lefts: list[bytes], rights: list[bytes], length: int, gram: int) ->
             out.append((order[ranks[k]], depth, int(reach[k])))
 
     def climb(node) -> list[int]:
-        inner = len(node) == 2 and isinstance(node[1], dict)
+        inner = type(node) is tuple
         ranks = sorted(r for c in node[1].values() for r in climb(c)) if inner else sorted(rank[k] for k in node)
         if len(ranks) > 1:
             visit(node[0] if inner else len(lefts[node[0]]), ranks)
         return ranks
 
     def climb_many(node) -> np.ndarray:
-        inner = len(node) == 2 and isinstance(node[1], dict)
+        inner = type(node) is tuple
         parts = [climb_many(c) for c in node[1].values()] if inner else [np.array([rank[k] for k in node])]
         ranks = np.sort(np.concatenate(parts), kind="stable")
         if len(ranks) > 1:
@@ -290,26 +288,31 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int, piece:
     lists = wanted.groupBy("u", "v", F.expr(f"shiftright(p, 10) div {piece}").alias("k")).agg(
         F.collect_list(F.struct("h", "f", at.alias("a"), F.col("p").bitwiseAND(F.lit(1023)).alias("r"), "hot")).alias("anchors")
     )
+    lists = lists.groupBy("u", "v").agg(F.collect_list(F.struct("k", "anchors")).alias("pieces"))
     once = docs.filter(F.octet_length("text") >= length).groupBy("u", "v").agg(F.first("text").alias("text"))
-    each = once.select("u", "v", "text", F.explode(F.expr(f"sequence(0L, (octet_length(text) - 1) div {piece})")).alias("k"))
-    first = F.greatest(F.col("k") * piece - before, F.lit(0))
-    parts = each.select("u", "v", "k", first.alias("first"), F.substr("text", (first + 1).cast("int"), F.lit(piece + before + length)).alias("text"))
+    each = once.join(lists, ["u", "v"]).select("text", F.explode("pieces").alias("x"))
+    first = F.greatest(F.col("x.k") * piece - before, F.lit(0))
+    parts = each.select(first.alias("first"), F.substr("text", (first + 1).cast("int"), F.lit(piece + before + length)).alias("text"), "x.anchors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, len(batch), 200):
                 part = batch.slice(k, 200)
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for first, text, anchors in zip(*(part.column(c).to_pylist() for c in range(3))):
-                    for x in anchors:
-                        a = x["a"] - first
-                        for column, v in zip(out, (x["h"], x["f"], x["hot"], text[max(0, a - before) : a][::-1], text[a : a + x["r"]])):
-                            column.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], ["h", "f", "hot", "left", "right"])
-
-    joined = parts.join(lists, ["u", "v", "k"]).select("first", "text", "anchors")
-    return joined.mapInArrow(run, "h long, f long, hot boolean, left binary, right binary")
+                lists = part.column(2)
+                fields = lists.flatten()
+                h, f, a, r, hot = (fields.field(c) for c in range(5))
+                # where each anchor stands in its piece of a text
+                of = np.repeat(np.arange(len(part)), pc.list_value_length(lists).to_numpy())
+                at = a.to_numpy() - part.column(0).to_numpy()[of]
+                texts, low = part.column(1).to_pylist(), np.maximum(at - before, 0)
+                left, right = [], []
+                for k, i, j, n in zip(of.tolist(), low.tolist(), at.tolist(), r.to_pylist()):
+                    text = texts[k]
+                    left.append(text[i:j][::-1])
+                    right.append(text[j : j + n])
+                yield pa.RecordBatch.from_arrays([h, f, hot, pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["h", "f", "hot", "left", "right"])
+
+    return parts.mapInArrow(run, "h long, f long, hot boolean, left binary, right binary")
 
 
 def sorted_matches(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -318,13 +321,20 @@ def sorted_matches(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 200):
-                part, out = batch.slice(start, 200), ([], [], [], [])
-                for h, members in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    members = list({m["f"]: m for m in members}.values())  # repeated rows
-                    if len(members) > 1:
-                        for k, low, high in matches([m["left"] for m in members], [m["right"] for m in members], length, gram):
-                            for column, v in zip(out, (h, members[k]["f"], -low, high)):
+            size = max(1, len(batch) * AT_ONCE // max(1, batch.nbytes))
+            for start in range(0, len(batch), size):
+                part, out = batch.slice(start, size), ([], [], [], [])
+                fields = part.column(1).flatten()
+                f, left, right = (fields.field(c).to_pylist() for c in range(3))
+                stops = np.cumsum(pc.list_value_length(part.column(1)).to_numpy()).tolist()
+                for h, i, j in zip(part.column(0).to_pylist(), [0, *stops], stops):
+                    if len(set(f[i:j])) == j - i:
+                        own, lefts, rights = f[i:j], left[i:j], right[i:j]
+                    else:  # repeated rows
+                        own, lefts, rights = map(list, zip(*{x[0]: x for x in zip(f[i:j], left[i:j], right[i:j])}.values()))
+                    if len(own) > 1:
+                        for k, low, high in matches(lefts, rights, length, gram):
+                            for column, v in zip(out, (h, own[k], -low, high)):
                                 column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["h", "f", "low", "high"])
 
@@ -376,11 +386,9 @@ def counted_matches(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return each.join(often, ["h", "low", "u", "v"]).select("h", "f", "low", (F.col("low") + length).alias("high"))
 
 
-def repeated_spans(docs: DataFrame, length: int, gram: int, group: int, piece: int = PIECE) -> DataFrame:
-    """(u, v, spans): byte ranges to remove, of texts that have any."""
-    # written, so that the join deals out both of its sides and can split a common gram
-    twice = cut(anchor_rows(docs, length, gram, hashes_only=True).groupBy("h").count().filter("count > 1").select("h"), "grams")
-    some = cut(anchor_rows(docs, length, gram).join(twice, "h", "left_semi"), "anchors")
+def repeated_spans(docs: DataFrame, some: DataFrame, length: int, gram: int, group: int, piece: int = PIECE) -> DataFrame:
+    """(u, v, spans): byte ranges to remove, of texts that have any, from the anchors
+    ``some`` whose gram is not alone."""
     alike = some.groupBy("h", "f").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("u", "v", "p")).alias("one"))
     alike = alike.select("h", "f", "c", "one.*")
     grams = cut(alike.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h", (F.col("m") > group).alias("hot")), "grams")
@@ -388,8 +396,10 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, group: int, piece: i
     left = F.least(a, F.lit(length - gram).cast("long"))
     whole = alike.filter((F.col("c") > 1) & (left + r >= length)).select("h", "f", (-left).alias("low"), r.alias("high"))
     around = contexts(docs, alike.join(grams, "h"), length, gram, piece)
-    part = sorted_matches(around.filter(~F.col("hot")), length, gram).union(counted_matches(around.filter("hot"), length, gram))
-    found = whole.union(part).distinct()
+    found = whole.union(sorted_matches(around.filter(~F.col("hot")), length, gram))
+    if not grams.filter("hot").isEmpty():
+        found = found.union(counted_matches(around.filter("hot"), length, gram))
+    found = found.distinct()
     spans = some.join(found, ["h", "f"]).select("u", "v", F.struct((a + F.col("low")).alias("a"), (a + F.col("high")).alias("b")).alias("s"))
     return spans.groupBy("u", "v").agg(F.collect_set("s").alias("spans"))
 
@@ -410,13 +420,20 @@ def deduplicated(
     if not 0 < gram < length < 1 << 10:
         raise ValueError("0 < gram < length < 1024")
     rows = keyed(docs)
-    spans = repeated_spans(rows, length, gram, group, piece)
-    held, known, wanted = P.shared_contexts(rows.select("u", "v", F.col("text").cast("string").alias("text")), words, word_gram)
+    # written, so that texts are scanned once, and the join deals out both of its sides
+    # and can split a common gram
+    path = fresh_path(docs.sparkSession, "all-anchors")
+    every = cut(anchor_rows(rows, length, gram, words, word_gram), "anchors", path)
+    twice = cut(every.groupBy("h").count().filter("count > 1").select("h"), "grams")
+    some = cut(P.within(every, twice, ["h"]), "anchors")
+    remove(docs.sparkSession, path)
+    spans = cut(repeated_spans(rows, some.filter("p >= 0"), length, gram, group, piece), "spans")
+    held, known, wanted = P.shared_contexts(some.filter("p < 0").select("u", "v", "h", "f", "e", (-1 - F.col("p")).alias("at")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        kinds = to_arrow_schema(schema)
+        kinds, spell = to_arrow_schema(schema), P.Words(words, word_gram)
         for batch in batches:
             for k in range(0, len(batch), 200):
                 part = batch.slice(k, 200)
@@ -434,17 +451,18 @@ def deduplicated(
                         at = high
                     rest = b"".join([*kept, text[at:]])
                     long = len(text) >= 2 * words - 1 and len(text.split(None, words - 1)) == words
-                    near = P.windows_around(text, wanted, words, word_gram) if wanted else []
+                    near = spell.contexts_of(text, wanted) if wanted else []
                     for column, v in zip(out, (len(text), len(text) - len(rest), len(merged), sha256(rest).hexdigest(), rest if texts else None, long, near)):
                         column.append(v)
                 new = [pa.array(c, kinds.field(n + 3).type) for n, c in enumerate(out)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *new], kinds.names)
 
-    added = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, long boolean, near " + P.WINDOWS
+    added = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, long boolean, near " + P.CONTEXTS
     schema = T.StructType([*rows.select("doc_id", "u", "v").schema.fields, *T.StructType.fromDDL(added).fields])
     joined = rows.join(spans, ["u", "v"], "left").join(wanted, ["u", "v"], "left").select("doc_id", "u", "v", "text", "spans", "wanted")
     found = cut(joined.mapInArrow(run, schema), "kept")
-    shared = P.sharing(held, known, found.filter(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.*"))
+    around = cut(found.filter(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.*"), "around")
+    shared = P.sharing(held, known, around, words, word_gram)
     copies = found.filter("long").groupBy("u", "v").count().filter("count > 1").select("u", "v")
     marked = cut(shared.union(copies).distinct().withColumn("repeats", F.lit(True)), "sharing")
     out = found.join(marked, ["u", "v"], "left").withColumn("repeats", F.coalesce("repeats", F.lit(False)))
