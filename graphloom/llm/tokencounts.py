@@ -72,44 +72,42 @@ class UnigramTrie:
                 self.terminal[word] = known
         return known
 
-    def step(self, text: str, at: int, path: list[tuple[float, int]]) -> tuple[float, int]:
-        """Score and minus the tokens of the first ``at`` characters; path has those of
-        the prefixes before, the last ones at its end."""
-        char, endings = text[at - 1], self.endings
-        if char in self.scores:
-            top = (float("-inf"), 0)
-        else:  # an unknown character falls back to its bytes
-            n_bytes = len(char.encode())
-            top = (path[-1][0] + self.byte * n_bytes, path[-1][1] - n_bytes)
-        for size in range(1, min(self.longest, at) + 1):
-            piece = text[at - size : at]
-            if piece not in endings:
-                break
-            score = endings[piece]
-            if score is not None:
-                before = path[-size]
-                found = (before[0] + score, before[1] - 1)
-                if found > top:
-                    top = found
-        return top
-
     def insert(self, text: str) -> int:
-        children, best, tokens = self.children, self.best, self.tokens
-        node, path = 0, [(0.0, 0)]
-        for at, char in enumerate(text[: self.shared], 1):
-            key = node << 21 | ord(char)
-            child = children.get(key)
-            if child is None:
-                score, less = self.step(text, at, path)
-                child = children[key] = len(best)
-                best.append(score)
-                tokens.append(-less)
-            path.append((best[child], -tokens[child]))
-            node = child
-        for at in range(self.shared + 1, len(text) + 1):
-            path.append(self.step(text, at, path))
-            if len(path) > 4096:
-                path = path[-self.longest :]
+        children, best, tokens, endings, byte = self.children, self.best, self.tokens, self.endings, self.byte
+        node, path, shared, longest = 0, [(0.0, 0)], self.shared, self.longest
+        for at, char in enumerate(text, 1):
+            if at <= shared:
+                key = node << 21 | ord(char)
+                node = children.get(key)
+                if node is not None:
+                    path.append((best[node], -tokens[node]))
+                    continue
+            # a new prefix: its score, and minus its tokens, from the prefixes before
+            top = endings.get(char)
+            last = path[-1]
+            if top is None:  # an unknown character falls back to its bytes
+                n_bytes = len(char.encode())
+                found = (last[0] + byte * n_bytes, last[1] - n_bytes)
+            else:
+                found = (last[0] + top, last[1] - 1)
+            if char in endings:
+                for size in range(2, (at if at < longest else longest) + 1):
+                    piece = text[at - size : at]
+                    if piece not in endings:
+                        break
+                    top = endings[piece]
+                    if top is not None:
+                        before = path[-size]
+                        new = (before[0] + top, before[1] - 1)
+                        if new > found:
+                            found = new
+            path.append(found)
+            if at <= shared:
+                node = children[key] = len(best)
+                best.append(found[0])
+                tokens.append(-found[1])
+            elif len(path) > 4096:
+                path = path[-longest:]
         return -path[-1][1]
 
 
