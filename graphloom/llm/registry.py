@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from graphloom.llm import audit, fim
+from graphloom.llm.audit import op12_filter_audit
 from graphloom.llm.decontaminate import op1_decontamination
+from graphloom.llm.fim import op11_fill_in_middle
 from graphloom.llm.htmltext import op5_html_text
 from graphloom.llm.mixing import op2_mixing
 from graphloom.llm.quality import op6_quality
@@ -24,6 +27,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
     "op10_token_files": op10_token_files,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 #: DuckDB statements. The other operators rest on hashes, permutations, models or
@@ -75,4 +80,6 @@ v AS (SELECT source, max(shown) AS top, bool_or(rate > 0.5 AND rate - 2 * sqrt(r
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT failed AS kept,
        (SELECT max(rule) FROM s WHERE s.source IS NOT DISTINCT FROM b.source AND shown = top) AS host_rule, round(top, 4) AS host_rate
 FROM b JOIN v ON v.source IS NOT DISTINCT FROM b.source""",
+    "op11_fill_in_middle": fim.SQL,
+    "op12_filter_audit": audit.SQL,
 }
