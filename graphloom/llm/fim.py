@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.base import cut, table
 
@@ -78,7 +79,10 @@ def select(k: int, width: int, low: bytes, high: bytes, ones: np.ndarray | None
     return (8 * byte + bit - (k - 1)) << width | some & ((1 << width) - 1)
 
 
-@F.pandas_udf("n long, chars long, width int, low binary, high binary")
+LIST = T.StructType().add("n", "long").add("chars", "long").add("width", "integer").add("low", "binary").add("high", "binary")
+
+
+@F.pandas_udf(LIST)
 def boundary_list(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for text in texts:
@@ -87,7 +91,7 @@ def boundary_list(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n", "chars", "width", "low", "high"])
 
 
-@F.pandas_udf("first long, second long")
+@F.pandas_udf(T.StructType().add("first", "long").add("second", "long"))
 def ends_of(a: pd.Series, b: pd.Series, width: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
     """The ends of the first a and of the first b tokens."""
     rows = []

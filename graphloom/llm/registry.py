@@ -8,6 +8,7 @@ from graphloom.llm.decontaminate import op1_decontamination
 from graphloom.llm.fim import op11_fill_in_middle
 from graphloom.llm.htmltext import op5_html_text
 from graphloom.llm.mixing import op2_mixing
+from graphloom.llm.packing import op13_packing
 from graphloom.llm.quality import op6_quality
 from graphloom.llm.secrets import op4_secrets
 from graphloom.llm.sharding import op8_sharding
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_token_files": op10_token_files,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_filter_audit": op12_filter_audit,
+    "op13_packing": op13_packing,
 }
 
 #: DuckDB statements. The other operators rest on hashes, permutations, models or
