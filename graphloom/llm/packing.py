@@ -49,24 +49,29 @@ def class_of(n: Column, length: int) -> Column:
 
 def best_pattern(value: np.ndarray, size: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     """The pattern of greatest value: how many of each size (ascending) to take so that
-    they fit in room. Knapsack: the best of every smaller room, then the way back."""
-    best, taken = np.zeros(room + 1), np.full(room + 1, -1)
-    upto = size.searchsorted(np.arange(room + 1), "right")
-    for w in range(int(size[0]), room + 1):
-        found = best[w - size[: upto[w]]] + value[: upto[w]]
-        k = int(found.argmax())
-        if found[k] > best[w - 1]:
-            best[w], taken[w] = found[k], k
-        else:
-            best[w], taken[w] = best[w - 1], -1
+    they fit in room. Knapsack: item by item, the best for every smaller room. Any number
+    of an item means the best over rooms that differ by multiples of its size, a running
+    maximum down the columns of a table as wide as the item."""
+    # an item that is no smaller and worth no more than another is never needed
+    worth = np.maximum.accumulate(np.concatenate([[0.0], value]))
+    items = np.flatnonzero(worth[1:] > worth[:-1])
+    bests = [np.zeros(room + 1)]
+    for k in items:
+        s, rows = int(size[k]), -(-(room + 1) // int(size[k]))
+        table = np.full(rows * s, -np.inf)
+        table[: room + 1] = bests[-1]
+        gain = value[k] * np.arange(rows)[:, None]
+        table = np.maximum.accumulate(table.reshape(rows, s) - gain, axis=0) + gain
+        bests.append(np.maximum(table.ravel()[: room + 1], bests[-1]))
     pattern, w = np.zeros(len(size), np.int64), room
-    while w > 0:
-        if taken[w] < 0:
-            w -= 1
-        else:
-            pattern[taken[w]] += 1
-            w -= int(size[taken[w]])
-    return float(best[room]), pattern
+    for n in range(len(items) - 1, -1, -1):
+        k, s = items[n], int(size[items[n]])
+        # how many of the item: the first room of its column that does without
+        column = np.arange(w, -1, -s)
+        without = bests[n][column] + value[k] * np.arange(len(column))
+        pattern[k] = int(without.argmax())
+        w -= int(pattern[k]) * s
+    return float(bests[-1][room]), pattern
 
 
 def relaxed(size: np.ndarray, demand: np.ndarray, room: int, near: float = NEAR) -> tuple[np.ndarray, np.ndarray]:
