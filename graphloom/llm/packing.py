@@ -149,8 +149,12 @@ def placements(histogram: dict[int, int], length: int) -> list[tuple[int, int, i
 
 def chunks(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, vocabulary: str | None = None) -> DataFrame:
     """Write the ids of all documents, each with its end id, in chunks of ``length`` and
-    a rest: (doc_id, start, length, doc_tokens, ids, u), u a number of each chunk's own."""
+    a rest: (doc_id, start, length, doc_tokens, ids, u), u a number of each chunk's own.
+    Ids of a vocabulary of up to 65,536 pieces take 16 bits each, read as unsigned."""
+    from tokenizers import Tokenizer
+
     where = vocabulary or tokenizer_path()
+    short = max(Tokenizer.from_file(where).get_vocab_size(), end + 1) <= 1 << 16
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(where)
@@ -161,6 +165,8 @@ def chunks(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, voc
                 lists = encoder(part.column(1))
                 offsets, ids = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().copy()
                 ids[offsets[1:] - 1] = end
+                if short:
+                    ids = ids.astype(np.uint16).view(np.int16)
                 sizes = np.diff(offsets)
                 pieces = -(-sizes // length)
                 row = np.repeat(np.arange(len(sizes)), pieces)
@@ -171,7 +177,7 @@ def chunks(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, voc
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, doc_tokens long, ids array<int>"
+    schema = f"doc_id {kind}, start long, length long, doc_tokens long, ids array<{'smallint' if short else 'int'}>"
     coded = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(encode, schema)
     coded = coded.withColumn("u", F.monotonically_increasing_id())  # fixed by the write
     coded.write.option("compression", "zstd").parquet(path)
@@ -260,7 +266,8 @@ def packed(docs: DataFrame, length: int = LENGTH, end: int = END, vocabulary: st
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists, found = batch.column(3), batch.column(4)
-            at, ids = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().astype("<u4")
+            at, ids = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+            ids = (ids.view(np.uint16) if ids.dtype == np.int16 else ids).astype("<u4")
             cuts = found.offsets.to_numpy().astype(np.int64)
             row = np.repeat(np.arange(len(batch)), np.diff(cuts))
             part = found.values.slice(int(cuts[0]), int(cuts[-1] - cuts[0]))
