@@ -21,6 +21,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -147,6 +148,29 @@ def placements(histogram: dict[int, int], length: int) -> list[tuple[int, int, i
     return rows
 
 
+class Remembering(Encoder):
+    """Words that earlier batches of a task had are looked up, ``MOST`` at a time."""
+
+    MOST = 1 << 19
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.seen = self.lists = None
+
+    def words(self, words: pa.Array) -> pa.ListArray:
+        if self.seen is None or len(self.seen) > self.MOST:
+            self.seen, self.lists = words, super().words(words)
+            return self.lists
+        at = pc.index_in(words, value_set=self.seen)
+        new = words.filter(at.is_null())
+        if len(new):
+            place = np.cumsum(at.is_null().to_numpy(zero_copy_only=False)) + (len(self.seen) - 1)
+            at = pc.if_else(at.is_null(), pa.array(place.astype(np.int32)), at)
+            self.seen = pa.concat_arrays([self.seen, new])
+            self.lists = pa.concat_arrays([self.lists, super().words(new)])
+        return self.lists.take(at)
+
+
 def chunks(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, vocabulary: str | None = None) -> DataFrame:
     """Write the ids of all documents, each with its end id, in chunks of ``length`` and
     a rest: (doc_id, start, length, doc_tokens, ids, u), u a number of each chunk's own.
@@ -157,7 +181,7 @@ def chunks(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, voc
     short = max(Tokenizer.from_file(where).get_vocab_size(), end + 1) <= 1 << 16
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(where)
+        encoder = Remembering(where)
         for batch in batches:
             rows = max(1, len(batch) * AT_ONCE // max(1, batch.nbytes))
             for k in range(0, len(batch), rows):
