@@ -204,7 +204,7 @@ def chunks(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, voc
     schema = f"doc_id {kind}, start long, length long, doc_tokens long, ids array<{'smallint' if short else 'int'}>"
     coded = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(encode, schema)
     coded = coded.withColumn("u", F.monotonically_increasing_id())  # fixed by the write
-    coded.write.option("compression", "zstd").parquet(path)
+    coded.write.parquet(path)  # ids are packed by their dictionary
     return docs.sparkSession.read.schema(coded.schema).parquet(path)
 
 
