@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -91,17 +91,21 @@ def file_mentions(texts: DataFrame, files: DataFrame) -> DataFrame:
 CANDIDATE_ENDS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js"]
 
 
-def resolve_imports(specs: DataFrame, files: DataFrame, most: int = 200) -> DataFrame:
-    """(source, target): each relative specifier (path, spec, pos) of a file goes to
-    the first of its candidate paths that is a file, other than the file itself."""
-    folder = F.array_join(F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))), "/")
-    parts = F.filter(F.split(F.concat_ws("/", folder, F.col("spec")), "/"), lambda p: (p != ".") & (p != ""))
+def walked(path: Column, spec: Column) -> Column:
+    """The parts of the path that a relative specifier in the file ``path`` stands for."""
+    folder = F.array_join(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), "/")
+    parts = F.filter(F.split(F.concat_ws("/", folder, spec), "/"), lambda p: (p != ".") & (p != ""))
     # '..' takes back the part before it
-    walked = F.aggregate(
+    return F.aggregate(
         parts, F.array().cast("array<string>"),
         lambda s, p: F.when(p == "..", F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.concat(s, F.array(p))),
     )
-    tries = specs.filter(F.col("pos") < most).withColumn("base", F.array_join(walked, "/"))
+
+
+def resolve_imports(specs: DataFrame, files: DataFrame, most: int = 200) -> DataFrame:
+    """(source, target): each relative specifier (path, spec, pos) of a file goes to
+    the first of its candidate paths that is a file, other than the file itself."""
+    tries = specs.filter(F.col("pos") < most).withColumn("base", F.array_join(walked(F.col("path"), F.col("spec")), "/"))
     ends = F.posexplode(F.array(*map(F.lit, CANDIDATE_ENDS))).alias("rank", "end")
     tries = tries.select("path", "spec", "base", ends).withColumn("candidate", F.concat("base", "end"))
     hits = tries.join(files.select(F.col("path").alias("candidate")), "candidate").filter("candidate <> path")
