@@ -26,11 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.base import cut, fresh_path, running, table
-from graphloom.llm.tokenfiles import AT_ONCE, Encoder, tokenizer_path
+from graphloom.llm.tokenfiles import Encoder, tokenizer_path
 
 LENGTH = 4096
 END = 2
 SEED = 42
+#: Bytes of text that a task encodes at once.
+AT_ONCE = 4 << 20
 #: The program stops when a new pattern could save less than this share of sequences.
 NEAR = 1e-3
 
@@ -151,7 +153,7 @@ def placements(histogram: dict[int, int], length: int) -> list[tuple[int, int, i
 class Remembering(Encoder):
     """Words that earlier batches of a task had are looked up, ``MOST`` at a time."""
 
-    MOST = 1 << 19
+    MOST = 1 << 18
 
     def __init__(self, path: str):
         super().__init__(path)
