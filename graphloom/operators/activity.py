@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Relations of an organisation chart, and what marks a writing tool.
@@ -71,6 +71,43 @@ def commit_keywords(words: list[str], commits: DataFrame, last: int = 60, limit:
     return ranked.orderBy(F.desc("hits"), F.desc("seq")).limit(limit)
 
 
+# Words of a decision that say nothing of it, and how its words are chosen.
+COMMON = "the and for with fix feat from into when this that make made use using add added update updated".split()
+LEAST_LETTERS, MOST_WORDS = 4, 6
+
+
+def decision_words(decisions: DataFrame) -> DataFrame:
+    """(id, word): the first six different words of four letters or more in label and
+    content of each decision, without the common ones. Null texts are empty."""
+    text = F.lower(F.concat_ws(" ", F.coalesce("label", F.lit("")), F.coalesce("content", F.lit(""))))
+    words = F.filter(F.split(text, "[^a-z0-9]+"), lambda w: (F.length(w) >= LEAST_LETTERS) & ~w.isin(COMMON))
+    return decisions.select("id", F.explode(F.slice(F.array_distinct(words), 1, MOST_WORDS)).alias("word"))
+
+
+def decision_commits(decisions: DataFrame, commits: DataFrame, last: int = 60, limit: int = 5) -> DataFrame:
+    """(id, seq, hits): for each decision (id, label, content), any number of them, the
+    ``limit`` of the last commits (seq, subject) that hold most of its words, then the
+    latest. Words that more than half of these commits hold, or none, don't count.
+
+    A word may stand inside a longer one. Both are runs of letters and digits, so it is
+    enough to look into the log's words: an index of their four-letter pieces meets the
+    decisions' words by the first four letters, and each hit is then looked at."""
+    words = decision_words(decisions)
+    recent = commits.orderBy(F.desc("seq")).limit(last)
+    runs = F.array_distinct(F.split(F.lower("subject"), "[^a-z0-9]+"))
+    held = recent.select("seq", F.explode(runs).alias("run")).filter(F.length("run") >= LEAST_LETTERS)
+    at = F.sequence(F.lit(1), F.length("run") - LEAST_LETTERS + 1)
+    pieces = held.select("run").distinct().select("run", F.explode(F.array_distinct(F.transform(at, lambda i: F.substr("run", i, F.lit(LEAST_LETTERS))))).alias("piece"))
+    asked = words.select("word").distinct().withColumn("piece", F.substring("word", 1, LEAST_LETTERS))
+    inside = asked.join(pieces, "piece").filter(F.contains("run", "word")).select("word", "run")
+    hits = inside.join(held, "run").select("word", "seq").distinct()
+    total = recent.agg(F.count(F.lit(1)).alias("total"))
+    useful = hits.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).filter("n * 2 <= total").select("word")  # one row
+    scored = words.join(hits.join(useful, "word", "left_semi"), "word").groupBy("id", "seq").agg(F.count(F.lit(1)).alias("hits"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("hits"), F.desc("seq")))
+    return scored.withColumn("place", place).filter(F.col("place") <= limit).select("id", "seq", "hits")
+
+
 def provenance_confidence(rows: DataFrame) -> DataFrame:
     """Adds confidence from what is known of a decision (booleans content, who, files,
     commits, conversation, related)."""

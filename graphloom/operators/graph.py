@@ -188,6 +188,18 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("component", "members", edge.alias("internal_edges"), F.round(edge / (F.col("members") - 1), 6).alias("cohesion"))
 
 
+def component_parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(component, part, a, b): a row for each member (a, b null) and for each pair of
+    members with edges (a < b, once whatever their number and way) of components with
+    two or more nodes. A component of any size is no more than many rows."""
+    labels = components(nodes, edges)
+    large = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
+    members = labels.join(large, "component", "left_semi").select("component", F.lit("member").alias("part"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b"))
+    pairs = edges.filter("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+    inner = pairs.join(labels.withColumnRenamed("id", "a"), "a").join(labels.select(F.col("id").alias("b")), "b", "left_semi")
+    return members.unionByName(inner.select("component", F.lit("edge").alias("part"), "a", "b"))
+
+
 def ego(nodes: DataFrame, edges: DataFrame, start: str, radius: int = 2) -> DataFrame:
     """(id, label, type, distance) around start, edges taken in either direction."""
     return nodes.select("id", "label", "type").join(reach(edges, start, radius, undirected=True), "id")

@@ -73,6 +73,30 @@ def contributors(commits: DataFrame, most: int = 2000) -> DataFrame:
     return per.select("repo", F.concat(F.lit("person::"), "key").alias("person"), "x.name", "x.email", "commits")
 
 
+# The files of a repository that tell of it.
+ABOUT = r"^(?:(.*)/)?(\.git/config|\.git/HEAD|package\.json)$"
+
+
+def repo_identities(files: DataFrame) -> DataFrame:
+    """(repo, label, remote, branch, package, deps) of the repositories among files
+    (path, content): a folder with .git/HEAD or .git/config ("." for the root). The
+    address of the remote ``origin``, the branch (HEAD if none is checked out), the
+    package's name, and what it needs, at work or to be built, each once. What is not
+    there, or no JSON, is null; deps are then empty."""
+    repo = F.coalesce(F.when(F.regexp_extract("path", ABOUT, 1) != "", F.regexp_extract("path", ABOUT, 1)), F.lit("."))
+    about = files.filter(F.col("path").rlike(ABOUT)).select(repo.alias("repo"), F.regexp_extract("path", ABOUT, 2).alias("file"), "content")
+    # a column for each kind of file, not a list of files
+    rows = about.groupBy("repo").agg(*[F.max(F.when(F.col("file") == f, F.col("content"))).alias(c) for f, c in ((".git/config", "config"), (".git/HEAD", "head"), ("package.json", "json"))])
+    rows = rows.filter("config IS NOT NULL OR head IS NOT NULL")
+    remote = F.regexp_extract("config", r"(?s)\[remote \"origin\"\][^\[]*?\n\s*url\s*=\s*([^\n\r]+)", 1)
+    branch = F.when(F.col("head").rlike(r"^ref: refs/heads/"), F.regexp_extract("head", r"^ref: refs/heads/([^\n\r]+)", 1)).otherwise(F.when(F.col("head").isNotNull(), F.lit("HEAD")))
+    keys = lambda part: F.coalesce(F.map_keys(F.from_json(F.get_json_object("json", f"$.{part}"), "map<string, string>")), F.array().cast("array<string>"))
+    named = F.schema_of_variant(F.try_variant_get(F.try_parse_json("json"), "$.name", "variant"))
+    name = F.when(named == "STRING", F.get_json_object("json", "$.name"))
+    label = F.element_at(F.split("repo", "/"), -1)
+    return rows.select("repo", label.alias("label"), F.when(remote != "", F.trim(remote)).alias("remote"), branch.alias("branch"), name.alias("package"), F.array_union(keys("dependencies"), keys("devDependencies")).alias("deps"))
+
+
 def identity_graph(repos: DataFrame, people: DataFrame, user: str | None, root: str = ROOT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, persons and edges from repos (id, label, package, deps) and people
     (repo, person, name, email, commits): the root contains repos, people contribute

@@ -145,6 +145,23 @@ def message_nodes(messages: DataFrame) -> DataFrame:
     return messages.select(F.concat(F.lit("mesh::"), F.col("id").cast("string")).alias("id"), label.alias("label"), F.concat(F.lit("agent::"), F.col("from")).alias("sender"))
 
 
+def message_rows(messages: DataFrame) -> dict[str, DataFrame]:
+    """What agent messages (id, from, from_name, to, msg_type, urgency, thread_id, text, ts)
+    add to the graph: nodes and chunks of the messages, a node for each agent, by its
+    latest name (else its id), and a ``generated`` edge from agent to message. Messages
+    whose text is blank are none."""
+    rows = messages.filter(F.trim("text") != "")
+    node, agent = F.concat(F.lit("mesh::"), F.col("id").cast("string")), F.concat(F.lit("agent:"), "from")
+    label = F.when(F.length("text") > 72, F.concat(F.substring("text", 1, 72), F.lit("…"))).otherwise(F.col("text"))
+    about = F.to_json(F.struct(F.col("msg_type").alias("type"), "thread_id", "from", "to", "urgency", "ts"), {"ignoreNullFields": "false"})
+    own = rows.select(node.alias("id"), label.alias("label"), F.lit("agent_message").alias("type"), F.col("text").alias("content"), about.alias("metadata"), F.col("ts").alias("updated_at"))
+    last = rows.groupBy("from").agg(F.max_by("from_name", F.when(F.col("from_name").isNotNull(), F.struct("ts", "id"))).alias("name"), F.max("ts").alias("updated_at"))
+    agents = last.select(agent.alias("id"), F.coalesce("name", "from").alias("label"), F.lit("agent").alias("type"), F.lit(None).cast("string").alias("content"), F.to_json(F.struct(F.col("from").alias("session_id"))).alias("metadata"), "updated_at")
+    chunks = rows.select(F.concat(F.lit("chunk:"), node).alias("id"), node.alias("node_id"), F.lit("mesh://messages").alias("file_path"), F.col("text").alias("content"), F.col("ts").alias("updated_at"))
+    edges = rows.select(agent.alias("source"), node.alias("target"), F.lit("generated").alias("relation"), F.lit(1.0).alias("weight"))
+    return {"nodes": own.unionByName(agents), "chunks": chunks, "edges": edges}
+
+
 def numbered(rows: DataFrame, by: list[str]) -> DataFrame:
     """Adds n, the number of a row within its first column's group."""
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(by[0]).orderBy(*by[1:])))

@@ -343,7 +343,21 @@ def _(spark, d):
     return G.two_paths(load(spark, d, "edges"), ["owns", "generated"])
 
 
-@query("gr18_principal_axes")
+# The same iteration in SQL: the matrix of second moments as a list of rows, axes as lists.
+AXES_SQL = (
+    "x AS (SELECT chunk_id, list_transform(vector, lambda a: cast(a AS DOUBLE)) AS x FROM vectors), w AS (SELECT count(*) AS n, len(any_value(x)) AS w FROM x), "
+    "u AS (SELECT chunk_id, unnest(x) AS a, unnest(range(1, w + 1)) AS i FROM x, w), mu AS (SELECT i, avg(a) AS m FROM u GROUP BY 1), "
+    "c AS (SELECT u.chunk_id, u.i, a - m AS a FROM u JOIN mu USING (i)), s AS (SELECT p.i, q.i AS j, sum(p.a * q.a) AS s FROM c p JOIN c q USING (chunk_id) GROUP BY 1, 2), "
+    "m AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) AS r FROM s GROUP BY 1) y), "
+    "a1 AS (SELECT 0 AS t, list_transform(range(w), lambda i: 1 / sqrt(w)) AS v FROM w UNION ALL SELECT t + 1, list_transform(z, lambda e: e / sqrt(list_dot_product(z, z))) FROM (SELECT t, list_transform(m, lambda r: list_dot_product(r, v)) AS z FROM a1, m WHERE t < 25) y), "
+    "f AS (SELECT v AS f FROM a1 WHERE t = 25), "
+    "a2 AS (SELECT 0 AS t, list_transform(range(w), lambda i: CASE WHEN i % 2 = 1 THEN -1 ELSE 1 END / sqrt(w)) AS v FROM w UNION ALL SELECT t + 1, list_transform(z, lambda e: e / sqrt(list_dot_product(z, z))) "
+    "FROM (SELECT t, list_transform(m, lambda r: list_dot_product(r, d)) AS z FROM (SELECT t, list_transform(list_zip(v, f), lambda e: e[1] - list_dot_product(v, f) * e[2]) AS d FROM a2, f WHERE t < 25) y, m) y), "
+    "p AS (SELECT chunk_id, list_dot_product(x, f) AS a, list_dot_product(x, v) AS b FROM x, f, a2 WHERE t = 25)"
+)
+
+
+@query("gr18_principal_axes", f"WITH RECURSIVE {AXES_SQL} SELECT chunk_id, round((a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()), 6) AS x, round((b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()), 6) AS y FROM p", "vectors", recursive=True)
 def _(spark, d):
     return G.principal_axes(load(spark, d, "vectors")).select("chunk_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 

@@ -245,8 +245,9 @@ def _(spark, d):
 
 @query(
     "gr15_paths",
-    "WITH e AS (SELECT target AS m, source AS x FROM edges WHERE relation IN ('owns', 'generated') AND source <> target UNION SELECT source, target FROM edges WHERE relation IN ('owns', 'generated') AND source <> target) "
-    "SELECT p.x AS a, p.m AS middle, q.x AS b FROM e p JOIN e q ON p.m = q.m AND p.x < q.x WHERE p.m IN ('part::3', 'part::7', 'customer::7')",
+    "WITH s AS (SELECT source, target FROM edges WHERE relation IN ('owns', 'generated') AND source <> target AND (source IN ('part::3', 'part::7', 'customer::7') OR target IN ('part::3', 'part::7', 'customer::7'))), "
+    "e AS (SELECT target AS m, source AS x FROM s WHERE target IN ('part::3', 'part::7', 'customer::7') UNION SELECT source, target FROM s WHERE source IN ('part::3', 'part::7', 'customer::7')) "
+    "SELECT p.x AS a, p.m AS middle, q.x AS b FROM e p JOIN e q ON p.m = q.m AND p.x < q.x",
     "edges",
 )
 def _(spark, d):

@@ -17,6 +17,11 @@ INDEXED = (
 ).split()
 
 
+# Files that a package manager writes, and endings of names that are no sources.
+LOCKS = "package-lock.json yarn.lock pnpm-lock.yaml bun.lockb Cargo.lock poetry.lock".split()
+NO_SOURCES = [".d.ts", "-lock.json"]
+
+
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, content, modified) of the indexable files below root, paths relative to
     it. Listing and reading are Spark's, so root may be in any store."""
@@ -29,10 +34,15 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def indexable(files: DataFrame, skipped: tuple[str, ...] = ()) -> DataFrame:
-    """Files outside skipped folders and of an indexed kind."""
+    """Files outside skipped folders and of an indexed kind, without lock files and
+    declarations."""
     parts = F.split("path", "/")
+    name = F.element_at(parts, -1)
     end = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    return files.filter(~F.arrays_overlap(parts, F.array(*map(F.lit, [*SKIPPED, *skipped]))) & end.isin(INDEXED))
+    made = name.isin(LOCKS)
+    for ending in NO_SOURCES:
+        made = made | F.endswith(name, F.lit(ending))
+    return files.filter(~F.arrays_overlap(parts, F.array(*map(F.lit, [*SKIPPED, *skipped]))) & end.isin(INDEXED) & ~made)
 
 
 def units(paths: DataFrame, levels: int = 2) -> DataFrame:

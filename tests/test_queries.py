@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from graphloom.plans import extra, more, queries as Q, store  # noqa: F401  they register their queries
+from graphloom.plans import extra, kept, live, more, queries as Q, store  # noqa: F401  they register their queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
