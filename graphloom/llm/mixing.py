@@ -4,7 +4,7 @@ A source's target is met by whole copies of all its documents plus a subset that
 fills what remains. The subset is chosen by counts, not by documents: documents
 are counted by exact length, a proportional part (every n-th in order of length) is
 taken, and a bounded-knapsack dynamic programme over the counts left fits the
-remaining budget. Seeded ranks then say which documents of a length are taken.
+remaining budget; the part shrinks until no choice could fit it better. Seeded ranks then say which documents of a length are taken.
 
 Ranks need no sort of a whole length group (one length may hold a third of all
 rows, as copies do): documents fall into hash buckets, cut-off buckets follow from
@@ -25,10 +25,8 @@ MOST = 3
 SEED = 42
 #: Bits of the hash that make the buckets of a length group, for the seeded ranks.
 BUCKET_BITS = 16
-#: The knapsack fits up to this many words (a bit for each in a row of its table).
-EXACT = 1 << 20
-#: Rows of the table between two that are kept.
-STRIDE = 64
+#: Rows of the knapsack's table that are kept at a time on the way back.
+FAN = 8
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -56,71 +54,90 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return rows.join(F.broadcast(level)).select("source", "source_size", target.alias("target"))  # one row of level
 
 
-def proportional(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """A part of the documents with nearly ``budget`` words, never more, in which each
-    size has its share: of the documents in order of size, every n-th. Sums of the
-    taken exceed the share by less than the largest size, which is left out before."""
+def proportional(sizes: np.ndarray, counts: np.ndarray, budget: int, spare: int = 0) -> np.ndarray:
+    """A part of the documents that leaves ``spare`` words of the budget or more (the
+    largest size at least), in which each size has its share: of the documents in order
+    of size, every n-th. Sums of the taken exceed the share by less than the largest
+    size, which is left out before."""
     order = np.argsort(sizes)
     size, count = sizes[order], counts[order]
     total, largest = int((size * count).sum()), int(size.max(initial=0))
-    share = max(0, budget - largest) / max(1, total)
+    share = max(0, budget - max(spare, largest)) / max(1, total)
     upto = np.minimum(np.floor(count.cumsum() * share).astype(np.int64), count.cumsum())
     take = np.zeros(len(sizes), np.int64)
     take[order] = np.diff(upto, prepend=0)
     return np.minimum(take, counts)
 
 
-def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT) -> np.ndarray:
-    """How many documents of each size (> 0) to take so that their sum comes as
-    near below budget as possible, at most counts of each. A proportional part of
-    every size goes first, which leaves at most about twice the largest size; the
-    knapsack fits that. (Only where a document has more words than half its table
-    do the largest ones go first until ``exact`` words are left.)"""
-    take = proportional(sizes, counts, budget)
-    rest = budget - int((sizes * take).sum())
-    for k in np.argsort(-sizes):
-        if rest <= exact:
-            break
-        more = min(int(counts[k] - take[k]), (rest - exact) // int(sizes[k]) + 1, rest // int(sizes[k]))
-        take[k] += more
-        rest -= more * int(sizes[k])
-    if rest <= 0:
-        return take
+def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many documents of each size (> 0) to take, at most counts of each, so that
+    their sum is the greatest that is not above budget."""
     # entries are 1, 2, 4, ... documents of a size, so that every count up to what is
-    # left can be made; large ones first, they reach the budget in few steps
+    # there can be made; large ones first, they reach the budget in few steps
     entries: list[tuple[int, int, int]] = []
     for k in np.argsort(-sizes):
         size, part = int(sizes[k]), 1
-        spare = min(int(counts[k] - take[k]), rest // size)
+        spare = min(int(counts[k]), budget // size)
         while spare > 0:
             n = min(part, spare)
             spare, part = spare - n, part * 2
             entries.append((int(k), n, n * size))
-    # the table: bit s of a row tells whether the entries so far can sum up to s. Of
-    # its rows every STRIDE-th is kept, the others are made again on the way back
-    mask, row, kept, done = (1 << rest + 1) - 1, 1, [], 0
-    for i, (_, _, words) in enumerate(entries):
-        if i % STRIDE == 0:
-            kept.append(row)
+    take, mask, row = np.zeros(len(sizes), np.int64), (1 << budget + 1) - 1, 1
+    # bit s of a row of the table tells whether the entries so far can sum up to s
+    for done, (_, _, words) in enumerate(entries, 1):
         row |= row << words & mask
-        done = i + 1
-        if row >> rest & 1:
+        if row >> budget & 1:
+            entries = entries[:done]
             break
-    at = row.bit_length() - 1
-    while done > 0:
-        first = (done - 1) // STRIDE * STRIDE
-        rows = [kept[first // STRIDE]]
-        for _, _, words in entries[first : done - 1]:
-            rows.append(rows[-1] | rows[-1] << words & mask)
-        for i in range(done - 1, first - 1, -1):
-            if not rows[i - first] >> at & 1:  # not without this entry
-                k, n, words = entries[i]
-                take[k] += n
-                at -= words
-        done = first
+
+    def back(row: int, entries: list[tuple[int, int, int]], at: int) -> int:
+        """Take what of the entries leads to the sum ``at``, from the sums in row; what
+        is left of it. FAN rows are kept at a time, the rows between are made again."""
+        if len(entries) == 1:
+            k, n, words = entries[0]
+            if row >> at & 1:
+                return at  # without this entry
+            take[k] += n
+            return at - words
+        step = -(-len(entries) // FAN)
+        parts, rows = [entries[i : i + step] for i in range(0, len(entries), step)], [row]
+        for part in parts[:-1]:
+            row = rows[-1]
+            for _, _, words in part:
+                row |= row << words & mask
+            rows.append(row)
+        for part in reversed(parts):
+            at = back(rows.pop(), part, at)
+        return at
+
+    if entries:
+        back(1, entries, row.bit_length() - 1)
     return take
 
 
+def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many documents of each size (> 0) to take, at most counts of each, so that
+    their sum is the greatest that is not above budget.
+
+    A part in which each size has its share goes first, and the knapsack fills what is
+    left, twice the largest size to begin with. If that does not meet the budget to the
+    word, the part gives way to four times as much room, and so on: at the end the
+    knapsack has the whole budget, so no choice could come nearer. Sizes are counted in
+    their common divisor. The table has a bit for each word that is left."""
+    if not len(sizes):
+        return np.zeros(0, np.int64)
+    unit = int(np.gcd.reduce(sizes))
+    sizes, budget = sizes // unit, min(budget // unit, int((sizes // unit * counts).sum()))
+    spare = 2 * int(sizes.max())
+    while True:
+        part = proportional(sizes, counts, budget, spare) if spare < budget else np.zeros(len(sizes), np.int64)
+        rest = budget - int((sizes * part).sum())
+        more = knapsack(sizes, counts - part, rest)
+        if not part.any() or int((sizes * more).sum()) == rest:
+            return part + more
+        spare *= 4
+
+
 def plans(histogram: DataFrame, goals: DataFrame) -> DataFrame:
     """(source, size, n, whole, part): of the n documents of a size, all are taken
     ``whole`` times and ``part`` of them once more. A source's group here is its

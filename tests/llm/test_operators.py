@@ -321,18 +321,23 @@ def test_knapsack_fit():
 
 
 def test_knapsack_best():
-    """As near as any choice of what the proportional part leaves."""
-    from itertools import product
-
+    """As near as any choice at all."""
     r = random.Random(4)
-    for _ in range(80):
-        sizes = np.array(sorted(r.sample(range(1, 60), r.randint(1, 5))))
+    for k in range(200):
+        sizes = np.array(sorted(r.sample(range(1, [60, 2000][k % 2]), r.randint(1, 9))))
         counts = np.array([r.randint(1, 4) for _ in sizes])
         budget = r.randint(1, int((sizes * counts).sum()))
         low = mixing.proportional(sizes, counts, budget)
         assert (low >= 0).all() and (low <= counts).all() and (sizes * low).sum() <= budget
-        sums = [int((sizes * x).sum()) for x in product(*[range(a, b + 1) for a, b in zip(low, counts)])]
-        assert int((sizes * mixing.fit(sizes, counts, budget)).sum()) == max(s for s in sums if s <= budget)
+        sums = {0}
+        for size, count in zip(sizes, counts):
+            sums |= {s + int(size) * n for s in sums for n in range(1, count + 1)}
+        take = mixing.fit(sizes, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all()
+        assert int((sizes * take).sum()) == max(s for s in sums if s <= budget)
+    sizes, counts = np.array([7, 13, 700_001, 1_500_000, 3_000_000]), np.array([3, 3, 2, 1, 2])  # documents of very many words
+    assert int((sizes * mixing.fit(sizes, counts, 8_000_000)).sum()) == 7_500_060
+    assert int((sizes * mixing.fit(sizes, counts, 5_900_100)).sum()) == 5_900_062
     sizes, counts = np.arange(7, 7 * 400, 7), np.full(399, 5)  # no sum meets it: all rows of the table
     take = mixing.fit(sizes, counts, 300_003)
     assert int((sizes * take).sum()) == 300_003 // 7 * 7 and (take <= counts).all()
@@ -455,6 +460,18 @@ def test_deep_shallow_order():
         assert [strings[k] for k in order] == sorted(strings)
 
 
+def test_token_trie_bounds():
+    """Words with one long head add no nodes, and are forgotten all the same."""
+    scores = {"▁": -1.0, "a": -2.0, "▁a": -1.5, "aa": -2.5}
+    trie, plain = tokencounts.UnigramTrie(scores, nodes=100), tokencounts.UnigramTrie(scores)
+    most = 0
+    for k in range(5000):
+        word = b"a" * 70 + str(k).encode()
+        assert trie.count(word) == plain.count(word)
+        most = max(most, len(trie.terminal))
+    assert most < 100 and len(plain.terminal) == 5000
+
+
 def test_token_counts(docs, rows, empty):
     scores = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.5, "▁a": -2.2, "cd": -4.0, "c": -3.0, "d": -3.1, "e": -2.0, "▁ab": -5.7}
     trie = tokencounts.UnigramTrie(scores)
@@ -555,6 +572,26 @@ def test_secrets_runs(spark):
     assert all(x.is_secret for x in got if x.value in (aws, git, other) and x.doc_id != 3)  # nothing tells of a key there
 
 
+def test_secrets_assigned(spark):
+    """An assigned value is one candidate, whatever its length and signs."""
+    model = secrets.train(secrets.labelled_findings(spark))
+    texts = [
+        ('{"password": "P@ssw0rd!Long#Secret1"}', "P@ssw0rd!Long#Secret1", True),
+        ('"password": "Tr0ub4dor&3horse!battery"', "Tr0ub4dor&3horse!battery", True),
+        ('db_password = "correcthorsebatterystaple" # old', "correcthorsebatterystaple", None),
+        ("password = 'a(b)c;d,e[f]{g}9Z'", "a(b)c;d,e[f]{g}9Z", None),
+        ("secret=abc!def;next", "abc!def", None),
+        ("password: " + "x!Y2" * 500, "x!Y2" * 500, None),
+        ('the password: "abc', None, None),
+    ]
+    found = secrets.scan(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(texts)], "doc_id long, text string"), model, None)
+    got = {x.doc_id: tuple(x)[1:] for x in found.selectExpr("row.doc_id", "value", "run", "is_secret").collect()}
+    assert found.count() == len(got) == 6
+    for i, (_, value, secret) in enumerate(texts):
+        if value:
+            assert got[i][:2] == (value, -1) and secret in (None, got[i][2])
+
+
 def test_secrets_entropy(spark):
     """Over the whole value, also behind its first 512 characters."""
     import math
@@ -604,6 +641,12 @@ def test_html(spark):
         ('<p class="a"">One.</p><p title=it\'s>Two.</p><a href="x">Three</a>', "One. Two. Three", "html p p"),
         ('<p class="a" "b>One</p><p data-x="1 > 0" title = \'>\'>Two</p><a href=x?y="z>Three</a>', "One Two Three", "html p p"),
         ('<p>One</p><div class="x>Two</div>', "One Two", "html p div"),
+        ("<article><p>One</p><svg><path><p>Two</p><p>Three</p></article>", "One Two Three", "html article p p p"),
+        ("<article><p>One</p><video controls><p>Two</p><p>Three</p></article><p>Four</p><video>no</video>", "One Two Three Four", "html article p p p p"),
+        ("<div><p>a<object><div>no</div></object>b</p><canvas>c<p>d</div>e", "ab c d e", "html div p p"),
+        ("<div><button>a<p>b<button>no</button>d</div>", "a bd", "html div p"),
+        ("<svg><foreignObject><div>no</div></foreignObject><text>no</text></svg>yes<svg><g></article>", "yes", "html"),
+        ("<div><video><source src=x>no <p>no</p></video>yes</div><script><video></script></video><p>so", "yes so", "html div p"),
         ("<article><p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then <map name=m><a href=y>go</a></map> on</article>", "If x=1 then go on", "html article p"),
     ],
 )
@@ -619,7 +662,7 @@ def test_html_tag_linear():
     import time
 
     start = time.time()
-    for source in ("<a " * 100_000, '<a b="' * 100_000, "<a b='" * 100_001, "<a " + "b=c " * 100_000, '<a "' * 100_000):
+    for source in ("<a " * 100_000, '<a b="' * 100_000, "<a b='" * 100_001, "<a " + "b=c " * 100_000, '<a "' * 100_000, "<object>" * 100_000, "<div><button>" * 50_000, "<video></div>" * 50_000):
         htmltext.Page(source)
     assert time.time() - start < 20
 
@@ -691,11 +734,11 @@ def test_secrets_written_by_hand(spark):
 
 
 def test_html_pages_of_the_table(spark):
-    """The extracted text of every page of the smallest table is that of its article
+    """The extracted text of every page of the table is that of its article
     element, which the trees are not told."""
     import os
 
-    pages = spark.read.parquet(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001") + "/pages.parquet")
+    pages = spark.read.parquet(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01") + "/pages.parquet")
     found = {x.page_id: x.text for x in htmltext.extracted(pages, htmltext.train(spark)).select("row.page_id", "text").collect()}
     right = total = 0
     for x in pages.collect():
@@ -704,4 +747,4 @@ def test_html_pages_of_the_table(spark):
             page = htmltext.Page(article[0])
             total += 1
             right += htmltext.page_text(page, np.ones(len(page.tag), bool)) == found[x.page_id]
-    assert total >= 20 and right >= 0.95 * total, (right, total)
+    assert total >= 20 and right == total, (right, total)
