@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.ml.classification import GBTClassifier
@@ -31,6 +32,11 @@ TREES, DEPTH, SEED = 40, 6, 42
 # text of the page, elements that start a block, and what closes an open <p>.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template title svg iframe object select datalist button textarea canvas audio video".split())
+#: Elements that end an open drawing, as in browsers.
+BREAKS = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span "
+    "strong strike sub sup table tt u ul var article main section nav header footer aside figure form".split()
+)
 #: What may stand in <head>; anything else ends it.
 HEAD = frozenset("head html base basefont bgsound link meta noframes noscript script style template title".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
@@ -58,6 +64,7 @@ NAMES += "length words links per_node stops depth nth nth_back siblings share pa
 
 #: As in browsers, a quote holds a value only right behind "="; elsewhere, or if it is never closed, the tag ends at the next ">".
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"'=]++|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>][^\s<>]*+)|[=\"'])*+)>", re.S)
+NAMED = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -71,7 +78,8 @@ class Page:
         self.pieces: list[tuple[int, str]] = []
         self.linked: list[int] = []
         stack: list[tuple[str, int]] = [("html", 0)]
-        hidden = links = at = 0
+        hidden = foreign = links = at = 0
+        closed = None
         in_head = False
         while True:
             found = TAG.search(source, at)
@@ -91,13 +99,19 @@ class Page:
                     in_head = False
                 if name in HIDDEN:
                     hidden = max(0, hidden - 1)
+                    foreign *= hidden > 0
                 elif name == "a":
                     links = 0
+                elif name == "foreignobject":
+                    foreign = int(hidden > 0)
                 elif name in BLOCK:
-                    self.close(stack, name)
+                    if foreign:
+                        hidden = foreign = 0
+                    if not hidden:
+                        self.close(stack, name)
                 continue
-            if name == "body" or name == "article":
-                hidden = 0
+            if name == "body" or name == "article" or (foreign and name in BREAKS):
+                hidden = foreign = 0
             if not hidden and name not in HEAD:
                 in_head = False
             if name == "head":
@@ -106,8 +120,11 @@ class Page:
                 if name in RAW:  # no elements inside: skip to its end
                     end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
                     at = end.end() if end else len(source)
-                elif not found[0].endswith("/>"):
+                elif not found[0].endswith("/>") and (hidden or name == "svg" or found.start() in (closed := self.closed(source) if closed is None else closed)):
                     hidden += 1
+                    foreign += name == "svg" and hidden == 1
+            elif name == "foreignobject":
+                foreign = 0  # elements of the page may stand in it
             elif name == "br":
                 if not hidden:
                     self.piece(stack[-1][1], " ", 0)
@@ -122,6 +139,30 @@ class Page:
                 self.tokens.append(self.attributes(found[3]))
                 stack.append((name, node))
 
+    @staticmethod
+    def closed(source: str) -> set[int]:
+        """Where the elements without text of the page begin that have an end tag, ahead of
+        the end of the block around them. One that has none holds nothing back."""
+        found, stack, open_ = set(), [], Counter()
+        at = 0
+        while m := NAMED.search(source, at):
+            at, name = m.end(), (m[2] or "").lower()
+            if name in RAW and not m[1]:
+                end = re.compile(rf"</{name}\b", re.I).search(source, at)
+                at = end.end() if end else len(source)
+            elif not m[1] and (name in HIDDEN or name in BLOCK):
+                stack.append((name, m.start()))
+                open_[name] += 1
+            elif m[1] and open_[name]:
+                while True:
+                    top, start = stack.pop()
+                    open_[top] -= 1
+                    if top == name:
+                        break
+                if name in HIDDEN:
+                    found.add(start)
+        return found
+
     def piece(self, node: int, text: str, linked: int) -> None:
         self.pieces.append((node, text))
         self.linked.append(linked)
