@@ -60,16 +60,18 @@ class UnigramTrie:
         self.children: dict[int, int] = {}
         self.best, self.tokens = [0.0], [0]
         self.terminal: dict[bytes, int] = {}
+        self.held = 0  # bytes of the terminals, about
 
     def count(self, word: bytes) -> int:
         """Tokens of a pre-token; inserts it if it is new."""
         known = self.terminal.get(word)
         if known is None:
-            if len(self.best) > self.limit:
+            if len(self.best) > self.limit or self.held > 48 * self.limit:
                 self.clear()
             known = self.insert(MARK + word.decode())
             if len(word) <= 4 * self.shared:
                 self.terminal[word] = known
+                self.held += len(word) + 64
         return known
 
     def insert(self, text: str) -> int:
