@@ -37,8 +37,10 @@ WORDS = (
     "http|https|www|com|org|net|html|json|python|java|spark|public|private|local|host|home|main|src|lib|bin|usr|var"
 )
 PATHS = "test|spec|example|sample|fixture|mock|doc"
-#: A value of 6 to 15 characters that is assigned to a key word.
-SHORT = rf"(?i)(?:{KEYWORDS})[A-Za-z0-9_]{{0,20}}[\"']?\s*[:=]\s*[\"']?([^\s\"'`,;<>(){{}}\[\]]{{6,15}})(?![^\s\"'`,;<>(){{}}\[\]])"
+#: A value that is assigned to a key word: all up to the closing quote, or up to a sign
+#: that ends a value without quotes.
+VALUE = r"[^\s\"'`,;<>(){}\[\]]"
+ASSIGNED = rf"(?i)(?:{KEYWORDS})[A-Za-z0-9_]{{0,20}}[\"']?\s*[:=]\s*[\"']?((?<=\")[^\"\s]{{6,}}(?=\")|(?<=')[^'\s]{{6,}}(?=')|{VALUE}{{6,}}+(?!{VALUE}))"
 CASES = "[a-z][A-Z].*[a-z][A-Z].*[a-z][A-Z].*[a-z][A-Z]"
 #: Words of the corpus that make the dictionary, the commonest ones.
 DICTIONARY = 400
@@ -95,7 +97,7 @@ def pieces(word: Column) -> Column:
 def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     """(row, position, run, offset, word, before, after, path, value): one row for
     each candidate. position counts the text's words from 0, run the word's runs
-    from 0 (-1: a short assigned value), offset is the value's first character in
+    from 0 (-1: an assigned value in which no run is a candidate), offset is the value's first character in
     the word. word is the piece around the value; neighbours are pieces too, of the
     same word or of others."""
     text = F.coalesce(F.col("row.text"), F.lit(""))
@@ -107,14 +109,14 @@ def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     # what is assigned may stand in the next words: key, sign and value are joined
     assigns = lambda x, i: F.contains(x.piece, F.lit("=")) | F.contains(x.piece, F.lit(":")) | F.get("pieces", i - 1).piece.rlike("[=:][\"']?$")
     joined = lambda x, i: F.concat(
-        F.when(~x.piece.rlike(f"(?i){KEYWORDS}"), F.concat_ws(" ", F.get("pieces", i - 2).piece, F.get("pieces", i - 1).piece, F.lit(""))).otherwise(F.lit("")), x.piece
+        F.when(~x.piece.rlike(f"(?i)(?:{KEYWORDS})[A-Za-z0-9_]{{0,20}}[\"']?[:=]"), F.concat_ws(" ", F.get("pieces", i - 2).piece, F.get("pieces", i - 1).piece, F.lit(""))).otherwise(F.lit("")), x.piece
     )
-    short = lambda x, i: F.when((F.length(x.piece) >= 6) & assigns(x, i), F.regexp_extract_all(joined(x, i), F.lit(SHORT), 1))
+    values = lambda x, i: F.when((F.length(x.piece) >= 6) & assigns(x, i), F.regexp_extract_all(joined(x, i), F.lit(ASSIGNED), 1))
     place = lambda i, run, value: F.struct(i.alias("i"), run.alias("run"), value.alias("value"))
     none = F.array().cast("array<struct<i: int, run: int, value: string>>")
     found = F.transform("pieces", lambda x, i: F.concat(
         F.when(looks(x.piece), F.array(place(i, x.run, F.regexp_extract(x.piece, CANDIDATE, 0)))).otherwise(none),
-        F.coalesce(F.transform(F.filter(short(x, i), lambda v: F.contains(x.piece, v)), lambda v: place(i, F.lit(-1), v)), none),
+        F.coalesce(F.transform(F.filter(values(x, i), lambda v: F.contains(x.piece, v) & ~looks(v)), lambda v: place(i, F.lit(-1), v)), none),
     ))
     each = rows.select("row", "pieces", F.explode(F.flatten(found)).alias("place")).select("row", "pieces", "place.*")
     where = F.col(f"row.{path}").cast("string") if path else F.lit("")
