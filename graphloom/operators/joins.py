@@ -69,7 +69,7 @@ def file_mentions(texts: DataFrame, files: DataFrame) -> DataFrame:
     with characters such as brackets, spaces or accents. Texts and names are cut into
     tokens in the same way; each name's longest token is joined by equality, and only
     names of more than that token are then looked for in the text. A name without any
-    token is compared with every text."""
+    token is looked for in the runs between tokens in the same way."""
     lower = texts.select("text_id", F.lower("content").alias("content"))
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     named = files.select("file_id", name.alias("name")).filter("name <> ''").distinct()
@@ -84,7 +84,14 @@ def file_mentions(texts: DataFrame, files: DataFrame) -> DataFrame:
     pattern = F.concat(bound("^" + INSIDE, f"(?<!{INSIDE})"), quoted, bound(INSIDE + r"\z", f"(?!{INSIDE})"))
     maybe = pairs.filter("name <> word").select(F.col("text_id").alias("id"), "file_id", "name").distinct()
     held = lower.join(maybe, F.col("text_id").eqNullSafe(F.col("id"))).filter(F.contains("content", "name") & F.regexp_like("content", pattern))
-    odd = lower.join(named.filter("word is null"), F.contains("content", "name"))
+    # a name without any token lies inside a run of other characters: the runs' pieces of one
+    # and two characters meet the names' first ones, and each hit is then looked at
+    runs = F.array_distinct(F.regexp_extract_all("content", F.lit(BETWEEN), 0))
+    other = lower.select("text_id", F.explode(runs).alias("run"))
+    at = F.sequence(F.lit(1), F.length("run"))
+    pieces = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(F.substr("run", i, F.lit(1)), F.substr("run", i, F.lit(2))))))
+    signs = named.filter("word is null").select("file_id", "name", F.substring("name", 1, 2).alias("piece"))
+    odd = other.select("text_id", "run", F.explode(pieces).alias("piece")).join(signs, "piece").filter(F.contains("run", "name"))
     return sure.unionByName(held.select("text_id", "file_id")).unionByName(odd.select("text_id", "file_id")).distinct()
 
 
