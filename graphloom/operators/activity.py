@@ -135,8 +135,10 @@ def _near(asked: DataFrame, rows: DataFrame, span: int) -> DataFrame:
 
 def _latest(rows: DataFrame, most: int) -> DataFrame:
     """Of (decision, id, relation, ts) the ``most`` latest of each decision."""
-    top = F.slice(F.sort_array(F.collect_set(F.struct("ts", "id", "relation")), asc=False), 1, most)
-    return rows.groupBy("decision").agg(top.alias("x")).select("decision", F.explode("x").alias("x")).select("decision", "x.id", "x.relation")
+    # Spark keeps a rank limit within a window's group while it sorts
+    place = F.row_number().over(Window.partitionBy("decision").orderBy(F.desc("ts"), F.desc("id"), F.desc("relation")))
+    each = rows.select("decision", "ts", "id", "relation").distinct().withColumn("place", place)
+    return each.filter(F.col("place") <= most).select("decision", "id", "relation")
 
 
 def provenance(asked: DataFrame, nodes: DataFrame, edges: DataFrame, commits: DataFrame, messages: DataFrame, span: int = 14) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed weights of node types in importance rankings; other types weigh 1.
@@ -89,9 +89,9 @@ def centroids(points: DataFrame, labelled: int = 30) -> DataFrame:
     """(community, x, y, members, radius, labelled) from points (community, x, y)."""
     rows = points.groupBy("community").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("members"))
     radius = F.least(F.lit(64.0), 7 * F.sqrt(F.col("members")))
-    # one row for each community
-    rank = F.row_number().over(Window.orderBy(F.desc("members"), "community"))
-    return rows.withColumn("radius", radius).withColumn("labelled", rank <= labelled)
+    top = rows.orderBy(F.desc("members"), "community").limit(labelled).select("community", F.lit(True).alias("labelled"))
+    out = rows.withColumn("radius", radius).join(F.broadcast(top), "community", "left")  # ``labelled`` rows
+    return out.withColumn("labelled", F.coalesce("labelled", F.lit(False)))
 
 
 def contributors(commits: DataFrame) -> DataFrame:
