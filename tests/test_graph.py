@@ -169,3 +169,42 @@ def test_symbol_ends(spark):
     assert got == {("a.ts", "A", 1, 5, 5), ("a.ts", "g", 6, 8, 3), ("a.ts", "Long", 9, 81, 73), ("b.py", "f", 1, 6, 6), ("b.py", "C", 4, 6, 3)}
     long = spark.createDataFrame([("d.ts", "function f() {\n" + "y" * 9000 + "\n}")], "path string, content string")
     assert len(E.symbols(long).first().content) == 4000
+
+
+def test_whole_components_in_a_task(spark):
+    """Long chains, cycles and ends that are no nodes: by one task and by rounds alike,
+    and as brute force says."""
+    r = random.Random(1)
+    pairs = {(f"{c}{b}", f"{c}{a}") for c in "pq" for a in range(14) for b in range(a + 1, 15) if b == a + 1 or r.random() < 0.1}
+    pairs |= {("x1", "x2"), ("x2", "x1"), ("x3", "x1"), ("y1", "y1"), ("y2", "y1"), ("z1", "gone"), ("lost", "p0"), ("p0", "s")}
+    ids = sorted({x for p in pairs for x in p} - {"gone", "lost"}) + ["alone"]
+    e = edges(spark, [(s, t, "x") for s, t in sorted(pairs)] * 2)
+    depth = {}
+    for _ in ids:
+        depth |= {i: 1 + max((depth[t] for s, t in pairs if s == i), default=-1) for i in ids if all(t in depth for s, t in pairs if s == i)}
+    for local in (1000, 20):
+        got = G.topological(e, nodes(spark, ids), local).collect()
+        assert {x.id: x.depth for x in got} == {i: depth.get(i) for i in ids} and len(got) == len(ids)
+    for way, most in ((False, None), (True, 11)):
+        both = pairs | ({(t, s) for s, t in pairs} if way else set())
+        want, front = {"p14": 0}, {"p14"}
+        for hop in range(1, (most or 99) + 1):
+            front = {t for s, t in both if s in front} - set(want)
+            want |= dict.fromkeys(front, hop)
+        chain = [(s, t, "x") for s, t in sorted(both)]
+        for local in (1000, 0):
+            got = G.reach(edges(spark, chain), "p14", most, local=local).collect()
+            assert {x.id: x.distance for x in got} == want and len(got) == len(want)
+
+
+def test_rings_end_with_most(spark):
+    e = edges(spark, [(f"n{k}", f"n{k + 1}", "x") for k in range(14)])
+    got = {x.id: x.ring for x in G.ring_layout(nodes(spark, [f"n{k}" for k in range(15)]), e, "n0", most=12).collect()}
+    assert got == {f"n{k}": k if 0 < k <= 12 else 3 for k in range(15)}
+
+
+def test_contributors_of_all_commits(spark):
+    from graphloom.operators import index as I
+
+    commits = spark.range(1, 2102).selectExpr("'r' AS repo", "id AS seq", "'n' AS name", "'' AS email")
+    assert [x.commits for x in I.contributors(commits, None).collect()] == [2101] and [x.commits for x in I.contributors(commits).collect()] == [2000]
