@@ -60,14 +60,16 @@ def task_mentions(files: DataFrame, known: DataFrame, least: int = 4) -> tuple[D
     return nodes, edge(hits, F.col("file_id"), F.col("text_id"), "tracked_by")
 
 
-def contributors(commits: DataFrame, most: int = 2000) -> DataFrame:
+def contributors(commits: DataFrame, most: int | None = 2000) -> DataFrame:
     """(repo, person, name, email, commits) from commits (repo, seq, name, email): of
-    a repo's last ``most`` commits, how many each person made. A person is known by
-    the mail address, else by name."""
+    a repo's last ``most`` commits (None: of all), how many each person made. A person is
+    known by the mail address, else by name."""
     key = F.coalesce(F.when(F.col("email") != "", F.col("email")), F.when(F.col("name") != "", F.col("name")))
-    total = commits.groupBy("repo").agg(F.count(F.lit(1)).alias("total"))
-    # seq counts up from 1 in a repo, so the last ones are found without sorting them
-    recent = commits.join(total, "repo").filter(F.col("seq") > F.col("total") - most)
+    recent = commits
+    if most is not None:
+        total = commits.groupBy("repo").agg(F.count(F.lit(1)).alias("total"))
+        # seq counts up from 1 in a repo, so the last ones are found without sorting them
+        recent = commits.join(total, "repo").filter(F.col("seq") > F.col("total") - most)
     rows = recent.select("repo", "seq", key.alias("key"), "name", "email").filter("key is not null")
     per = rows.groupBy("repo", "key").agg(F.count(F.lit(1)).alias("commits"), F.max_by(F.struct("name", "email"), "seq").alias("x"))
     return per.select("repo", F.concat(F.lit("person::"), "key").alias("person"), "x.name", "x.email", "commits")
@@ -117,11 +119,17 @@ def identity_graph(repos: DataFrame, people: DataFrame, user: str | None, root:
     return nodes, persons, edges
 
 
+def import_edges(files: DataFrame) -> DataFrame:
+    """``imports`` edges between modules (path, content)."""
+    modules = files.filter(F.col("path").rlike(MODULES))
+    pairs = resolve_imports(specifiers(modules), files.select("path"))
+    named = lambda c: F.concat(F.lit("file::"), c)
+    return edge(pairs, named("source"), named("target"), "imports", confidence=0.9)
+
+
 def index_relations(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``imports`` edges between modules (path, content), and the communities of more
     than one module that they make."""
+    edges = import_edges(files)
     modules = files.filter(F.col("path").rlike(MODULES))
-    pairs = resolve_imports(specifiers(modules), files.select("path"))
-    named = lambda c: F.concat(F.lit("file::"), c)
-    edges = edge(pairs, named("source"), named("target"), "imports", confidence=0.9)
-    return edges, communities(modules.select(named("path").alias("id")), edges)
+    return edges, communities(modules.select(F.concat(F.lit("file::"), "path").alias("id")), edges)
