@@ -31,6 +31,9 @@ from graphloom.llm.base import annotate, as_rows, cut, table, unpack
 
 BITS = 4
 GROUP = 4096
+#: Joins of tables that grow with the documents are said to be merges: a table under Spark's
+#: limit of broadcasts would pass through the driver, where it takes several times its size.
+JOIN = "merge"
 WORDS = 4
 SEED = 42
 
@@ -102,7 +105,7 @@ def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
     all pairs at distance 4 or less."""
     placed = anchors(fps)
     sizes = placed.groupBy("anchor").count().filter("count > 1")
-    sized = placed.join(sizes.select("anchor", F.ceil(F.col("count") / group).cast("int").alias("blocks")), "anchor")
+    sized = placed.join(sizes.select("anchor", F.ceil(F.col("count") / group).cast("int").alias("blocks")).hint(JOIN), "anchor")
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     dealt = sized.withColumn("mine", mine).select(
         "fp", "anchor", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -142,7 +145,7 @@ def components(edges: DataFrame) -> DataFrame:
         hooks = both.groupBy("a").agg(F.min(rank).getField("b").alias("b"), F.min(rank).alias("r"))
         hooks = hooks.select(F.col("a").alias("node"), F.when(F.col("r") < own, F.col("b")).otherwise(F.col("a")).alias("root"))
         hooks = cut(hooks, "hooks")
-        to = lambda c: hooks.select(F.col("node").alias(c), F.col("root").alias(f"{c}2"))  # noqa: E731, B023
+        to = lambda c: hooks.select(F.col("node").alias(c), F.col("root").alias(f"{c}2")).hint(JOIN)  # noqa: E731, B023
         edges = cut(
             edges.join(to("a"), "a").join(to("b"), "b")
             .select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).filter("a <> b").distinct(),
@@ -152,7 +155,7 @@ def components(edges: DataFrame) -> DataFrame:
             found = hooks
         else:
             newer = hooks.select(F.col("node").alias("root"), F.col("root").alias("newer"))
-            found = cut(found.join(newer, "root", "left").select("node", F.coalesce("newer", "root").alias("root")), "roots")
+            found = cut(found.join(newer.hint(JOIN), "root", "left").select("node", F.coalesce("newer", "root").alias("root")), "roots")
         turn += 1
     return found if found is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
@@ -173,9 +176,9 @@ def classes(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     rows = cut(rows, "fingerprints")
     distinct = cut(rows.groupBy("fp").agg(F.min("row.doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select("fp"))).withColumnsRenamed({"node": "fp"})
-    rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    return rows.join(named, "fp")
+    rooted = distinct.join(roots.hint(JOIN), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")).hint(JOIN), "root")
+    return rows.join(named.hint(JOIN), "fp")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,11 +198,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     stay = cut(found.groupBy("root").agg(first.alias("f")).select("f.id", "f.key"), "stay")
     same = lambda keys: F.col("row.doc_id").eqNullSafe(keys["id"]) & (F.xxhash64("row.text") == keys["key"])
     rows = as_rows(docs)
-    chosen = rows.join(stay, same(stay), "left_semi")
+    chosen = rows.join(stay.hint(JOIN), same(stay), "left_semi")
     often = found.groupBy(F.col("row.doc_id").alias("id"), "key").count().filter("count > 1").drop("count")
     often = cut(often, "repeated")
     if not often.isEmpty():
         one = F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row")  # partial, so a hot row stays small
-        several = chosen.join(often, same(often), "left_semi").groupBy(F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("key"))
-        chosen = chosen.join(often, same(often), "left_anti").unionByName(several.agg(one).select("row"))
+        several = chosen.join(often.hint(JOIN), same(often), "left_semi").groupBy(F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("key"))
+        chosen = chosen.join(often.hint(JOIN), same(often), "left_anti").unionByName(several.agg(one).select("row"))
     return unpack(chosen, docs.columns)

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from test_operators import brute_components, brute_fingerprint, brute_overlap, brute_quality
 
@@ -75,3 +77,13 @@ def test_stages_on_edge_tables(spark, tmp_path):
             got = found.collect()
             assert found.columns[: len(docs.columns)] == docs.columns and (len(got) > 0) == bool(least), name
             assert all(x["row"] == "own" and x["tags"] == {"a": 1} for x in got)
+
+
+def test_near_dedup_sends_no_table_through_the_driver(spark):
+    """Tables that grow with the documents are joined by merges, however small they are."""
+    from graphloom.llm import simhash as S
+
+    docs = spark.createDataFrame([(k, f"a b c d e {k // 2}") for k in range(20)], "doc_id long, text string")
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    for frame in (S.links(edges.select(F.col("a").alias("fp"))), S.components(edges), S.classes(docs, ["doc_id"]), S.near_dedup_stage(spark, docs, "")):
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
