@@ -10,16 +10,18 @@ from graphloom.plans.queries import TOOL_SQL, query
 from graphloom.sources.tables import fresh_path
 from graphloom.streaming import live as L
 
-#: Files of a micro-batch.
-FILES = 2
+#: Files of a micro-batch, at least, and rows of a file, at least, if there are more.
+FILES, ROWS = 2, 1000
 
 
 def as_stream(parts: list[DataFrame], label: str) -> DataFrame:
-    """A stream of the given parts, one after the other, a micro-batch for each."""
+    """A stream of the given parts, one after the other, a micro-batch for each. A part
+    has as many files as its input has tasks, none of them empty."""
     spark, path = parts[0].sparkSession, fresh_path(parts[0].sparkSession, label)
+    files = max(FILES, min(parts[0].rdd.getNumPartitions(), *(part.count() // ROWS for part in parts)))
     for part in parts:
-        part.repartition(FILES).write.mode("append").parquet(path)
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", FILES).parquet(path)
+        part.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def to_its_end(stream: DataFrame, mode: str, label: str) -> DataFrame:

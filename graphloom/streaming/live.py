@@ -81,10 +81,15 @@ def live_session_ends(events: DataFrame, idle_ms: int = IDLE_MS, late: str = "10
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for session, part in batch.groupby("session_id", dropna=False, sort=False):
-                ts = part["ts"].to_numpy(np.int64)
-                starts, lasts, counts = joined_runs(ts, ts, np.ones(len(ts), np.int64), idle_ms)
-                yield pd.DataFrame({"session_id": None if pd.isna(session) else session, "start": starts, "last": lasts, "n": counts})
+            # all sessions of the batch at once: it may hold as many of them as events
+            codes, names = pd.factorize(batch["session_id"], use_na_sentinel=False)
+            ts = batch["ts"].to_numpy(np.int64)
+            order = np.lexsort((ts, codes))
+            codes, ts = codes[order], ts[order]
+            first = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (ts[1:] - ts[:-1] > idle_ms))[: len(ts)])
+            last = np.append(first[1:], len(ts))[: len(first)] - 1
+            session = pd.Series(names[codes[first]], dtype=object)
+            yield pd.DataFrame({"session_id": session.where(session.notna(), None), "start": ts[first], "last": ts[last], "n": last - first + 1})
 
     def settle(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         runs = [np.array(x, np.int64) for x in (state.get if state.exists else ([], [], []))]

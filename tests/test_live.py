@@ -141,3 +141,14 @@ def test_bursts(spark, tmp_path):
     finally:
         q.stop()
     assert told == [[(0, "warm.md")], [(1, f"f{k}.md") for k in range(5)], [(2, "second.md")]]
+
+
+def test_many_sessions_in_a_batch(spark, tmp_path):
+    """Batches of as many sessions as events are put together at once, nulls too."""
+    r = random.Random(8)
+    events = [(None if k % 50 == 0 else f"s{r.randrange(4000)}", r.randint(0, 20_000)) for k in range(8000)]
+    spark.createDataFrame([*events, ("end", 90_000)], "session_id string, ts long").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("session_id string, ts long").parquet(f"{tmp_path}/in")
+    found = []
+    L.live_session_ends(stream, 1000, "300 milliseconds").writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(lambda df, _: found.extend(map(tuple, df.collect()))).start().awaitTermination()
+    assert sorted(found, key=str) == sorted(brute_runs(events, 1000), key=str)
