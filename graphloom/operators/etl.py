@@ -95,13 +95,17 @@ def symbols(files: DataFrame) -> DataFrame:
     found = each.select("path", kind.alias("type"), name.alias("name"), "pos", "n", "line").filter(F.col("name").rlike("^[^_0-9]"))
     most, else_ = SYMBOL_LINES
     here = found.groupBy("path").agg(F.collect_list(F.struct("type", "name", "pos", "n", "line")).alias("defs"))
-    rows = split.join(here, "path").select("path", "all", F.explode("defs").alias("d")).select("path", "all", "d.*")
-    indent = F.length(F.regexp_extract("line", r"^\s*", 0))
-    after = F.slice("all", F.col("pos") + 2, most - 1)
-    closes = F.array_position(F.transform(after, lambda x: x.rlike(r"^\s*[)}]\s*[;,]?\s*$") & (F.length(F.regexp_extract(x, r"^\s*", 0)) <= indent)), F.lit(True))
-    end = F.when(closes > 0, F.col("pos") + closes).otherwise(F.least(F.col("n") - 1, F.col("pos") + else_))
-    content = F.substring(F.array_join(F.slice("all", F.col("pos") + 1, (end - F.col("pos") + 1).cast("int")), "\n"), 1, SYMBOL_CHARS)
-    return rows.select("path", "type", "name", (F.col("pos") + 1).alias("line"), (end + 1).cast("int").alias("end_line"), content.alias("content"))
+    # each definition looks at the lines behind it while its file is one row: a row for each
+    # with the whole file would grow with the square of the file
+    closing = lambda x, d: x.rlike(r"^\s*[)}]\s*[;,]?\s*$") & (F.length(F.regexp_extract(x, r"^\s*", 0)) <= F.length(F.regexp_extract(d.line, r"^\s*", 0)))
+    closes = lambda d: F.array_position(F.transform(F.slice("all", d.pos + 2, most - 1), lambda x: closing(x, d)), F.lit(True))
+    at = lambda d, c: F.when(c > 0, d.pos + c).otherwise(F.least(d.n - 1, d.pos + else_))
+    text = lambda d: F.substring(F.array_join(F.slice("all", d.pos + 1, (d.end - d.pos + 1).cast("int")), "\n"), 1, SYMBOL_CHARS)
+    rows = split.join(here, "path")
+    rows = rows.withColumn("defs", F.transform("defs", lambda d: F.struct(d.type.alias("type"), d["name"].alias("name"), d.pos.alias("pos"), d.n.alias("n"), closes(d).alias("closes"))))
+    rows = rows.withColumn("defs", F.transform("defs", lambda d: F.struct(d.type.alias("type"), d["name"].alias("name"), d.pos.alias("pos"), at(d, d.closes).alias("end"))))
+    rows = rows.select("path", F.inline(F.transform("defs", lambda d: F.struct(d.type.alias("type"), d["name"].alias("name"), d.pos.alias("pos"), d.end.alias("end"), text(d).alias("content")))))
+    return rows.select("path", "type", "name", (F.col("pos") + 1).alias("line"), (F.col("end") + 1).cast("int").alias("end_line"), "content")
 
 
 # The four ways in which a module names another by a relative path.

@@ -4,6 +4,7 @@ file says in which symbol's block each of them lies."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,23 +19,31 @@ CONFIDENCE = {"extends": 0.8, "implements": 0.8, "calls": 0.7, "uses": 0.7}
 NAME = r"[A-Za-z_$][\w$]*"
 
 
+def around(lines: list[int], ends: list[int]) -> list[int | None]:
+    """The place of the innermost block that is open where each one begins."""
+    found, open_ = [], []
+    for k, line in enumerate(lines):
+        while open_ and ends[open_[-1]] < line:
+            open_.pop()
+        found.append(open_[-1] if open_ else None)
+        open_.append(k)
+    return found
+
+
 def nested(blocks: DataFrame) -> DataFrame:
     """Blocks (path, line, end_line, id) with ``parent``, the innermost block that is open
     where one begins (of those that begin in one line, the longest is the outermost).
     One pass over a file's blocks in order, with a stack of the open ones."""
-    block = F.struct("line", (-F.col("end_line")).alias("to"), "id")
-    rows = blocks.groupBy("path").agg(F.sort_array(F.collect_list(block)).alias("b"))
-    open_ = "array<struct<to: int, id: string>>"
-    found = "array<struct<line: int, end_line: int, id: string, parent: string>>"
 
-    def step(s: Column, b: Column) -> Column:
-        left = F.filter(s.open, lambda x: x.to >= b.line)
-        parent = F.when(F.size(left) > 0, F.element_at(left, -1).id)
-        one = F.struct(b.line.alias("line"), (-b.to).cast("int").alias("end_line"), b.id.alias("id"), parent.alias("parent"))
-        return F.struct(F.concat(left, F.array(F.struct((-b.to).cast("int").alias("to"), b.id.alias("id")))).alias("open"), F.concat(s.found, F.array(one)).alias("found"))
+    @F.pandas_udf("array<int>")
+    def parents(lines: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([around(a.tolist(), b.tolist()) for a, b in zip(lines, ends)], dtype=object)
 
-    start = F.struct(F.array().cast(open_).alias("open"), F.array().cast(found).alias("found"))
-    return rows.select("path", F.inline(F.aggregate("b", start, step, lambda s: s.found)))
+    block = F.struct("line", (-F.col("end_line")).alias("to"), "id")
+    rows = blocks.groupBy("path").agg(F.sort_array(F.collect_list(block)).alias("b"))
+    ordered = rows.select("path", "b", parents(F.transform("b", lambda x: x.line), F.transform("b", lambda x: -x.to)).alias("p"))
+    one = lambda b, p: F.struct(b.line.alias("line"), (-b.to).cast("int").alias("end_line"), b.id.alias("id"), F.get(F.col("b"), p).id.alias("parent"))
+    return ordered.select("path", F.inline(F.zip_with("b", "p", one)))
 
 
 def innermost(blocks: DataFrame, places: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import activity as AC
 from graphloom.operators import labels as LB
 from graphloom.operators import relations as R
+from graphloom.operators.etl import symbols
 from graphloom.sources import document as DOC
 from graphloom.sources.tables import SCHEMAS
 
@@ -172,3 +173,38 @@ def test_foreign_document(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{no json")
     with pytest.raises(Exception, match="MALFORMED|INVALID|parse"):
         DOC.import_document(spark, str(tmp_path / "bad.json"))["nodes"].select(F.count("id")).collect()
+
+
+def test_blocks_of_a_long_file(spark):
+    """The work for a file grows with its blocks, not with their square."""
+    import time
+
+    n = 6000
+    text = "".join(f"class A{k} {{\n  run() {{\n  }}\n}}\n" for k in range(n))
+    files = spark.createDataFrame([("a.ts", text)], "path string, content string")
+    began = time.time()
+    found = R.nested(symbols(files).select("path", "line", "end_line", F.col("name").alias("id"))).collect()
+    assert sorted((x.line, x.end_line, x.id, x.parent) for x in found) == [(4 * k + 1, 4 * k + 4, f"A{k}", None) for k in range(n)]
+    assert time.time() - began < 30
+    inner = spark.createDataFrame([("f", 1, 9, "a"), ("f", 2, 5, "b"), ("f", 2, 3, "c"), ("f", 4, 4, "d"), ("f", 7, 8, "e"), ("f", 12, 12, "g")], "path string, line int, end_line int, id string")
+    assert {x.id: x.parent for x in R.nested(inner).collect()} == {"a": None, "b": "a", "c": "b", "d": "b", "e": "a", "g": None}
+
+
+def test_document_by_lines(spark, tmp_path):
+    """A document of many lines is read by many tasks; of others, any form is read."""
+    rows = spark.range(3000).selectExpr("concat('n', id) AS id", "'{\"x\": [' AS label", "'], , {' AS content")
+    DOC.export_document({"nodes": rows, "edges": rows.selectExpr("id AS source", "'n1' AS target")}, f"{tmp_path}/out", "w", 1)
+    (file,) = [p for p in (tmp_path / "out").iterdir() if p.suffix == ".txt"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found, whole = DOC.by_lines(spark, f"{tmp_path}/out")
+        assert not whole and {x.part: x["count"] for x in found.groupBy("part").count().collect()} == {"nodes": 3000, "edges": 3000}
+        assert found.rdd.getNumPartitions() > 5
+        (tmp_path / "both").mkdir()
+        (tmp_path / "both/a.json").write_bytes(file.read_bytes())
+        (tmp_path / "both/b.json").write_text(json.dumps({"nodes": [{"id": "one"}], "edges": []}, indent=1))
+        back = DOC.import_document(spark, f"{tmp_path}/both")
+        assert back["nodes"].filter("label = '{\"x\": [' AND content = '], , {'").count() == 3000 and back["nodes"].count() == 3001 and back["edges"].count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
