@@ -77,11 +77,15 @@ LEAST_LETTERS, MOST_WORDS = 4, 6
 
 
 def decision_words(decisions: DataFrame) -> DataFrame:
-    """(id, word): the first six different words of four letters or more in label and
+    """(id, words): the first six different words of four letters or more in label and
     content of each decision, without the common ones. Null texts are empty."""
     text = F.lower(F.concat_ws(" ", F.coalesce("label", F.lit("")), F.coalesce("content", F.lit(""))))
     words = F.filter(F.split(text, "[^a-z0-9]+"), lambda w: (F.length(w) >= LEAST_LETTERS) & ~w.isin(COMMON))
-    return decisions.select("id", F.explode(F.slice(F.array_distinct(words), 1, MOST_WORDS)).alias("word"))
+    return decisions.select("id", F.slice(F.array_distinct(words), 1, MOST_WORDS).alias("words"))
+
+
+#: Bits of a number that stand for commits.
+BITS = 63
 
 
 def decision_commits(decisions: DataFrame, commits: DataFrame, last: int = 60, limit: int = 5) -> DataFrame:
@@ -91,21 +95,32 @@ def decision_commits(decisions: DataFrame, commits: DataFrame, last: int = 60, l
 
     A word may stand inside a longer one. Both are runs of letters and digits, so it is
     enough to look into the log's words: an index of their four-letter pieces meets the
-    decisions' words by the first four letters, and each hit is then looked at."""
-    words = decision_words(decisions)
-    recent = commits.orderBy(F.desc("seq")).limit(last)
+    decisions' words by the first four letters, and each hit is then looked at. A word
+    brings the commits that hold it as bits, so a decision is a row for each of its words
+    and not for each of the commits, and decisions are dealt by id before that."""
+    dealt = decision_words(decisions).repartition("id")
+    by_seq = Window.orderBy(F.desc("seq"))  # the last commits alone
+    recent = commits.orderBy(F.desc("seq")).limit(last).withColumn("place", F.dense_rank().over(by_seq) - 1)
     runs = F.array_distinct(F.split(F.lower("subject"), "[^a-z0-9]+"))
-    held = recent.select("seq", F.explode(runs).alias("run")).filter(F.length("run") >= LEAST_LETTERS)
+    held = recent.select("place", F.explode(runs).alias("run")).filter(F.length("run") >= LEAST_LETTERS)
     at = F.sequence(F.lit(1), F.length("run") - LEAST_LETTERS + 1)
     pieces = held.select("run").distinct().select("run", F.explode(F.array_distinct(F.transform(at, lambda i: F.substr("run", i, F.lit(LEAST_LETTERS))))).alias("piece"))
-    asked = words.select("word").distinct().withColumn("piece", F.substring("word", 1, LEAST_LETTERS))
-    inside = asked.join(pieces, "piece").filter(F.contains("run", "word")).select("word", "run")
-    hits = inside.join(held, "run").select("word", "seq").distinct()
+    asked = dealt.select(F.explode("words").alias("word")).distinct().withColumn("piece", F.substring("word", 1, LEAST_LETTERS))
+    inside = asked.join(F.broadcast(pieces), "piece").filter(F.contains("run", "word")).select("word", "run")
+    places = inside.join(F.broadcast(held), "run").groupBy("word").agg(F.collect_set("place").alias("places"))
     total = recent.agg(F.count(F.lit(1)).alias("total"))
-    useful = hits.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).filter("n * 2 <= total").select("word")  # one row
-    scored = words.join(hits.join(useful, "word", "left_semi"), "word").groupBy("id", "seq").agg(F.count(F.lit(1)).alias("hits"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("hits"), F.desc("seq")))
-    return scored.withColumn("place", place).filter(F.col("place") <= limit).select("id", "seq", "hits")
+    useful = places.join(F.broadcast(total)).filter(F.size("places") * 2 <= F.col("total"))  # one row
+    groups = F.sequence(F.lit(0), F.lit((last - 1) // BITS))
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p % BITS)
+    bits = F.transform(groups, lambda g: F.aggregate(F.filter("places", lambda p: F.floor(p / BITS) == g), F.lit(0).cast("long"), lambda s, p: s + bit(p)))
+    # words that stand in the last commits: no more than the parts of their words
+    index = F.broadcast(useful.select("word", bits.alias("bits")))
+    found = dealt.select("id", F.explode("words").alias("word")).join(index, "word").groupBy("id").agg(F.collect_list("bits").alias("b"))
+    hits = lambda p: F.aggregate("b", F.lit(0).cast("long"), lambda n, x: n + F.getbit(F.get(x, F.floor(p / BITS).cast("int")), p % BITS))
+    scored = F.transform(F.sequence(F.lit(0), F.lit(last - 1)), lambda p: F.struct(hits(p).alias("hits"), (-p).alias("back")))
+    best = F.slice(F.sort_array(F.filter(scored, lambda x: x.hits > 0), asc=False), 1, limit)
+    seqs = recent.select((-F.col("place")).alias("back"), "seq").distinct()
+    return found.select("id", F.inline(best)).join(F.broadcast(seqs), "back").select("id", "seq", "hits")
 
 
 def provenance_confidence(rows: DataFrame) -> DataFrame:
