@@ -6,6 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Tasks, at least, that rows are dealt to before each is kept by a key of its own. Up to
+#: 200 Spark writes a shuffle without holding rows.
+TASKS = 200
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys to many tasks, so that what one of them keeps stays small."""
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(TASKS, most), *keys)
+
+
 def all_neighbors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, neighbor, neighbor_label, relation, direction) for every edge end."""
     ends = nodes.select(F.col("id").alias("neighbor"), F.col("label").alias("neighbor_label"))

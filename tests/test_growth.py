@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import activity as AC
+from graphloom.operators import graph as G
 
 
 def planned(rows) -> str:
@@ -32,3 +33,28 @@ def test_decision_commits_are_not_rows(spark, last):
     assert {tuple(r) for r in got.collect()} == want
     # decisions are dealt by id before they meet words, and no row is kept for each decision and commit
     assert "hashpartitioning(id, seq" not in planned(got) and "REPARTITION_BY_COL" in planned(got)
+
+
+def test_two_paths_of_edges_in_both_ways(spark):
+    rows = [(f"n{k % 7}", f"n{(k * k + 3) % 11}", r, 1.0) for k in range(60) for r in ("owns", "generated", "other")] + [("n3", "n5", "owns", 2.0), ("n5", "n3", "owns", 1.0)]
+    edges = spark.createDataFrame(rows, "source string, target string, relation string, weight double")
+    around = {}
+    for s, t, r, _ in rows:
+        if s != t and r != "other":
+            around.setdefault(s, set()).add(t)
+            around.setdefault(t, set()).add(s)
+    got = G.two_paths(edges, ["owns", "generated"])
+    assert {tuple(r) for r in got.collect()} == {(m, len(x) * (len(x) - 1) // 2) for m, x in around.items() if len(x) > 1}
+    # pairs are dealt to many tasks before they are put together: nothing is kept where they are read
+    text = planned(got)
+    assert text.rindex("REPARTITION_BY_NUM") > text.rindex("HashAggregate")
+    some = spark.createDataFrame([("n3",), ("n5",), ("n5",), ("none",)], "id string")
+    paths = G.paths_through(edges, ["owns", "generated"], some)
+    assert sorted(map(tuple, paths.collect())) == sorted((a, m, b) for m in ("n3", "n5") for a in around[m] for b in around[m] if a < b)
+
+
+def test_paths_through_reads_only_what_is_asked(spark):
+    sums = spark.range(100).select(F.col("id") % 10, F.col("id") % 7).toDF("s", "t").groupBy("s", "t").count()
+    edges = sums.select(F.concat(F.lit("s"), "s").alias("source"), F.concat(F.lit("t"), "t").alias("target"), F.lit("owns").alias("relation"))
+    text = planned(G.paths_through(edges, ["owns"], spark.createDataFrame([("t3",)], "id string")))
+    assert text.rindex("LeftSemi") > text.rindex("HashAggregate")  # below the sums
