@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import activity as AC
 from graphloom.operators import graph as G
+from graphloom.sources import tables
 
 
 def planned(rows) -> str:
@@ -58,3 +59,26 @@ def test_paths_through_reads_only_what_is_asked(spark):
     edges = sums.select(F.concat(F.lit("s"), "s").alias("source"), F.concat(F.lit("t"), "t").alias("target"), F.lit("owns").alias("relation"))
     text = planned(G.paths_through(edges, ["owns"], spark.createDataFrame([("t3",)], "id string")))
     assert text.rindex("LeftSemi") > text.rindex("HashAggregate")  # below the sums
+
+
+def test_components_put_ever_fewer_pairs_together(spark, monkeypatch):
+    written = []
+
+    def cut(df, name="step"):
+        out = tables.cut(df, name)
+        if name == "pairs":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "cut", cut)
+    chain = [(f"p{k}", f"p{k + 1}", "x", 1.0) for k in range(400) if k % 100] + [("loop", "loop", "x", 1.0), ("gone", "p3", "x", 1.0)]
+    ids = [f"p{k}" for k in range(401)] + ["loop", "alone"]
+    nodes = spark.createDataFrame([(i,) for i in [*ids, "alone"]], "id string")
+    first = lambda k: min(f"p{j}" for j in range(401) if (j - 1) // 100 == (k - 1) // 100)
+    want = {i: first(int(i[1:])) if i[0] == "p" else i for i in ids}
+    for local in (20, 1000):
+        written.clear()
+        rows = G.components(nodes, spark.createDataFrame(chain, "source string, target string, relation string, weight double"), local).collect()
+        assert {r.id: r.component for r in rows} == want and len(rows) == len(ids)
+        # chains are about halved by each round, and none follows the last few edges
+        assert written[-1] <= local and all(b < 0.8 * a for a, b in zip(written, written[1:])) and (len(written) > 2) == (local == 20)
