@@ -82,3 +82,18 @@ def test_components_put_ever_fewer_pairs_together(spark, monkeypatch):
         assert {r.id: r.component for r in rows} == want and len(rows) == len(ids)
         # chains are about halved by each round, and none follows the last few edges
         assert written[-1] <= local and all(b < 0.8 * a for a, b in zip(written, written[1:])) and (len(written) > 2) == (local == 20)
+
+
+def test_communities_find_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for part in batches:
+            seen.add(len(part))
+            yield part
+
+    rows = [(f"p{k}", f"p{k + 1}") for k in range(50)] + [("p3", "p2"), ("p4", "p4"), ("x", "gone")]
+    edges = spark.createDataFrame(rows, "source string, target string").mapInPandas(count, "source string, target string")
+    nodes = spark.createDataFrame([(f"p{k}",) for k in range(51)] + [("x",)], "id string")
+    assert [tuple(r) for r in G.communities(nodes, edges).collect()] == [("p0", 51, 50, 1.0)]
+    assert seen.value == len(rows)
