@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.sources.tables import spread
+
 # Relations of an organisation chart, and what marks a writing tool.
 ORG_RELATIONS = ["contributes_to", "works_in", "owns", "depends_on"]
 WRITING = "write|replace"
@@ -198,6 +200,7 @@ def evidence_confidence(asked: DataFrame, evidence: DataFrame) -> DataFrame:
     return provenance_confidence(rows.withColumn("content", F.coalesce(F.col("content") != "", F.lit(False)))).select("id", "confidence")
 
 
-def merge_first(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old rows and the new ones of keys that are not there yet, each once."""
-    return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti").select(*old.columns))
+def merge_first(old: DataFrame, new: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
+    """Old rows and the new ones of keys that are not there yet, each once; new rows are
+    kept by key in ``tasks`` tasks, if given."""
+    return old.unionByName(spread(new, tasks, *keys).dropDuplicates(keys).join(old.select(*keys), keys, "left_anti").select(*old.columns))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import activity as AC
 from graphloom.plans.canonical import load
-from graphloom.plans.queries import _t, epoch_ms, query
+from graphloom.plans.queries import _t, epoch_ms, item_tasks, query
 
 
 @query(
@@ -90,4 +90,4 @@ def _(spark, d):
 @query("gr12_merge_first", "SELECT source, target, relation, weight FROM imports UNION ALL SELECT source, target, min(relation), 9.0 FROM edges WHERE relation = 'generated' AND (source, target) NOT IN (SELECT (source, target) FROM imports) GROUP BY 1, 2", "imports", "edges")
 def _(spark, d):
     imports, edges = _t(spark, d, "imports", "edges")
-    return AC.merge_first(imports, edges.filter("relation = 'generated'").withColumn("weight", F.lit(9.0)), ["source", "target", "relation"])
+    return AC.merge_first(imports, edges.filter("relation = 'generated'").withColumn("weight", F.lit(9.0)), ["source", "target", "relation"], item_tasks(spark, d))
