@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.sources.tables import cut
+from graphloom.sources.tables import cut, spread
 
 # The type that an id prefix stands for when only the id is known.
 STUB_TYPES = {
@@ -56,16 +56,17 @@ def stub_label(node_id: Column) -> Column:
     return F.substring_index(F.substring_index(node_id, "::", -1), "/", -1)
 
 
-def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
-    """Edges that are not there yet, the first (seq) of each source, target and relation."""
+def add_edges(edges: DataFrame, new: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Edges that are not there yet, the first (seq) of each source, target and relation;
+    new ones are kept by these in ``tasks`` tasks, if given."""
     keys = ["source", "target", "relation"]
-    fresh = keep_first(new, keys, "seq").join(edges.select(*keys), keys, "left_anti")
+    fresh = keep_first(spread(new, tasks, *keys), keys, "seq").join(edges.select(*keys), keys, "left_anti")
     return fresh.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
 
-def stubs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, label, type) for edge ends without a node."""
-    ends = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+def stubs(nodes: DataFrame, edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(id, label, type) for edge ends without a node; ends are kept in ``tasks`` tasks, if given."""
+    ends = spread(edges.select(F.explode(F.array("source", "target")).alias("id")), tasks, "id").distinct()
     return ends.join(nodes.select("id"), "id", "left_anti").select("id", stub_label(F.col("id")).alias("label"), stub_type(F.col("id")).alias("type"))
 
 

@@ -15,7 +15,7 @@ from graphloom.operators import merge as M
 from graphloom.operators import reports as R
 from graphloom.operators import search as S
 from graphloom.plans.canonical import DAY_MS, load
-from graphloom.plans.queries import AS_OF, JOURNAL_AS_OF, _t, query
+from graphloom.plans.queries import AS_OF, JOURNAL_AS_OF, _t, item_tasks, query
 
 QUESTION = "where is the code for standard brushed part files"
 
@@ -571,7 +571,7 @@ def _(spark, d):
 def _(spark, d):
     edges, imports = _t(spark, d, "edges", "imports")
     new = edges.withColumns({"seq": F.col("weight"), "weight": F.length("relation").cast("double")})
-    return M.add_edges(imports, new.select("source", "target", "relation", "weight", "seq")).select("source", "target", "relation", "weight")
+    return M.add_edges(imports, new.select("source", "target", "relation", "weight", "seq"), item_tasks(spark, d)).select("source", "target", "relation", "weight")
 
 
 @query(
@@ -581,7 +581,7 @@ def _(spark, d):
 )
 def _(spark, d):
     nodes, edges = _t(spark, d, "nodes", "edges")
-    return M.stubs(nodes.filter("type = 'file'"), edges)
+    return M.stubs(nodes.filter("type = 'file'"), edges, item_tasks(spark, d))
 
 
 @query(

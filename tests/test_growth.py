@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import activity as AC
 from graphloom.operators import graph as G
+from graphloom.operators import merge as M
 from graphloom.sources import tables
 
 
@@ -97,3 +98,19 @@ def test_communities_find_edges_once(spark):
     nodes = spark.createDataFrame([(f"p{k}",) for k in range(51)] + [("x",)], "id string")
     assert [tuple(r) for r in G.communities(nodes, edges).collect()] == [("p0", 51, 50, 1.0)]
     assert seen.value == len(rows)
+
+
+def test_new_edges_are_kept_in_as_many_tasks_as_asked_for(spark):
+    rows = [(f"n{k % 7}", f"n{k % 11}", "r" if k % 3 else "s", 9.0, k) for k in range(200)]
+    new = spark.createDataFrame(rows, "source string, target string, relation string, weight double, seq int")
+    old = spark.createDataFrame(sorted({r[:4] for r in rows if r[0] == "n3"}), "source string, target string, relation string, weight double")
+    keys = ["source", "target", "relation"]
+    cases = [
+        lambda n: AC.merge_first(old, new.drop("seq"), keys, n),
+        lambda n: M.add_edges(old, new, n),
+        lambda n: M.stubs(spark.createDataFrame([("n3",)], "id string"), new, n),
+    ]
+    for case in cases:
+        assert sorted(map(tuple, case(31).collect())) == sorted(map(tuple, case(None).collect()))
+        text = planned(case(31))  # dealt before anything is kept, and by no other shuffle of the new rows
+        assert ", 31), REPARTITION_BY_NUM" in text and text.rindex("REPARTITION_BY_NUM") > text.rindex("Aggregate")
