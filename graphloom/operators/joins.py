@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.sources.tables import spread
 
 #: Tasks, at least, that rows are dealt to before each is kept by a key of its own. Up to
 #: 200 Spark writes a shuffle without holding rows.
@@ -31,12 +32,12 @@ def neighbors(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
     return all_neighbors(nodes, mine).filter(F.col("id") == node_id)
 
 
-def neighbor_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def neighbor_counts(nodes: DataFrame, edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """(type, relation, direction, n): how many edge ends of each kind the nodes of a
-    type have. Ends are counted by id before they meet the nodes."""
+    type have. Ends are counted by id before they meet the nodes, in ``tasks`` tasks, if given."""
     end = lambda c, d: F.struct(F.col(c).alias("id"), "relation", F.lit(d).alias("direction"))
     ends = edges.select(F.inline(F.array(end("source", "out"), end("target", "in"))))
-    counts = ends.groupBy("id", "relation", "direction").agg(F.count(F.lit(1)).alias("n"))
+    counts = spread(ends, tasks, "id").groupBy("id", "relation", "direction").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(nodes.select("id", "type"), "id").groupBy("type", "relation", "direction").agg(F.sum("n").alias("n"))
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import activity as AC
-from graphloom.plans.canonical import load
-from graphloom.plans.queries import _t, epoch_ms, item_tasks, query
+from graphloom.plans.canonical import item_tasks, load
+from graphloom.plans.queries import _t, epoch_ms, query
 
 
 @query(

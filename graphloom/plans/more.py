@@ -14,8 +14,8 @@ from graphloom.operators import journal as JR
 from graphloom.operators import merge as M
 from graphloom.operators import reports as R
 from graphloom.operators import search as S
-from graphloom.plans.canonical import DAY_MS, load
-from graphloom.plans.queries import AS_OF, JOURNAL_AS_OF, _t, item_tasks, query
+from graphloom.plans.canonical import DAY_MS, item_tasks, load
+from graphloom.plans.queries import AS_OF, JOURNAL_AS_OF, _t, query
 
 QUESTION = "where is the code for standard brushed part files"
 
