@@ -35,9 +35,10 @@ def _filled(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
+def upsert_nodes(old: DataFrame, new: DataFrame, tasks: int | None = None) -> DataFrame:
     """New rows replace old ones of their id but keep created_at; empty texts
-    become null."""
+    become null. Rows meet by id in ``tasks`` tasks, if given."""
+    new = spread(new, tasks, "id")  # the old rows that meet them follow
     texts = [c for c in ("source_file", "content") if c in new.columns]
     new = new.withColumns({c: _filled(F.col(c)) for c in texts})
     kept = old.join(new.select("id"), "id", "left_anti")

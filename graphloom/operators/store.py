@@ -43,13 +43,14 @@ def links_of(links: DataFrame, node_id: str) -> DataFrame:
     return links.filter(F.col("adr_node_id") == node_id).select("code_node_id")
 
 
-def import_graph(local: dict[str, DataFrame], remote: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def import_graph(local: dict[str, DataFrame], remote: dict[str, DataFrame], tasks: int | None = None) -> dict[str, DataFrame]:
     """The tables after an import: nodes are upserted, edges only added (a weight
-    that changed does not land), chunks and communities replaced by id."""
+    that changed does not land), chunks and communities replaced by id. Nodes and new edges
+    are kept by their keys in ``tasks`` tasks, if given."""
     seq = lambda rows: rows.withColumn("seq", F.lit(0))
-    edges = add_edges(local["edges"], seq(remote["edges"])).select(*local["edges"].columns)
+    edges = add_edges(local["edges"], seq(remote["edges"]), tasks).select(*local["edges"].columns)
     return {
-        "nodes": upsert_nodes(local["nodes"], remote["nodes"]),
+        "nodes": upsert_nodes(local["nodes"], remote["nodes"], tasks),
         "edges": local["edges"].unionByName(edges),
         "chunks": replace_rows(local["chunks"], seq(remote["chunks"]), ["id"]),
         "communities": replace_rows(local["communities"], seq(remote["communities"]), ["id"]),

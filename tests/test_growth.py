@@ -6,11 +6,13 @@ import re
 from collections import Counter
 
 import pytest
+from __spark_entry__ import queries
 from pyspark.sql import functions as F
 
 from graphloom.operators import activity as AC
 from graphloom.operators import graph as G
 from graphloom.operators import merge as M
+from graphloom.plans import canonical
 from graphloom.sources import tables
 
 
@@ -114,3 +116,25 @@ def test_new_edges_are_kept_in_as_many_tasks_as_asked_for(spark):
         assert sorted(map(tuple, case(31).collect())) == sorted(map(tuple, case(None).collect()))
         text = planned(case(31))  # dealt before anything is kept, and by no other shuffle of the new rows
         assert ", 31), REPARTITION_BY_NUM" in text and text.rindex("REPARTITION_BY_NUM") > text.rindex("Aggregate")
+
+
+def test_line_items_are_put_together_where_they_are_dealt(spark, monkeypatch):
+    data = "/root/testdata/sf0.001"
+    whole = canonical.load(spark, data, "edges")
+    before = {n: sorted(map(tuple, queries()[n](spark, data).collect())) for n in ("jn1_neighbor_counts", "mrg6_import_graph")}
+    assert canonical.item_tasks(spark, data) is None and "31)" not in planned(whole)
+    monkeypatch.setattr(canonical, "ITEMS", 100)
+    assert canonical.item_tasks(spark, data) == min(canonical.TASKS, -(-spark.read.parquet(f"{data}/lineitem.parquet").count() // 100))
+    monkeypatch.setattr(canonical, "TASKS", 31)
+    edges = canonical.load(spark, data, "edges")
+    assert edges.schema == whole.schema and Counter(map(tuple, edges.collect())) == Counter(map(tuple, whole.collect()))
+    # the line items are dealt twice, once for each branch, and nothing of them is dealt again after that
+    some = planned(edges.filter("relation IN ('references', 'generated')"))
+    assert some.count(", 31), REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in some
+    for name, rows in before.items():
+        got = queries()[name](spark, data)
+        assert sorted(map(tuple, got.collect())) == rows
+        dealt = ["id"] if name == "jn1_neighbor_counts" else ["id", "source, target, relation"]
+        assert all(f"hashpartitioning({keys}, 31), REPARTITION_BY_NUM" in planned(got) for keys in dealt)
+        # no ends are kept in the tasks of a plain shuffle (the chunks of the import are none)
+        assert name != "jn1_neighbor_counts" or not re.search(r"hashpartitioning\((id|source|target)\b[^()]*, (?!31\b)\d+\), ENSURE_REQUIREMENTS", planned(got))
