@@ -85,26 +85,26 @@ def symbols(files: DataFrame) -> DataFrame:
     not deeper than the definition; else 60 lines on or at the end of the file. Its
     content has 4,000 characters at most.
 
-    Definitions, and lines that close, are found on single lines; the file's lines
-    are joined again only to the definitions."""
+    Each line is looked at once, for a definition or for what closes one: rules are bound to
+    the start of a line, so a definition is not indented, nor is the line that closes it.
+    The file's lines are joined again only to the definitions."""
     split = files.select("path", lines(F.col("content")).alias("all"))
-    each = split.select("path", F.posexplode("all").alias("pos", "line"), F.size("all").alias("n"))
-    fits = [(F.col("path").rlike(end) & F.col("line").rlike(p), t, p) for end, t, p in SYMBOLS]
-    name = F.coalesce(*[F.when(fit, F.regexp_extract("line", p, 1)) for fit, _, p in fits])
-    kind = F.coalesce(*[F.when(fit, F.lit(t)) for fit, t, _ in fits])
-    found = each.select("path", kind.alias("type"), name.alias("name"), "pos", "n", "line").filter(F.col("name").rlike("^[^_0-9]"))
+    ends = list(dict.fromkeys(end for end, _, _ in SYMBOLS))
+    each = split.select("path", *[F.col("path").rlike(end).alias(f"of{k}") for k, end in enumerate(ends)], F.posexplode("all").alias("pos", "line"), F.size("all").alias("n"))
+    rule = F.coalesce(*[F.when(F.col(f"of{ends.index(end)}") & F.col("line").rlike(p), k) for k, (end, _, p) in enumerate(SYMBOLS)])
+    marks = each.select("path", "pos", "n", rule.alias("rule"), F.col("line").rlike(r"^[)}]\s*[;,]?\s*$").alias("closing"), "line").filter("rule IS NOT NULL OR closing")
+    by_rule = lambda value: F.coalesce(*[F.when(F.col("rule") == k, value(t, p)) for k, (_, t, p) in enumerate(SYMBOLS)])
+    marks = marks.select("path", "pos", "n", "closing", by_rule(lambda t, p: F.lit(t)).alias("type"), by_rule(lambda t, p: F.regexp_extract("line", p, 1)).alias("name"))
     most, else_ = SYMBOL_LINES
-    here = found.groupBy("path").agg(F.collect_list(F.struct("type", "name", "pos", "n", "line")).alias("defs"))
-    # each definition looks at the lines behind it while its file is one row: a row for each
-    # with the whole file would grow with the square of the file
-    closing = lambda x, d: x.rlike(r"^\s*[)}]\s*[;,]?\s*$") & (F.length(F.regexp_extract(x, r"^\s*", 0)) <= F.length(F.regexp_extract(d.line, r"^\s*", 0)))
-    closes = lambda d: F.array_position(F.transform(F.slice("all", d.pos + 2, most - 1), lambda x: closing(x, d)), F.lit(True))
-    at = lambda d, c: F.when(c > 0, d.pos + c).otherwise(F.least(d.n - 1, d.pos + else_))
-    text = lambda d: F.substring(F.array_join(F.slice("all", d.pos + 1, (d.end - d.pos + 1).cast("int")), "\n"), 1, SYMBOL_CHARS)
-    rows = split.join(here, "path")
-    rows = rows.withColumn("defs", F.transform("defs", lambda d: F.struct(d.type.alias("type"), d["name"].alias("name"), d.pos.alias("pos"), d.n.alias("n"), closes(d).alias("closes"))))
-    rows = rows.withColumn("defs", F.transform("defs", lambda d: F.struct(d.type.alias("type"), d["name"].alias("name"), d.pos.alias("pos"), at(d, d.closes).alias("end"))))
-    rows = rows.select("path", F.inline(F.transform("defs", lambda d: F.struct(d.type.alias("type"), d["name"].alias("name"), d.pos.alias("pos"), d.end.alias("end"), text(d).alias("content")))))
+    behind = Window.partitionBy("path").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    closed = F.last(F.when(F.col("closing"), F.col("pos")), ignorenulls=True).over(behind)
+    found = marks.withColumn("closed", closed).filter(F.col("name").rlike("^[^_0-9]"))
+    end = F.when(F.col("closed") - F.col("pos") < most, F.col("closed")).otherwise(F.least(F.col("n") - 1, F.col("pos") + else_))
+    here = found.groupBy("path").agg(F.collect_list(F.struct("type", "name", "pos", end.alias("end"))).alias("defs"))
+    # texts are cut out while a file is one row: a row for each definition with the whole
+    # file would grow with the square of the file
+    text = lambda d: F.substring(F.array_join(F.slice("all", d.pos + 1, d.end - d.pos + 1), "\n"), 1, SYMBOL_CHARS)
+    rows = split.join(here, "path").select("path", F.inline(F.transform("defs", lambda d: F.struct(d.type.alias("type"), d["name"].alias("name"), d.pos.alias("pos"), d.end.alias("end"), text(d).alias("content")))))
     return rows.select("path", "type", "name", (F.col("pos") + 1).alias("line"), (F.col("end") + 1).cast("int").alias("end_line"), "content")
 
 

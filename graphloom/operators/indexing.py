@@ -83,9 +83,9 @@ def adr_stage(files: DataFrame, graph: Rows) -> Rows:
 def relation_stage(files: DataFrame, graph: Rows) -> Rows:
     """Imports between files, and extends, implements, calls and uses inside them."""
     imports, _ = index_relations(files)
-    defined = symbols(files)
+    defined = cut(symbols(files), "symbols")
     known = defined.select(F.col("path").alias("file"), F.col("name").alias("label"), F.concat_ws("::", "type", "path", "name").alias("id"), "type", F.col("line").alias("seq"))
-    return {"edges": imports.unionByName(code_relations(files, known).drop("extraction_method"))}
+    return {"edges": imports.unionByName(code_relations(files, known, defined).drop("extraction_method"))}
 
 
 STAGES: dict[str, Callable[[DataFrame, Rows], Rows]] = {"code": code_stage, "todos": todo_stage, "adr": adr_stage, "relations": relation_stage}

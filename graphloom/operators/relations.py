@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.etl import lines, symbols
-from graphloom.operators.joins import resolve_symbols
 
 # Files that are read, words before a bracket that are no calls, and how
 # sure each kind of edge is.
@@ -63,6 +62,16 @@ def innermost(blocks: DataFrame, places: DataFrame) -> DataFrame:
     return rows.withColumn("last", F.last("mark", True).over(sweep)).filter("row IS NOT NULL").select("row.*", "last.scope")
 
 
+def holding(blocks: DataFrame, places: DataFrame) -> DataFrame:
+    """As innermost, for blocks that lie beside each other, never inside: the last one that
+    begins before a place holds it, or none does."""
+    begun = blocks.select("path", F.col("line").alias("at"), F.struct("id", "end_line").alias("mark"), F.lit(0).alias("kind"))
+    asked = places.select("path", F.col("line").alias("at"), F.struct(*places.columns).alias("row"), F.lit(1).alias("kind"))
+    sweep = Window.partitionBy("path").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = begun.unionByName(asked, allowMissingColumns=True).withColumn("last", F.last("mark", True).over(sweep)).filter("row IS NOT NULL")
+    return rows.select("row.*", F.when(F.col("last.end_line") >= F.col("at"), F.col("last.id")).alias("scope"))
+
+
 def scopes(defined: DataFrame) -> DataFrame:
     """The blocks of symbols (path, type, name, line, end_line, content): one that is
     closed in its own line ends there, all end before the next definition, as symbols
@@ -71,7 +80,8 @@ def scopes(defined: DataFrame) -> DataFrame:
     opened, closed = F.regexp_count(first, F.lit(r"\{")), F.regexp_count(first, F.lit(r"\}"))
     own = F.when((opened > 0) & (opened == closed), F.col("line"))
     before = F.lead("line").over(Window.partitionBy("path").orderBy("line")) - 1
-    return defined.withColumn("end_line", F.least("end_line", own, before))
+    # what a text says is found below the window, which then needs no texts
+    return defined.withColumn("own", own).withColumn("end_line", F.least("end_line", "own", before)).drop("own")
 
 
 def bare(line: Column) -> Column:
@@ -83,28 +93,34 @@ def bare(line: Column) -> Column:
 def named_on_lines(files: DataFrame) -> DataFrame:
     """(path, line, relation, label): the calls and type uses of each line. A definition
     of a function or method is no call; the last name of a.b() is called."""
-    each = files.select("path", F.posexplode(lines(F.col("content"))).alias("pos", "text"))
-    text = bare(F.col("text"))
+    each = files.select("path", F.posexplode(lines(F.col("content"))).alias("pos", "raw"))
+    # a line without any of these has neither calls nor types (a comment may part an 'as')
+    each = each.filter(F.col("raw").rlike(r"[(:|&<,]|as|/\*"))
+    # each step is a column, so that it is done once for a line
+    each = each.select("path", (F.col("pos") + 1).alias("line"), bare(F.col("raw")).alias("text"))
+    text = F.col("text")
     head = r"^\s*(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*" + NAME + r"\s*(?:<[^>]*>)?\s*\([^()]*\)\s*(?::[^{;=]+)?\{.*$"
     is_method = text.rlike(head) & ~F.regexp_extract(text, rf"^\s*({NAME})", 1).isin(NO_CALLS)
     called = F.regexp_replace(F.regexp_replace(text, rf"\bfunction\s+{NAME}", "function"), r"\bnew\s+" + NAME, "new")
-    called = F.when(is_method, F.regexp_replace(called, r"^[^{]*\{", "")).otherwise(called)
+    each = each.select("path", "line", "text", is_method.alias("is_method"), called.alias("called"))
+    called = F.when(F.col("is_method"), F.regexp_replace("called", r"^[^{]*\{", "")).otherwise(F.col("called"))
     calls = F.array_except(F.regexp_extract_all(called, F.lit(rf"({NAME})\s*(?:<[^<>()]*>)?\("), 1), F.array(*map(F.lit, NO_CALLS)))
     # a type stands behind a colon or 'as', or in a list or choice of types (that of a class's header is none)
     told = lambda before, after: F.regexp_extract_all(text, F.lit(rf"(?:{before})([A-Z][\w$]*)\b(?!\s*[{after}])"), 1)
     types = F.array_distinct(F.concat(told(r":\s*|\bas\s+", "(.'"), told(r"[|&<,]\s*", "({.'")))
     both = F.concat(F.transform(F.array_distinct(calls), lambda x: F.struct(F.lit("calls").alias("relation"), x.alias("label"))), F.transform(types, lambda x: F.struct(F.lit("uses").alias("relation"), x.alias("label"))))
-    return each.select("path", (F.col("pos") + 1).alias("line"), F.inline(both))
+    return each.select("path", "line", both.alias("both")).select("path", "line", F.inline("both"))
 
 
-def code_relations(files: DataFrame, known: DataFrame) -> DataFrame:
+def code_relations(files: DataFrame, known: DataFrame, defined: DataFrame | None = None) -> DataFrame:
     """(source, target, relation, weight, confidence, extraction_method) of typed scripts
     (path, content): classes that extend and implement, and symbols that call and use,
     what the same file defines. known (file, label, id, type, seq) are the nodes of
     symbols, by the file's path; names without a node give no edge, so no stubs arise.
-    What stands outside all blocks is said of the file."""
+    What stands outside all blocks is said of the file. defined are the symbols of the
+    files, where they are at hand."""
     files = files.filter(F.col("path").rlike(TYPED))
-    defined = scopes(symbols(files))
+    defined = symbols(files) if defined is None else defined.filter(F.col("path").rlike(TYPED))
     header = F.regexp_replace(F.split_part("content", F.lit("{"), F.lit(1)), r"<[^<>]*>", "")
     classes = defined.filter("type = 'class'").select(F.col("path").alias("file"), F.col("name").alias("label"), header.alias("header"))
     base = F.array(F.regexp_extract("header", rf"\bextends\s+({NAME})(?![\w$.(])", 1))
@@ -112,15 +128,17 @@ def code_relations(files: DataFrame, known: DataFrame) -> DataFrame:
     pair = lambda names, relation, kind: F.transform(F.filter(names, lambda x: x.rlike(rf"^{NAME}$")), lambda x: F.struct(x.alias("to"), F.lit(relation).alias("relation"), F.lit(kind).alias("preferred")))
     wanted = classes.select("file", "label", F.inline(F.concat(pair(base, "extends", "class"), pair(faces, "implements", "interface"))))
 
-    blocks = defined.select("path", "line", "end_line", F.concat_ws(" ", F.col("line").cast("string"), "name").alias("id"))
-    used = innermost(blocks, named_on_lines(files)).select(F.col("path").alias("file"), "relation", F.col("label").alias("to"), F.split_part("scope", F.lit(" "), F.lit(2)).alias("label")).distinct()
+    blocks = scopes(defined).select("path", "line", "end_line", F.col("name").alias("id"))
+    used = holding(blocks, named_on_lines(files)).select(F.col("path").alias("file"), "relation", F.col("label").alias("to"), F.col("scope").alias("label")).distinct()
     rows = wanted.withColumn("own", F.lit("class")).unionByName(used.withColumns({"preferred": F.lit("any"), "own": F.lit("any")}))
 
-    ends = rows.select("file", "label", F.col("own").alias("preferred")).unionByName(rows.select("file", F.col("to").alias("label"), "preferred")).filter("label IS NOT NULL").distinct()
-    found = resolve_symbols(ends, known)
-    source = found.select("file", "label", F.col("preferred").alias("own"), F.col("id").alias("source"))
-    target = found.select("file", F.col("label").alias("to"), "preferred", F.col("id").alias("target"))
-    rows = rows.join(target, ["file", "to", "preferred"]).join(source, ["file", "label", "own"], "left")
+    # of each label the node for each kind that may be asked for, as resolve_symbols finds it
+    kinds = ["class", "interface", "any"]
+    best = known.groupBy("file", "label").agg(*[F.min_by("id", F.struct((F.col("type") != kind).alias("other"), F.col("seq"))).alias(kind) for kind in kinds])
+    chosen = lambda asked: F.coalesce(*[F.when(F.col(asked) == kind, F.col(f"found.{kind}")) for kind in kinds])
+    ends = best.select("file", "label", F.struct(*kinds).alias("found"))
+    rows = rows.join(ends.withColumnRenamed("label", "to"), ["file", "to"]).withColumn("target", chosen("preferred")).drop("found")
+    rows = rows.join(ends, ["file", "label"], "left").withColumn("source", chosen("own"))
     start = F.when(F.col("own") == "class", F.col("source")).otherwise(F.coalesce("source", F.concat(F.lit("file::"), "file")))
     edges = rows.select(start.alias("source"), "target", "relation").filter("source IS NOT NULL").distinct()
     sure = F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])

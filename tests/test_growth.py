@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
@@ -10,9 +11,11 @@ from __spark_entry__ import queries
 from pyspark.sql import functions as F
 
 from graphloom.operators import activity as AC
+from graphloom.operators import etl as E
 from graphloom.operators import graph as G
 from graphloom.operators import merge as M
-from graphloom.plans import canonical
+from graphloom.operators import relations as R
+from graphloom.plans import canonical, kept
 from graphloom.sources import tables
 
 
@@ -138,3 +141,47 @@ def test_line_items_are_put_together_where_they_are_dealt(spark, monkeypatch):
         assert all(f"hashpartitioning({keys}, 31), REPARTITION_BY_NUM" in planned(got) for keys in dealt)
         # no ends are kept in the tasks of a plain shuffle (the chunks of the import are none)
         assert name != "jn1_neighbor_counts" or not re.search(r"hashpartitioning\((id|source|target)\b[^()]*, (?!31\b)\d+\), ENSURE_REQUIREMENTS", planned(got))
+
+
+def test_symbols_look_at_each_line_once(spark):
+    r = random.Random(5)
+    some = ["class A%d {", "export function f%d(x) {", "function _g%d() {", "interface I%d {", "def p%d():", "}", "  }", ")", "});", "},", "} // no", "x(%d)", "", "  y", "\t}", " class B%d {", "type T%d struct {"]
+    text = lambda n: "\n".join(x % k if "%" in x else x for k, x in enumerate(r.choices(some, [3, 3, 1, 2, 2, r.random(), 2, 1, 1, 1, 1, 30, 9, 9, 2, 1, 2], k=n)))
+    files = [(f"d{k}/a.{end}", text(n)) for k, (end, n) in enumerate([("ts", 700), ("js", 90), ("py", 300), ("go", 200), ("md", 50), ("TS", 40)] * 3)] + [("bare.ts", "class Z {" + "\n x" * 300), ("none.ts", "")]
+    want = []
+    for path, content in files:
+        all_ = content.split("\n")
+        for k, line in enumerate(all_):
+            fit = next(((kind, m[1]) for end, kind, p in E.SYMBOLS if re.search(end, path) and (m := re.search(p, line))), None)
+            if fit and not re.match("[_0-9]", fit[1]):
+                close = next((j for j in range(k + 1, min(k + 120, len(all_))) if re.search(r"^[)}]\s*[;,]?\s*$", all_[j])), min(k + 60, len(all_) - 1))
+                want.append((path, *fit, k + 1, close + 1, "\n".join(all_[k : close + 1])[:4000]))
+    got = E.symbols(spark.createDataFrame(files, "path string, content string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 200
+    # no definition looks at the lines behind it: patterns are for single lines, none is inside a function on lists
+    assert "RLIKE" in planned(got) and not re.search(r"lambdafunction\([^\n]*(RLIKE|regexp)", planned(got))
+
+
+def test_relations_are_found_in_one_sweep(spark):
+    r = random.Random(6)
+    blocks = [(f"f{f}", a, a + r.randint(0, 4), f"b{f}_{a}") for f in range(5) for a in range(1, 60, 5) if r.random() < 0.8]
+    places = [(f"f{f}", line, "w") for f in range(6) for line in range(0, 66)]
+    got = R.holding(spark.createDataFrame(blocks, "path string, line int, end_line int, id string"), spark.createDataFrame(places, "path string, line int, what string"))
+    want = [(*p, next((b[3] for b in blocks if b[0] == p[0] and b[1] <= p[1] <= b[2]), None)) for p in places]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    # the blocks of a file are no list, and symbols at hand are not looked for again
+    files = spark.createDataFrame([("a.ts", "class A {\n  run() {\n    b(1);\n  }\n}\nfunction b(x: A) {\n}\n")], "path string, content string")
+    known = spark.createDataFrame([("a.ts", "A", "c", "class", 1), ("a.ts", "A", "i", "interface", 0), ("a.ts", "b", "f", "function", 6)], "file string, label string, id string, type string, seq int")
+    defined = tables.cut(E.symbols(files), "symbols")
+    rows = R.code_relations(files, known, defined)
+    assert {(x.source, x.relation, x.target) for x in rows.collect()} == {("i", "calls", "f"), ("f", "uses", "i")}
+    text = planned(rows)
+    assert "collect_list" not in text and "ArrowEvalPython" not in text
+
+
+def test_code_files_are_dealt_by_their_parts(spark, monkeypatch):
+    data = "/root/testdata/sf0.001"
+    whole = sorted(map(tuple, kept.scoped_files(spark, data).collect()))
+    monkeypatch.setattr(kept, "PARTS_A_TASK", 10)
+    files = kept.scoped_files(spark, data)
+    assert files.rdd.getNumPartitions() == -(-spark.read.parquet(f"{data}/part.parquet").count() // 10) and sorted(map(tuple, files.collect())) == whole
